@@ -33,27 +33,32 @@ def assign_variant(df: DataFrame, key: str, weights: dict[str, float], out: str
 def score_by_variant(
     df: DataFrame,
     variant_col: str,
-    scorers: dict[str, Callable[[DataFrame], DataFrame]],
+    scorers: dict[str, str | Callable[[DataFrame], DataFrame]],
+    out: str = "scored",
 ) -> DataFrame:
     """Send each row to the scorer its variant column names.
 
-    Each scorer adds the same columns.  Rows that name no known scorer stay,
-    as failed rows.  A scorer sees its own rows only: the variant filter sits
-    on the scan.
+    SQL-expression scorers of one type run in a single pass, as one CASE whose
+    value goes to ``out``.  Scorers that are functions on tables (models) each
+    get the rows of their variant, and have to add the same columns.  Rows
+    that name no known scorer stay, as failed rows.
     """
-    scored = [
-        fn(df.where(F.col(variant_col) == name)).withColumns(
-            {"error": F.lit(None).cast("string"), "status": F.lit(rules.STATUS_OK)}
-        )
-        for name, fn in scorers.items()
-    ]
     known = F.coalesce(F.col(variant_col).isin(list(scorers)), F.lit(False))
-    rest = df.where(~known).withColumns(
-        {
-            "error": F.concat(
-                F.lit("no scorer for variant "), F.coalesce(F.col(variant_col), F.lit("NULL"))
-            ),
-            "status": F.lit(rules.STATUS_FAILED),
-        }
+    error = F.concat(
+        F.lit("no scorer for variant "), F.coalesce(F.col(variant_col), F.lit("NULL"))
     )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*scored, rest])
+    status = {
+        "error": F.when(~known, error),
+        "status": F.when(known, rules.STATUS_OK).otherwise(rules.STATUS_FAILED),
+    }
+    if all(isinstance(s, str) for s in scorers.values()):
+        value = F.lit(None)
+        for name, sql in scorers.items():
+            value = F.when(F.col(variant_col) == name, F.expr(sql)).otherwise(value)
+        return df.withColumn(out, value).withColumns(status)
+    tables = [
+        fn(df.where(F.col(variant_col) == name)).withColumns(status)
+        for name, fn in scorers.items()
+    ]
+    tables.append(df.where(~known).withColumns(status))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
