@@ -41,15 +41,6 @@ def score_injection(
     return f"coalesce({let('t', low, score)}, 0D)"
 
 
-def injection_families(
-    text: str, injection_rules: Sequence[InjectionRule] = rules.INJECTION_RULES
-) -> str:
-    """Names of the rule families that match, sorted and joined by commas."""
-    hits = ", ".join(f"IF({rule_hit('t', r)}, '{r.family}', NULL)" for r in injection_rules)
-    low = f"regexp_replace(lower({text}), {lit(rules.QUOTED_PHRASE)}, ' ')"
-    return let("t", low, f"array_join(array_sort(array_distinct(array_compact(array({hits})))), ',')")
-
-
 def injection_labels(score: str, top_k: int = 1) -> str:
     """A label response for a score: the better label, or both, best first."""
     both = (
