@@ -210,11 +210,11 @@ SELECT id AS doc_id, label, st AS "start", en AS "end", word,
 FROM sized"""
     out["evaluate_pii"] = f"""WITH {masked(PROBED_DOCS)},
 wanted AS ({PROBED_DOCS}),
-hits AS (SELECT DISTINCT id FROM spans JOIN wanted USING (id)
+right_ids AS (SELECT DISTINCT id FROM spans JOIN wanted USING (id)
     WHERE list_contains(string_split(expected, ','), label))
-SELECT expected, count(*) AS n, count(*) FILTER (m.n > 0) AS n_passed, count(hits.id) AS n_type_found,
+SELECT expected, count(*) AS n, count(*) FILTER (m.n > 0) AS n_passed, count(right_ids.id) AS n_type_found,
     sum(m.n)::BIGINT AS entities_found
-FROM masked m JOIN wanted USING (id) LEFT JOIN hits USING (id) GROUP BY expected"""
+FROM masked m JOIN wanted USING (id) LEFT JOIN right_ids USING (id) GROUP BY expected"""
     out["sql_functions"] = f"""WITH {masked(PROBED_DOCS)}
 SELECT id AS doc_id, masked_text, {score()} > 0.5 AS is_injection FROM masked"""
 
@@ -368,7 +368,7 @@ SELECT conv_id, turn, CASE WHEN bad THEN 'blocked' WHEN masked_text <> text THEN
 SELECT conv_id, turn, classification, CASE WHEN is_injection THEN 'blocked and logged' ELSE 'delivered' END AS action
 FROM judged"""
     out["stream_metrics"] = f"""WITH log AS ({LOG}),
-windowed AS (SELECT *, (epoch(ts)::DOUBLE // 21600)::BIGINT * 21600 AS w FROM log)
+windowed AS (SELECT *, floor(epoch(ts) / 21600)::BIGINT * 21600 AS w FROM log)
 SELECT w AS window_start, variant, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors,
     round(avg(is_error::INT), 6) AS error_rate, round(avg(latency), 6) AS mean_latency,
     quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.9) AS p90, quantile_disc(latency, 0.99) AS p99

@@ -60,7 +60,7 @@ def probed_documents(spark, sf_dir) -> DataFrame:
 def probed_conversations(spark, sf_dir) -> DataFrame:
     probe = _pick([lit(t) for t, _ in probes.INJECTION_PROBES], "conv_id + turn")
     expected = _pick([lit(e) for _, e in probes.INJECTION_PROBES], "conv_id + turn")
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
+    return texts.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).selectExpr(
         "conv_id", "turn", "role", f"concat(text, ' ', {probe}) AS text", f"{expected} AS expected"
     )
 
@@ -82,8 +82,8 @@ def _r(col, digits: int = 6):
 @query
 def detect_entities(spark, sf_dir):
     found = pii.add_entities(documents(spark, sf_dir))
-    return found.selectExpr("doc_id", "inline(raw_entities)").selectExpr(
-        "doc_id", "entity_group AS label", "start", "end", "word", "score"
+    return pii.unroll(found, "raw_entities", "no", "doc_id").selectExpr(
+        "doc_id", "e.entity_group AS label", "e.start", "e.end", "e.word", "e.score"
     )
 
 
@@ -91,9 +91,8 @@ def detect_entities(spark, sf_dir):
 def resolve_spans(spark, sf_dir):
     """Overlapping spans of different rules become one."""
     df = probed_documents(spark, sf_dir).selectExpr("doc_id", "text", f"{spans.raw_spans('text')} AS raw")
-    return df.select("doc_id", vf.resolve_spans("text", "raw").alias("s")).selectExpr(
-        "doc_id", "inline(s)"
-    ).select("doc_id", "start", "end", "label", "word")
+    rows = pii.unroll(df, spans.resolve_spans("text", "raw"), "no", "doc_id")
+    return rows.select("doc_id", "e.start", "e.end", "e.label", "e.word")
 
 
 @query
@@ -114,7 +113,7 @@ def extract_entities(spark, sf_dir):
         "'start', e.start, 'end', e.end))"
     )
     df = pii.add_entities(probed_documents(spark, sf_dir)).selectExpr("doc_id", f"{tagged} AS e")
-    return df.select("doc_id", vf.extract_entities("e").alias("l")).selectExpr("doc_id", "inline(l)")
+    return pii.unroll(df, spans.extract_entities("e"), "no", "doc_id").select("doc_id", "e.*")
 
 
 @query
@@ -182,9 +181,10 @@ def merge_bio(spark, sf_dir):
         f"transform({spans.raw_spans('e.word', (word,))}, (s, i) -> {token})))"
     )
     df = pii.add_entities(probed_documents(spark, sf_dir)).selectExpr("doc_id", "text", f"{tokens} AS tokens")
-    merged = df.select("doc_id", vf.merge_bio("text", "tokens").alias("m"))
-    return merged.selectExpr("doc_id", "inline(m)").select(
-        "doc_id", F.col("entity_group").alias("label"), "start", "end", "word", _r("score").alias("score")
+    merged = pii.unroll(df, spans.merge_bio("text", "tokens"), "no", "doc_id")
+    return merged.select(
+        "doc_id", F.col("e.entity_group").alias("label"), "e.start", "e.end", "e.word",
+        _r("e.score").alias("score"),
     )
 
 
@@ -428,7 +428,7 @@ def score_distinct(spark, sf_dir):
 
 @query
 def normalize_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = texts.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     return pages.select("page_id", vf.normalize_text("html").alias("text"))
 
 
@@ -443,31 +443,27 @@ def lift_spans(spark, sf_dir):
     pieces = chunks.chunk_text(probed_documents(spark, sf_dir).select("doc_id", "text"), max_chars=512, overlap=128)
     found = pii.add_entities(pieces, "chunk", "entities")
     lifted = chunks.lift_spans(found, "doc_id", priority=[r.label for r in rules.PII_RULES])
-    return lifted.selectExpr("doc_id", "inline(entities)").selectExpr(
-        "doc_id", "start", "end", "entity_group AS label", "word"
+    return pii.unroll(lifted, "entities", "no", "doc_id").selectExpr(
+        "doc_id", "e.start", "e.end", "e.entity_group AS label", "e.word"
     )
 
 
 # ---- models ---------------------------------------------------------------
 
 
-def _length_model():
-    """Stands for a user's model: flags texts with many upper-case letters."""
-
-    def score(batch_texts: list[str]) -> list:
-        out = []
-        for text in batch_texts:
-            share = sum(c.isupper() for c in text) / max(len(text), 1)
-            out.append([{"label": "INJECTION" if share > 0.05 else "SAFE", "score": 0.9}])
-        return out
+@query
+def score_with_model(spark, sf_dir):
+    """The model stands for a user's: it flags texts with many upper-case letters."""
 
-    return score
+    def make_model():
+        def score(batch_texts: list[str]) -> list:
+            shares = [sum(c.isupper() for c in t) / max(len(t), 1) for t in batch_texts]
+            return [[{"label": "INJECTION" if s > 0.05 else "SAFE", "score": 0.9}] for s in shares]
 
+        return score
 
-@query
-def score_with_model(spark, sf_dir):
     out = batch.batch_process(
-        documents(spark, sf_dir), "detect_injection", batch_size=32, make_model=_length_model
+        documents(spark, sf_dir), "detect_injection", batch_size=32, make_model=make_model
     )
     return out.select("doc_id", "classification", "confidence", "status")
 

@@ -23,24 +23,21 @@ SPARE = "﷑"
 
 def rule_spans(text: str, rule: PiiRule, prio: int) -> str:
     """All matches of one rule, left to right, as an array of spans."""
-    pattern = lit(rule.regex)
-    hit = f"rlike({text}, {pattern})"
-    if rule.needs:
-        hit = f"{holds(text, rule.needs)} AND {hit}"
-    marked = f"regexp_replace({text}, {pattern}, '{MARK}$0{MARK}')"
-    # after the split, every second piece is a match
-    pieces = f"split({marked}, '{MARK}', -1)"
+    none = f"CAST(array() AS {schemas.SPANS})"
+    marked = f"regexp_replace({text}, {lit(rule.regex)}, '{MARK}$0{MARK}')"
     span = (
         f"named_struct('start', a.pos, 'prio', {prio}, 'end', a.pos + length(p), "
         f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p)"
     )
-    return (
-        f"IF({hit}, aggregate({pieces}, "
-        f"named_struct('pos', 0, 'odd', false, 'out', CAST(array() AS {schemas.SPANS})), "
+    # after the split, every second piece is a match
+    taken = (
+        f"aggregate(split(m, '{MARK}', -1), named_struct('pos', 0, 'odd', false, 'out', {none}), "
         "(a, p) -> named_struct('pos', a.pos + length(p), 'odd', NOT a.odd, "
-        f"'out', IF(a.odd, concat(a.out, array({span})), a.out)), "
-        f"a -> a.out), CAST(array() AS {schemas.SPANS}))"
+        f"'out', IF(a.odd, concat(a.out, array({span})), a.out)), a -> a.out)"
     )
+    # one pass of the pattern; a text without a match comes back as it was
+    found = let("m", marked, f"IF(m != {text}, {taken}, {none})")
+    return f"IF({holds(text, rule.needs)}, {found}, {none})" if rule.needs else found
 
 
 def raw_spans(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilwork import schemas
 from veilwork.functions import spans
 from veilwork.functions.sqltext import let
+from veilwork.operators.pii import unroll
 
 
 def chunk_text(
@@ -30,8 +31,9 @@ def chunk_text(
         "b", f"encode({text_col}, 'UTF-32')", f"transform(sequence(0, {last}), i -> {piece})"
     )
     keep = [c for c in df.columns if c != text_col]
-    return df.selectExpr(*keep, f"posexplode({pieces}) AS (chunk_no, c)").select(
-        *keep, "chunk_no", "c.chunk_start", "c.chunk"
+    pieces = f"IF({text_col} IS NULL, NULL, {pieces})"
+    return unroll(df, pieces, "chunk_no", *keep).select(
+        *keep, "chunk_no", "e.chunk_start", "e.chunk"
     )
 
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilwork import schemas
 from veilwork.functions import rules
 
+# What runs in the workers travels with the job: they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class ServiceError(Exception):
     """An error of the model service that carries a code."""
@@ -66,6 +71,7 @@ def score_with_model(
     policy = retry or RetryPolicy()
     added = T.StructType.fromDDL(schemas.MODEL_FIELDS)
     out_schema = T.StructType([*df.schema.fields, *added.fields])
+    ok, failed = rules.STATUS_OK, rules.STATUS_FAILED
 
     def call(model, texts: list[str]) -> tuple[list, float]:
         started = time.perf_counter()
@@ -93,7 +99,7 @@ def score_with_model(
                 part["latency_seconds"] = [latency if s else None for s in sent]
                 part["error"] = [error if s else None for s in sent]
                 part["status"] = [
-                    rules.STATUS_FAILED if s and error is not None else rules.STATUS_OK for s in sent
+                    failed if s and error is not None else ok for s in sent
                 ]
                 yield part
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilwork.functions import rules
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.spans import raw_spans
+from veilwork.operators.pii import unroll
 from veilwork.operators.skew import lookup_join
 
 # The look-ahead leaves the second word to be the first of the next pair, so
@@ -28,17 +29,11 @@ def detect_persons(
     text.  The names are broadcast if few; many names are joined by shuffle,
     with the rows of a frequent name spread.
     """
-    first = F.expr(f"explode({raw_spans(text_col, (_FIRST_WORD,))})")
-    pairs = (
-        df.select(key, text_col, first.alias("s"))
-        .select(
-            key,
-            F.col("s.word").alias("_name"),
-            F.col("s.start").alias("start"),
-            F.expr(
-                f"regexp_extract(substring({text_col}, s.end + 2), r'^(\\p{{L}}+)', 1)"
-            ).alias("_next"),
-        )
+    pairs = unroll(df, raw_spans(text_col, (_FIRST_WORD,)), "_no", key, text_col).select(
+        key,
+        F.col("e.word").alias("_name"),
+        F.col("e.start").alias("start"),
+        F.expr(f"regexp_extract(substring({text_col}, e.end + 2), r'^(\\p{{L}}+)', 1)").alias("_next"),
     )
     given = names.select(F.col(name_col).alias("_name")).distinct()
     word = F.concat_ws(" ", "_name", "_next")

@@ -12,6 +12,16 @@ from veilwork import functions as vf
 from veilwork.functions import rules, spans
 
 
+def unroll(df: DataFrame, array: str, number: str, *keys: str) -> DataFrame:
+    """One row per element ``e`` of an array expression, with its number.
+
+    The outer form and a filter behind it: for the plain form Spark puts a
+    test of the array's size in front, which would work the array out twice.
+    """
+    rows = df.selectExpr(*keys, f"posexplode_outer({array}) AS ({number}, e)")
+    return rows.where(F.col(number).isNotNull())
+
+
 def add_entities(
     df: DataFrame, text_col: str = "text", out: str = "raw_entities", pii_rules=rules.PII_RULES
 ) -> DataFrame:
@@ -44,24 +54,21 @@ def mask_pii(
 
 def entity_rows(masked: DataFrame, *keys: str) -> DataFrame:
     """One row per listed entity."""
-    return masked.selectExpr(*keys, "posexplode(entities) AS (entity_no, e)").select(
-        *keys, "entity_no", "e.*"
-    )
+    return unroll(masked, "entities", "entity_no", *keys).select(*keys, "entity_no", "e.*")
 
 
 def pii_type_counts(masked: DataFrame, *keys: str) -> DataFrame:
     """Number of entities by type, per row.  Counted inside the row."""
-    counted = F.expr(spans.type_counts("entities"))
-    return masked.select(*keys, F.explode(counted).alias("type", "n"))
+    counted = f"map_entries({spans.type_counts('entities')})"
+    return unroll(masked, counted, "_no", *keys).select(
+        *keys, F.col("e.key").alias("type"), F.col("e.value").alias("n")
+    )
 
 
 def pii_type_totals(masked: DataFrame) -> DataFrame:
     """Number of entities by type, over the whole table."""
-    return (
-        masked.select(F.explode("entities.type").alias("type"))
-        .groupBy("type")
-        .agg(F.count("*").alias("n"))
-    )
+    rows = unroll(masked, "entities.type", "_no").select(F.col("e").alias("type"))
+    return rows.groupBy("type").agg(F.count("*").alias("n"))
 
 
 def pii_status(masked: DataFrame, text_col: str = "text") -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -26,16 +28,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a local session may do without: it gets a new temporary folder.
+    Only a local session may do without: it gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="veilwork-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="veilwork-")
+    return _local_dirs[context.applicationId]
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

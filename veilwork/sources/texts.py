@@ -20,7 +20,18 @@ def read_texts(
     if fmt == "text" and id_col == "_line":
         df = df.withColumn("_line", F.xxhash64(F.col("_metadata.file_path"), F.col("value")))
         text_col = "value"
-    return df.select(id_col, F.col(text_col).alias("text"), *[c for c in keep])
+    return spread(df.select(id_col, F.col(text_col).alias("text"), *keep))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of few files.
+
+    One row group is one task, however many splits Spark cuts.  The detectors
+    are all computing, so a table with fewer files than cores is dealt out
+    first.  A large table has more files than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def stream_texts(
