@@ -162,14 +162,14 @@ def ticket_preview(spark, sf_dir):
 
 @query
 def detect_persons(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in probes.GIVEN_NAMES_TABLE], "name string")
+    names = spark.sql(f"SELECT explode(array({any_of(probes.GIVEN_NAMES_TABLE)})) AS name")
     return persons.detect_persons(probed_documents(spark, sf_dir), names, "doc_id")
 
 
 @query
 def merge_bio(spark, sf_dir):
     """Spans cut into word tokens with B- and I- tags, and merged again."""
-    word = PiiRule("W", "^ ", "[^ ]+", numeric=False)
+    word = PiiRule("W", "", "[^ ]+", in_line=False)
     token = (
         "named_struct('entity_group', CAST(NULL AS string), "
         "'entity', concat(IF(i = 0, 'B-', 'I-'), e.entity_group), "

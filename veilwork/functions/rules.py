@@ -4,21 +4,32 @@ Patterns use only what Java regexes and RE2 share, apart from the explicit
 ASCII word edges below: Java's own ``\\b`` also looks at accented letters, RE2's
 does not, and a mask must not depend on the engine.
 
-``first`` lists the characters a match can start with, as the inside of a
-character class.  It becomes a one-character look-ahead in front of the
-pattern, so a position that cannot start a match costs one character test
-instead of a walk through alternations.  ``needs`` names literals of which a
+``first`` lists the characters a match can start with.  They become a
+one-character look-ahead in front of the pattern, so a position that cannot
+start a match costs one character test instead of a walk through alternations.
+The characters are written out: Java tests a class of single Latin-1
+characters by one table look-up, but one of ranges range by range.  ``needs`` names literals of which a
 matching text must hold at least one: a plain search for them is cheaper still.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_letters, digits
 
 EDGE_L = r"(?<![0-9A-Za-z_])"
 EDGE_R = r"(?![0-9A-Za-z_])"
 
 
+def one_of(chars: str) -> str:
+    """A character class of these characters."""
+    return "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in sorted(set(chars))) + "]"
+
+
+def _ahead(first: str, pattern: str) -> str:
+    return f"(?={one_of(first)})(?:{pattern})" if first else pattern
+
+
 @dataclass(frozen=True)
 class PiiRule:
     label: str
@@ -26,11 +37,11 @@ class PiiRule:
     pattern: str
     score: float = 0.9
     needs: tuple[str, ...] = ()
-    numeric: bool = True  # every match holds a digit or an @
+    in_line: bool = True  # every match lies in one line and holds a digit or an @
 
     @property
     def regex(self) -> str:
-        return f"(?=[{self.first}])(?:{self.pattern})"
+        return _ahead(self.first, self.pattern)
 
 
 @dataclass(frozen=True)
@@ -43,7 +54,7 @@ class InjectionRule:
 
     @property
     def regex(self) -> str:
-        return f"(?=[{self.first}])(?:{self.pattern})"
+        return _ahead(self.first, self.pattern)
 
 
 # ---- fixed values -------------------------------------------------------
@@ -103,7 +114,7 @@ def person_rule(names=GIVEN_NAMES) -> PiiRule:
         initials,
         rf"{EDGE_L}(?:{_any(TITLES)})\. \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
         rf"|{EDGE_L}(?:{_any(names)}) \p{{Lu}}\p{{L}}+",
-        numeric=False,
+        in_line=False,
     )
 
 
@@ -115,31 +126,31 @@ PII_RULES = (
         # linear on long unbroken runs.  \G lets a match start right behind
         # the one before.
         "EMAIL",
-        r"A-Za-z0-9._%+-",
+        ascii_letters + digits + "._%+-",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++"
         r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
         needs=("@",),
     ),
-    PiiRule("SSN", "0-9", rf"{EDGE_L}\d{{3}}-\d{{2}}-\d{{4}}{EDGE_R}", needs=("-",)),
+    PiiRule("SSN", digits, rf"{EDGE_L}\d{{3}}-\d{{2}}-\d{{4}}{EDGE_R}", needs=("-",)),
     PiiRule(
         "CREDIT_CARD",
-        "0-9",
+        digits,
         rf"{EDGE_L}(?:\d{{4}}[- ]){{3}}\d{{4}}{EDGE_R}|{EDGE_L}\d{{16}}{EDGE_R}",
     ),
     PiiRule(
         "PHONE_NUMBER",
-        "+(0-9",
+        "+(" + digits,
         rf"(?:\+1[ -])?\(\d{{3}}\) ?\d{{3}}-\d{{4}}{EDGE_R}"
         rf"|{EDGE_L}\d{{3}}-\d{{3}}-\d{{4}}{EDGE_R}"
         rf"|\+\d{{1,3}}(?: \d{{2,10}}){{1,4}}{EDGE_R}"
         rf"|{EDGE_L}555-\d{{4}}{EDGE_R}",
     ),
     PiiRule(
-        "IPV4", "0-9", rf"{EDGE_L}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{EDGE_R}", needs=(".",)
+        "IPV4", digits, rf"{EDGE_L}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{EDGE_R}", needs=(".",)
     ),
     PiiRule(
         "DATE",
-        "0-9JFMASOND",
+        digits + "JFMASOND",
         rf"{EDGE_L}\d{{1,2}}/\d{{1,2}}/\d{{4}}{EDGE_R}"
         rf"|{EDGE_L}(?:{_any(MONTHS)}) \d{{1,2}}(?:, \d{{4}})?{EDGE_R}",
     ),
@@ -150,7 +161,7 @@ PII_RULES = (
     ),
     PiiRule(
         "ADDRESS",
-        "0-9",
+        digits,
         rf"{EDGE_L}\d{{1,5}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{_any(STREET_WORDS)}){EDGE_R}"
         r"(?:, \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?(?:, [A-Z]{2}(?: \d{5})?)?)?",
     ),

@@ -9,6 +9,7 @@ start of the text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import digits
 
 from veilwork import schemas
 from veilwork.functions import rules
@@ -21,50 +22,67 @@ MARK = "﷐"
 SPARE = "﷑"
 
 
+NO_SPANS = f"CAST(array() AS {schemas.SPANS})"
+
+
+def each_match(text: str, pattern: str, found: str) -> str:
+    """``found`` for each match ``p`` of a pattern, which begins at ``a.pos``.
+
+    One pass of the pattern marks the matches, and a split at the marks makes
+    every second piece a match.  ``found`` is an array of spans.
+    """
+    marked = f"regexp_replace({text}, {lit(pattern)}, '{MARK}$0{MARK}')"
+    taken = (
+        f"aggregate(split(m, '{MARK}', -1), named_struct('pos', 0, 'odd', false, 'out', {NO_SPANS}), "
+        "(a, p) -> named_struct('pos', a.pos + length(p), 'odd', NOT a.odd, "
+        f"'out', IF(a.odd, concat(a.out, {found}), a.out)), a -> a.out)"
+    )
+    # a text without a match comes back as it was
+    return let("m", marked, f"IF(m != {text}, {taken}, {NO_SPANS})")
+
+
 def rule_spans(text: str, rule: PiiRule, prio: int) -> str:
     """All matches of one rule, left to right, as an array of spans."""
-    none = f"CAST(array() AS {schemas.SPANS})"
-    marked = f"regexp_replace({text}, {lit(rule.regex)}, '{MARK}$0{MARK}')"
     span = (
-        f"named_struct('start', a.pos, 'prio', {prio}, 'end', a.pos + length(p), "
-        f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p)"
+        f"array(named_struct('start', a.pos, 'prio', {prio}, 'end', a.pos + length(p), "
+        f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p))"
     )
-    # after the split, every second piece is a match
-    taken = (
-        f"aggregate(split(m, '{MARK}', -1), named_struct('pos', 0, 'odd', false, 'out', {none}), "
-        "(a, p) -> named_struct('pos', a.pos + length(p), 'odd', NOT a.odd, "
-        f"'out', IF(a.odd, concat(a.out, array({span})), a.out)), a -> a.out)"
-    )
-    # one pass of the pattern; a text without a match comes back as it was
-    found = let("m", marked, f"IF(m != {text}, {taken}, {none})")
-    return f"IF({holds(text, rule.needs)}, {found}, {none})" if rule.needs else found
+    found = each_match(text, rule.regex, span)
+    return f"IF({holds(text, rule.needs)}, {found}, {NO_SPANS})" if rule.needs else found
 
 
-def raw_spans(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:
-    """Matches of all rules; spans of different rules may overlap.
+def line_spans(text: str, ranked: Sequence[tuple[PiiRule, int]]) -> str:
+    """Matches of rules that need a digit or an @, and stay within a line.
 
-    Most texts hold nothing.  For the rules that need a digit or an @, one
-    look for such a character and one scan for all of them together settle
-    that, before each rule is run alone.
+    Few lines hold such a character.  One pass cuts those out; the rules look
+    at nothing else, and at a line only if a joint scan says that one of them
+    will match.
     """
+    # an @ in the line stands for the e-mail rule, whose own scan is dear
+    cheap = [r for r, _ in ranked if "@" not in r.needs]
+    firsts = "@" + "".join(r.first for r in cheap)
+    ahead = f"(?={rules.one_of(firsts)})" if all(r.first for r in cheap) else ""
+    scan = lit(f"{ahead}(?:{'|'.join(['@', *(r.pattern for r in cheap)])})")
+    found = f"concat({', '.join(rule_spans('l', r, i) for r, i in ranked)})"
+    shifted = (
+        f"transform({found}, x -> named_struct('start', x.start + a.pos, 'prio', x.prio, "
+        "'end', x.end + a.pos, 'label', x.label, 'score', x.score, 'word', x.word))"
+    )
+    in_line = let("l", "p", f"IF(rlike(l, {scan}), {shifted}, {NO_SPANS})")
+    key = rules.one_of(digits + "@")
+    line = rf"(?md)^[^\n{key[1:-1]}]*+{key}[^\n]*"
+    return f"IF(rlike({text}, '{key}'), {each_match(text, line, in_line)}, {NO_SPANS})"
+
+
+def raw_spans(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:
+    """Matches of all rules; spans of different rules may overlap."""
     ranked = [(r, i + 1) for i, r in enumerate(pii_rules)]
-    numeric = [(r, i) for r, i in ranked if r.numeric]
-    none = f"CAST(array() AS {schemas.SPANS})"
-
-    def found(chosen) -> str:
-        return f"concat({', '.join(rule_spans('t', r, i) for r, i in chosen)})"
-
-    parts = [found([x]) for x in ranked if not x[0].numeric]
-    if numeric:
-        firsts = "@" + "".join(r.first for r, _ in numeric if "@" not in r.needs)
-        patterns = ["@", *(r.pattern for r, _ in numeric if "@" not in r.needs)]
-        scan = lit(f"(?=[{firsts}])(?:{'|'.join(patterns)})")
-        parts.insert(
-            0, f"IF(rlike(t, '[0-9@]') AND rlike(t, {scan}), {found(numeric)}, {none})"
-        )
+    in_line = [(r, i) for r, i in ranked if r.in_line]
+    parts = [line_spans("t", in_line)] if in_line else []
+    parts += [rule_spans("t", r, i) for r, i in ranked if not r.in_line]
     clean = f"replace({text}, '{MARK}', '{SPARE}')"
-    every = f"concat({', '.join(parts)})" if parts else none
-    return f"IF({text} IS NULL, {none}, {let('t', clean, every)})"
+    every = f"concat({', '.join(parts)})" if parts else NO_SPANS
+    return f"IF({text} IS NULL, {NO_SPANS}, {let('t', clean, every)})"
 
 
 def resolve_spans(text: str, spans: str) -> str:

@@ -13,7 +13,7 @@ from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.pii import mask_pii
 from veilwork.sources import responses
 
-MAX_SLOTS = 20_000
+MAX_SLOTS = 50_000
 
 
 def assign_batches(

@@ -52,25 +52,32 @@ def health_rollup(
     """
     last = F.max_by(F.struct(ok, latency, error), F.struct(*order))
     variants = (
-        df.groupBy(by)
+        df.groupBy(F.col(by).alias("variant"))
         .agg(last.alias("l"))
         .select(
-            F.lit("variant").alias("scope"),
-            F.col(by).alias("variant"),
-            F.when(F.col(f"l.{ok}"), "healthy").otherwise("unhealthy").alias("status"),
-            F.when(F.col(f"l.{ok}"), F.col(f"l.{latency}")).alias("response_time"),
-            F.when(~F.col(f"l.{ok}"), F.col(f"l.{error}")).alias("error"),
+            "variant",
+            F.coalesce(F.col(f"l.{ok}"), F.lit(False)).alias("ok"),
+            F.col(f"l.{latency}").alias("latency"),
+            F.col(f"l.{error}").alias("error"),
         )
     )
-    healthy = F.coalesce(F.bool_and(F.col("status") == "healthy"), F.lit(True))
-    overall = variants.agg(healthy.alias("h")).select(
-        F.lit("overall").alias("scope"),
-        F.lit(None).cast("string").alias("variant"),
-        F.when(F.col("h"), "healthy").otherwise("degraded").alias("status"),
-        F.lit(None).cast("double").alias("response_time"),
-        F.lit(None).cast("string").alias("error"),
+    # the overall row comes from the few variant rows, not from the log again
+    rolled = variants.rollup("variant").agg(
+        F.grouping("variant").alias("all"),
+        F.bool_and("ok").alias("ok"),
+        F.max("latency").alias("latency"),
+        F.max("error").alias("error"),
+    )
+    one, fine = F.col("all") == 0, F.col("ok")
+    return rolled.select(
+        F.when(one, "variant").otherwise("overall").alias("scope"),
+        "variant",
+        F.when(fine | fine.isNull(), "healthy")
+        .otherwise(F.when(one, "unhealthy").otherwise("degraded"))
+        .alias("status"),
+        F.when(one & fine, F.col("latency")).alias("response_time"),
+        F.when(one & ~fine, F.col("error")).alias("error"),
     )
-    return variants.unionByName(overall)
 
 
 def batch_throughput(df: DataFrame, batch: str = "batch_no", latency: str = "latency") -> DataFrame:

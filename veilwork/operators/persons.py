@@ -14,9 +14,9 @@ from veilwork.operators.skew import lookup_join
 # "Dear John Smith" offers "Dear John" and "John Smith".
 _FIRST_WORD = PiiRule(
     "PERSON",
-    "A-Z\\p{Lu}",
+    "",
     rf"(?<![0-9A-Za-z_\p{{L}}])\p{{Lu}}\p{{L}}+(?= \p{{Lu}}\p{{L}})",
-    numeric=False,
+    in_line=False,
 )
 
 
