@@ -552,7 +552,11 @@ def suite_summary(spark, sf_dir):
 
 @query
 def failure_report(spark, sf_dir):
-    return evaluation.failure_report(evaluation_log(spark, sf_dir))
+    """The log is stored first: a filter on it would else be worked out on top
+    of the detectors, once more for each of its columns."""
+    path = run_dir(spark, "evaluation-log")
+    evaluation_log(spark, sf_dir).write.parquet(path)
+    return evaluation.failure_report(spark.read.parquet(path))
 
 
 # ---- streams --------------------------------------------------------------

@@ -174,7 +174,7 @@ def test_distinct_texts_are_scored_once(spark):
 
         return texts.mapInPandas(count, "text string, n long")
 
-    out = distinct.score_distinct(df, scorer, key="id").collect()
+    out = distinct.score_distinct(df, scorer, key="id", min_hot_rows=100).collect()
     assert len(out) == 3000 and seen.value == 1001
     assert all(r["n"] == (None if r["text"] is None else len(r["text"])) for r in out)
 
@@ -182,9 +182,9 @@ def test_distinct_texts_are_scored_once(spark):
 def test_salted_join_spreads_the_hot_key(spark):
     left = spark.range(10_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k")
     right = spark.range(10_000).selectExpr("id AS k", "id * 2 AS v")
-    hot = skew.hot_keys(left, F.xxhash64("k"), share=0.01)
+    hot = skew.hot_keys(left, F.xxhash64("k"), share=0.01, min_rows=1)
     assert len(hot) == 1 and list(hot.values())[0] in (33, 34)
-    joined = skew.salted_join(left, right, "k", spread_by="id", share=0.01)
+    joined = skew.salted_join(left, right, "k", spread_by="id", share=0.01, min_rows=1)
     rows = joined.collect()
     assert len(rows) == 10_000 and all(r["v"] == 2 * r["k"] for r in rows)
 
@@ -214,6 +214,19 @@ def test_health(spark):
     assert fine["status"] == "healthy"
 
 
+def test_health_check(spark):
+    def down():
+        def score(texts):
+            raise ServiceError("Denied", "no access")
+
+        return score
+
+    rows = metrics.health_check(spark, {"up": token_model, "down": down}).collect()
+    got = {r["variant"]: r for r in rows}
+    assert [got[v]["status"] for v in ("up", "down", None)] == ["healthy", "unhealthy", "degraded"]
+    assert got["up"]["response_time"] > 0 and got["down"]["error"] == "no access"
+
+
 def test_latency_is_shared_out(spark):
     def make():
         def score(texts):

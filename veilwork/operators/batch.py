@@ -13,7 +13,7 @@ from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.pii import mask_pii
 from veilwork.sources import responses
 
-MAX_SLOTS = 50_000
+MAX_SLOTS = 20_000
 
 
 def assign_batches(
@@ -48,7 +48,7 @@ def assign_batches(
     bounds = []
     if n_slots > 1:
         steps = [i / n_slots for i in range(1, n_slots)]
-        found = narrow.agg(F.percentile_approx("k", steps, max(10_000, 10 * n_slots)).alias("b"))
+        found = narrow.agg(F.percentile_approx("k", steps, max(10_000, 4 * n_slots)).alias("b"))
         bounds = list(found.first()["b"] or [])
     null_parts = max(1, n_null * n_slots // max(n, 1))
 
@@ -70,10 +70,12 @@ def assign_batches(
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    position = F.col("_before") + F.row_number().over(here) - 1
+    # a left join: for an inner one Spark puts a null test of the slot in front,
+    # which would work it out twice
     return (
-        slotted.join(F.broadcast(counts), ["_slot", "_part"])
-        .withColumn("position", position)
+        slotted.withColumn("_row", F.row_number().over(here))
+        .join(F.broadcast(counts), ["_slot", "_part"], "left")
+        .withColumn("position", F.col("_before") + F.col("_row") - 1)
         .select(
             *df.columns,
             "position",

@@ -10,7 +10,11 @@ from veilwork.operators.skew import salted_join
 
 
 def score_distinct(
-    df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str, text_col: str = "text"
+    df: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    key: str,
+    text_col: str = "text",
+    min_hot_rows: int = 10_000,
 ) -> DataFrame:
     """Run ``scorer`` over the distinct texts and give the answer to all copies.
 
@@ -19,4 +23,4 @@ def score_distinct(
     texts and spreads the rows of a text that has many copies.
     """
     answers = scorer(df.select(text_col).where(f"{text_col} IS NOT NULL").distinct())
-    return salted_join(df, answers, text_col, spread_by=key)
+    return salted_join(df, answers, text_col, spread_by=key, min_rows=min_hot_rows)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from veilwork import functions as vf
-from veilwork.functions import injection as inj, rules
+from veilwork.functions import injection as inj, rules, spans
+from veilwork.operators.pii import add_once
 
 DECISION_FIELDS = ("is_injection", "injection_score", "safe_score", "confidence", "classification")
 
@@ -28,7 +29,7 @@ def detect_prompt_injection(
         judged = inj.judge_text(text_col, threshold, top_k, mitigation)
     else:
         judged = inj.decide(inj.fold_label_scores(labels_col), threshold)
-    return df.withColumn("_judged", F.expr(judged)).select(
+    return add_once(df, "_judged", judged).select(
         *df.columns, *[F.col(f"_judged.{f}").alias(f) for f in DECISION_FIELDS]
     )
 
@@ -69,10 +70,8 @@ def dual_filter(
     masking left the text as it was.
     """
     judged = detect_prompt_injection(df, text_col, threshold)
-    searched = judged.withColumn(
-        "_found",
-        F.when(~F.col("is_injection"), vf.detect_entities(text_col, pii_rules)),
-    )
+    found = f"IF(is_injection, NULL, {spans.detect_entities(text_col, pii_rules)})"
+    searched = add_once(judged, "_found", found)
     masked = searched.withColumn(
         "masked_text", F.when(~F.col("is_injection"), vf.apply_mask(text_col, "_found"))
     )

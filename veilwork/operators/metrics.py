@@ -6,8 +6,17 @@ the shuffle and a variant with most of the rows does no harm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from veilwork.functions import rules
+from veilwork.operators.model import RetryPolicy, score_with_model
+from veilwork.operators.variants import score_by_variant
+
+# ---- fixed value: the text a health check sends --------------------------
+PROBE_TEXT = "Test health check"
+# --------------------------------------------------------------------------
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -80,6 +89,26 @@ def health_rollup(
     )
 
 
+def health_check(
+    spark: SparkSession, models: dict[str, Callable[[], Callable]], retry: RetryPolicy | None = None
+) -> DataFrame:
+    """Send one text to each model and roll the outcome up."""
+    probes = spark.createDataFrame([(name, PROBE_TEXT) for name in models], "variant string, text string")
+    calls = score_by_variant(
+        probes,
+        "variant",
+        {
+            name: (lambda d, make=make: score_with_model(d, "text", make, 1, retry))
+            for name, make in models.items()
+        },
+    )
+    log = calls.select(
+        "variant", (F.col("status") == rules.STATUS_OK).alias("ok"),
+        F.col("latency_seconds").alias("latency"), "error",
+    )
+    return health_rollup(log, "variant", ["variant"])
+
+
 def batch_throughput(df: DataFrame, batch: str = "batch_no", latency: str = "latency") -> DataFrame:
     """Cost per batch: the total, and the share of one text."""
     total = F.sum(latency)

@@ -22,10 +22,20 @@ def unroll(df: DataFrame, array: str, number: str, *keys: str) -> DataFrame:
     return rows.where(F.col(number).isNotNull())
 
 
+def add_once(df: DataFrame, out: str, sql: str) -> DataFrame:
+    """Add a column whose dear expression is worked out once per row.
+
+    Spark moves a later filter on a plain column below it, with the whole
+    expression put in the filter's place for each use.  It does not move one
+    below a generator, here of one row.
+    """
+    return df.selectExpr(*[c for c in df.columns if c != out], f"explode(array({sql})) AS {out}")
+
+
 def add_entities(
     df: DataFrame, text_col: str = "text", out: str = "raw_entities", pii_rules=rules.PII_RULES
 ) -> DataFrame:
-    return df.withColumn(out, vf.detect_entities(text_col, pii_rules))
+    return add_once(df, out, spans.detect_entities(text_col, pii_rules))
 
 
 def mask_pii(

@@ -7,15 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 BROADCAST_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key_hash: Column, share: float = 0.001) -> dict[int, int]:
+def hot_keys(
+    df: DataFrame, key_hash: Column, share: float = 0.001, min_rows: int = 10_000
+) -> dict[int, int]:
     """Hashes of the keys that hold more than ``share`` of the rows.
 
+    Keys of fewer than ``min_rows`` rows are never hot: no task minds them.
     The value is how many parts of that share the key makes.  There are at
     most ``1 / share`` such keys and about as many parts, so both lists are
     small whatever the table.  Counting is pre-aggregated on the map side.
     """
     hashes = df.select(key_hash.alias("h"))
-    unit = max(1.0, hashes.count() * share)
+    unit = max(float(min_rows), hashes.count() * share)
     rows = hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > unit).collect()
     return {r["h"]: int(-(-r["n"] // unit)) for r in rows}
 
@@ -28,7 +31,8 @@ def _parts(key_hash: Column, hot: dict[int, int]) -> Column:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left", share: float = 0.001
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left",
+    share: float = 0.001, min_rows: int = 10_000,
 ) -> DataFrame:
     """Equi-join on ``key``, where ``right`` has each key once.
 
@@ -37,7 +41,7 @@ def salted_join(
     The salt hangs on row content alone, so a task that is run again puts
     every row where it was before.
     """
-    hot = hot_keys(left, F.xxhash64(key), share)
+    hot = hot_keys(left, F.xxhash64(key), share, min_rows)
     parts = _parts(F.xxhash64(key), hot)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by, F.lit(7)), parts).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))

@@ -56,9 +56,11 @@ def score_by_variant(
         for name, sql in scorers.items():
             value = F.when(F.col(variant_col) == name, F.expr(sql)).otherwise(value)
         return df.withColumn(out, value).withColumns(status)
-    tables = [
-        fn(df.where(F.col(variant_col) == name)).withColumns(status)
-        for name, fn in scorers.items()
-    ]
+    def scored(name: str, scorer) -> DataFrame:
+        table = scorer(df.where(F.col(variant_col) == name))
+        # a scorer that can fail brings error and status of its own
+        return table if "status" in table.columns else table.withColumns(status)
+
+    tables = [scored(name, scorer) for name, scorer in scorers.items()]
     tables.append(df.where(~known).withColumns(status))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
