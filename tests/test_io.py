@@ -141,3 +141,11 @@ def test_small_tables_are_dealt_out(spark, tmp_path, n):
     df = spark.read.parquet(path)
     assert texts.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert texts.spread(df).agg(F.sum("id")).first()[0] == 4950
+
+
+def test_large_tables_are_not_dealt_out(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(texts, "SPLIT_BYTES", 10)
+    plan = texts.spread(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

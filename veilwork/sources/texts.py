@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+SPLIT_BYTES = 128 << 20
+
 
 def read_texts(
     spark: SparkSession, path: str, fmt: str, id_col: str, text_col: str, keep: Iterable[str] = (), **options
@@ -24,14 +27,28 @@ def read_texts(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of few files.
+    """Use all cores on a small table of few files.
 
-    One row group is one task, however many splits Spark cuts.  The detectors
-    are all computing, so a table with fewer files than cores is dealt out
-    first.  A large table has more files than that and is left as it is.
+    One row group is one task, however many splits Spark cuts, and the
+    detectors are all computing.  So a table of fewer files than cores and
+    less than a usual split for each core is dealt out first.  A larger table
+    has splits enough and is left as it is: its texts are never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) < cores and _total_bytes(spark, tuple(files)) < cores * SPLIT_BYTES:
+        return df.repartition(cores)
+    return df
+
+
+@lru_cache(maxsize=256)
+def _total_bytes(spark: SparkSession, files: tuple[str, ...]) -> int:
+    """Size of a few files, from their listing; the content is not read."""
+    if not files:
+        return 0
+    listed = spark.read.format("binaryFile").load(list(files))
+    return listed.agg(F.sum("length")).first()[0] or 0
 
 
 def stream_texts(
