@@ -30,7 +30,8 @@ def score_injection(
         raise ValueError("mitigation must be 'strip', 'zero' or 'off'")
     low = f"lower({text})"
     if mitigation == "strip":
-        low = f"regexp_replace({low}, {lit(rules.QUOTED_PHRASE)}, ' ')"
+        cut = f"regexp_replace(q, {lit(rules.QUOTED_PHRASE)}, ' ')"
+        low = let("q", low, f"IF(contains(q, {lit(rules.QUOTABLE)}), {cut}, q)")
     miss = " * ".join(
         f"IF({rule_hit('t', r)}, 1D - {r.weight}D, 1D)" for r in injection_rules
     )
@@ -38,6 +39,12 @@ def score_injection(
     if mitigation == "zero":
         quiet = f"rlike(t, {lit(rules.QUOTED_PHRASE)}) OR rlike(t, {lit(rules.ASKING_FOR_HELP)})"
         score = f"IF({quiet}, 0D, {score})"
+    if all(r.needs for r in injection_rules):
+        # most texts hold none of the words, and one scan says so
+        words = [w for r in injection_rules for w in r.needs]
+        firsts = rules.one_of("".join(w[0] for w in words))
+        scan = lit(rf"\W(?={firsts})(?:{'|'.join(dict.fromkeys(words))})")
+        score = f"IF(rlike(concat(' ', t), {scan}), {score}, 0D)"
     return f"coalesce({let('t', low, score)}, 0D)"
 
 

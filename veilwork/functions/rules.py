@@ -2,14 +2,15 @@
 
 Patterns use only what Java regexes and RE2 share, apart from the explicit
 ASCII word edges below: Java's own ``\\b`` also looks at accented letters, RE2's
-does not, and a mask must not depend on the engine.
+does not, and a mask must not depend on the engine.  (``\\w`` is ASCII in both.)
 
 ``first`` lists the characters a match can start with.  They become a
 one-character look-ahead in front of the pattern, so a position that cannot
 start a match costs one character test instead of a walk through alternations.
 The characters are written out: Java tests a class of single Latin-1
-characters by one table look-up, but one of ranges range by range.  ``needs`` names literals of which a
-matching text must hold at least one: a plain search for them is cheaper still.
+characters by one table look-up, but one of ranges range by range.  ``needs``
+names literals of which a matching text must hold at least one; those of the
+injection rules are words, and stand behind a word edge.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from string import ascii_letters, digits
 
-EDGE_L = r"(?<![0-9A-Za-z_])"
-EDGE_R = r"(?![0-9A-Za-z_])"
+EDGE_L = r"(?<!\w)"
+EDGE_R = r"(?!\w)"
 
 
 def one_of(chars: str) -> str:
@@ -222,5 +223,6 @@ INJECTION_RULES = (
 )
 
 # A phrase in quotes is talked about, not said.  \x22 and \x27 are the quotes.
-QUOTED_PHRASE = r"[\x22\x27]ignore previous instructions[\x22\x27]"
+QUOTABLE = "ignore previous instructions"
+QUOTED_PHRASE = rf"[\x22\x27]{QUOTABLE}[\x22\x27]"
 ASKING_FOR_HELP = rf"{EDGE_L}how (?:do|can) i (?:protect|defend|prevent){EDGE_R}"

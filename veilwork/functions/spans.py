@@ -3,7 +3,7 @@
 Offsets count code points, as Spark's ``length`` and ``substring`` do.
 Cutting many pieces out of one text goes through UTF-32 bytes, where a code
 point has a fixed width: every cut costs its own length, not a walk from the
-start of the text.
+start of the text.  For a few pieces the walk is the cheaper way.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ MARK = "﷐"
 SPARE = "﷑"
 
 
+# Up to this many cuts, walking the text once per cut is cheaper than recoding it
+FEW = 64
+
 NO_SPANS = f"CAST(array() AS {schemas.SPANS})"
 
 
@@ -150,7 +153,7 @@ def apply_mask(text: str, entities: str) -> str:
         f"IF(coalesce(e.entity_group, '') != '' OR coalesce(e.entity, '') != '', {item}, NULL)), "
         "x -> x IS NOT NULL))"
     )
-    # spans that do not touch each other are cut out in one pass
+    # many spans that do not touch each other are cut out in one pass
     tidy = (
         "forall(sequence(0, size(d) - 1), i -> d[i].back <= 0 AND d[i].end >= -d[i].back AND "
         f"IF(i = 0, d[i].end <= length({text}), d[i].end <= -d[i - 1].back))"
@@ -176,7 +179,7 @@ def apply_mask(text: str, entities: str) -> str:
     )
     return (
         f"IF({text} IS NULL OR coalesce(size({entities}), 0) <= 0, {text}, "
-        + let("d", items, f"IF(size(d) = 0, {text}, IF({tidy}, {linear}, {stepwise}))")
+        + let("d", items, f"IF(size(d) = 0, {text}, IF(size(d) > {FEW} AND {tidy}, {linear}, {stepwise}))")
         + ")"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import schemas
 from veilwork.functions import spans
+from veilwork.functions.spans import FEW
 from veilwork.functions.sqltext import let
 from veilwork.operators.pii import unroll
 
@@ -16,23 +17,27 @@ def chunk_text(
     """One row per piece: its number, its offset in the text and the piece.
 
     Every character is in some piece, and whatever is no longer than the
-    overlap is whole in at least one.  Pieces are cut from fixed-width bytes,
-    so the cost is linear in the text.  Other columns stay; the text goes.
+    overlap is whole in at least one.  The pieces of a long text are cut from
+    fixed-width bytes, so the cost is linear in the text.  Other columns stay;
+    the text goes.
     """
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must be at least 0 and less than max_chars")
     step = max_chars - overlap
     last = f"greatest(CAST(ceil((length({text_col}) - {max_chars}) / {step}) AS int), 0)"
-    piece = (
-        f"named_struct('chunk_start', i * {step}, 'chunk', "
-        f"decode(substring(b, 4 * i * {step} + 1, {4 * max_chars}), 'UTF-32'))"
-    )
-    pieces = let(
-        "b", f"encode({text_col}, 'UTF-32')", f"transform(sequence(0, {last}), i -> {piece})"
+
+    def pieces(cut: str) -> str:
+        return f"transform(sequence(0, {last}), i -> named_struct('chunk_start', i * {step}, 'chunk', {cut}))"
+
+    walked = pieces(f"substring({text_col}, i * {step} + 1, {max_chars})")
+    recoded = let(
+        "b",
+        f"encode({text_col}, 'UTF-32')",
+        pieces(f"decode(substring(b, 4 * i * {step} + 1, {4 * max_chars}), 'UTF-32')"),
     )
     keep = [c for c in df.columns if c != text_col]
-    pieces = f"IF({text_col} IS NULL, NULL, {pieces})"
-    return unroll(df, pieces, "chunk_no", *keep).select(
+    cut = f"CASE WHEN {text_col} IS NULL THEN NULL WHEN {last} < {FEW} THEN {walked} ELSE {recoded} END"
+    return unroll(df, cut, "chunk_no", *keep).select(
         *keep, "chunk_no", "e.chunk_start", "e.chunk"
     )
 
