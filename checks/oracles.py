@@ -321,6 +321,8 @@ numbered AS (SELECT *, unnest(generate_series(0, last))::INT AS chunk_no FROM co
 SELECT doc_id, chunk_no, (chunk_no * 896)::INT AS chunk_start, substr(text, chunk_no * 896 + 1, 1024) AS chunk
 FROM numbered"""
     out["lift_spans"] = out["resolve_spans"]
+    out["mask_in_chunks"] = f"""WITH {masked(PROBED_DOCS)}
+SELECT id AS doc_id, masked_text, n::INT AS n_entities FROM masked"""
 
     out["latency_summary"] = f"""SELECT variant, count(latency) AS n_samples, round(avg(latency), 6) AS mean_latency,
     round(coalesce(stddev_samp(latency), 0), 6) AS std_latency FROM ({LOG}) GROUP BY variant"""

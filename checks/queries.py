@@ -448,6 +448,16 @@ def lift_spans(spark, sf_dir):
     )
 
 
+@query
+def mask_in_chunks(spark, sf_dir):
+    out = chunks.mask_in_chunks(
+        probed_documents(spark, sf_dir).select("doc_id", "text"),
+        lambda pieces: pii.add_entities(pieces, "chunk", "entities"),
+        "doc_id", max_chars=700, overlap=200, priority=[r.label for r in rules.PII_RULES],
+    )
+    return out.select("doc_id", "masked_text", F.size("entities").alias("n_entities"))
+
+
 # ---- models ---------------------------------------------------------------
 
 

@@ -104,6 +104,23 @@ def test_batch_mask_with_model(spark):
     assert got[5]["masked_text"] is None and got[5]["error"] is None
 
 
+def tag_model():
+    def score(texts):
+        tags = [("B-NAME", 0, 4), ("I-NAME", 5, 10), ("B-CITY", 14, 18)]
+        return [[{"entity": t, "score": 0.8, "word": x[a:b], "start": a, "end": b} for t, a, b in tags] for x in texts]
+
+    return score
+
+
+def test_tags_of_a_model_are_merged(spark):
+    df = spark.createDataFrame([(1, "John Smith in Rome")], "id int, text string")
+    by_token = batch.batch_process(df, "mask_pii", make_model=tag_model).first()
+    assert by_token["masked_text"] == "[NAME] [NAME] in [CITY]"
+    merged = batch.batch_process(df, "mask_pii", make_model=tag_model, merge_tags=True).first()
+    assert merged["masked_text"] == "[NAME] in [CITY]"
+    assert [(e["type"], e["text"]) for e in merged["entities"]] == [("NAME", "John Smith"), ("CITY", "Rome")]
+
+
 def label_model():
     seen = {"n": 0}
 

@@ -137,11 +137,13 @@ def batch_process(
     retry: RetryPolicy | None = None,
     return_entities: bool = True,
     threshold: float = rules.INJECTION_THRESHOLD,
+    merge_tags: bool = False,
 ) -> DataFrame:
     """Run one operation over a table; no row is lost.
 
     Without a model the rules answer.  With one, texts go to it in batches;
     a batch that fails, or an answer that cannot be read, gives failed rows.
+    ``merge_tags`` joins the B-/I- tags of a model that answers by token.
     """
     operation = {"detect_prompt_injection": "detect_injection"}.get(operation, operation)
     if operation not in rules.OPERATIONS:
@@ -164,6 +166,8 @@ def batch_process(
     state = ["latency_seconds", "error", "status"]
     if operation == "mask_pii":
         parsed = _checked(responses.parse_entities(scored, "response", "_found"), text_col, "_found")
+        if merge_tags:
+            parsed = parsed.withColumn("_found", vf.merge_bio(text_col, "_found"))
         done = F.col("status") == rules.STATUS_OK
         result = [F.when(done, vf.apply_mask(text_col, "_found")).alias("masked_text")]
         if return_entities:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from veilwork import schemas
 from veilwork.functions import spans
 from veilwork.functions.spans import FEW
 from veilwork.functions.sqltext import let
-from veilwork.operators.pii import unroll
+from veilwork.operators.pii import mask_pii, unroll
 
 
 def chunk_text(
@@ -42,6 +44,27 @@ def chunk_text(
     )
 
 
+def mask_in_chunks(
+    df: DataFrame,
+    finder: Callable[[DataFrame], DataFrame],
+    key: str,
+    text_col: str = "text",
+    max_chars: int = 1024,
+    overlap: int = 128,
+    priority=(),
+) -> DataFrame:
+    """``mask_pii`` for finders with an input limit.
+
+    ``finder`` adds ``entities`` to a table with a ``chunk`` column.  The key
+    identifies a text.  Texts and their spans meet again by the key; the texts
+    are shuffled once for it.
+    """
+    pieces = chunk_text(df.select(key, text_col), text_col, max_chars, overlap)
+    found = finder(pieces).select(key, "chunk_start", F.col("entities").alias("_found"))
+    lifted = lift_spans(found, key, "_found", priority)
+    return mask_pii(df.join(lifted, key, "left"), text_col, entities_col="_found").drop("_found")
+
+
 def lift_spans(
     chunked: DataFrame, key: str, entities_col: str = "entities", priority=()
 ) -> DataFrame:
