@@ -206,6 +206,17 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert len(rows) == 10_000 and all(r["v"] == 2 * r["k"] for r in rows)
 
 
+def test_large_tables_are_judged_by_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PEEK_ROWS", 20_000)
+    monkeypatch.setattr(skew.peek, "__defaults__", (20_000,))
+    df = spark.range(300_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k")
+    hot = skew.hot_keys(df, F.xxhash64("k"), share=0.05, min_rows=1)
+    assert len(hot) == 1 and 5 <= list(hot.values())[0] <= 9
+    monkeypatch.setattr(batch, "PEEK_ROWS", 1000)
+    out = batch.assign_batches(df, "k", tie="id", rows_per_slot=10_000)
+    assert out.selectExpr("count(DISTINCT position)", "min(position)", "max(position)").first() == (300_000, 0, 299_999)
+
+
 def test_lookup_join_both_ways(spark):
     left = spark.range(1000).selectExpr("id", "id % 5 AS k")
     right = spark.createDataFrame([(0, "a"), (3, "b")], "k long, v string")

@@ -11,6 +11,7 @@ from veilwork.functions import rules
 from veilwork.operators.injection import detect_prompt_injection
 from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.pii import mask_pii
+from veilwork.operators.skew import PEEK_ROWS, peek
 from veilwork.sources import responses
 
 MAX_SLOTS = 20_000
@@ -48,7 +49,9 @@ def assign_batches(
     bounds = []
     if n_slots > 1:
         steps = [i / n_slots for i in range(1, n_slots)]
-        found = narrow.agg(F.percentile_approx("k", steps, max(10_000, 4 * n_slots)).alias("b"))
+        # wherever the cuts fall the numbers are right; a sample cuts evenly enough
+        seen, _ = peek(narrow, n, max(PEEK_ROWS, 100 * n_slots))
+        found = seen.agg(F.percentile_approx("k", steps, max(10_000, 4 * n_slots)).alias("b"))
         bounds = list(found.first()["b"] or [])
     null_parts = max(1, n_null * n_slots // max(n, 1))
 

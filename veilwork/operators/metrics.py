@@ -30,7 +30,7 @@ def latency_summary(df: DataFrame, by: str, latency: str = "latency") -> DataFra
 
 
 def latency_percentiles(
-    df: DataFrame, by: str, latency: str = "latency", accuracy: int = 100_000
+    df: DataFrame, by: str, latency: str = "latency", accuracy: int = 10_000
 ) -> DataFrame:
     """P50, P90 and P99.
 

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
+PEEK_ROWS = 2_000_000
+
+
+def peek(df: DataFrame, rows: int, wanted: int = PEEK_ROWS) -> tuple[DataFrame, float]:
+    """About ``wanted`` of the rows, and the share they are.
+
+    Only to choose where to cut or what to spread; never to compute a result.
+    """
+    share = min(1.0, wanted / max(rows, 1))
+    return (df.sample(share, seed=17) if share < 1 else df), share
 
 
 def hot_keys(
@@ -13,14 +23,17 @@ def hot_keys(
     """Hashes of the keys that hold more than ``share`` of the rows.
 
     Keys of fewer than ``min_rows`` rows are never hot: no task minds them.
-    The value is how many parts of that share the key makes.  There are at
-    most ``1 / share`` such keys and about as many parts, so both lists are
-    small whatever the table.  Counting is pre-aggregated on the map side.
+    The value is how many parts of that share the key makes.  There are about
+    ``1 / share`` such keys and parts at most, so both lists are small whatever
+    the table.  Large tables are judged by a sample: a key that is missed is
+    joined all the same, only not spread.
     """
     hashes = df.select(key_hash.alias("h"))
-    unit = max(float(min_rows), hashes.count() * share)
-    rows = hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > unit).collect()
-    return {r["h"]: int(-(-r["n"] // unit)) for r in rows}
+    rows = hashes.count()
+    unit = max(float(min_rows), rows * share)
+    seen, part = peek(hashes, rows)
+    counts = seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > unit * part)
+    return {r["h"]: int(-(-r["n"] // (unit * part))) for r in counts.collect()}
 
 
 def _parts(key_hash: Column, hot: dict[int, int]) -> Column:
