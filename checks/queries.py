@@ -20,7 +20,7 @@ from veilwork.functions import injection as inj, rules, spans
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.sqltext import any_of, lit
 from veilwork.operators import (
-    batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, variants,
+    batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rows, variants,
 )
 from veilwork.plans import compliance
 from veilwork.session import run_dir
@@ -82,7 +82,7 @@ def _r(col, digits: int = 6):
 @query
 def detect_entities(spark, sf_dir):
     found = pii.add_entities(documents(spark, sf_dir))
-    return pii.unroll(found, "raw_entities", "no", "doc_id").selectExpr(
+    return rows.unroll(found, "raw_entities", "no", "doc_id").selectExpr(
         "doc_id", "e.entity_group AS label", "e.start", "e.end", "e.word", "e.score"
     )
 
@@ -91,8 +91,8 @@ def detect_entities(spark, sf_dir):
 def resolve_spans(spark, sf_dir):
     """Overlapping spans of different rules become one."""
     df = probed_documents(spark, sf_dir).selectExpr("doc_id", "text", f"{spans.raw_spans('text')} AS raw")
-    rows = pii.unroll(df, spans.resolve_spans("text", "raw"), "no", "doc_id")
-    return rows.select("doc_id", "e.start", "e.end", "e.label", "e.word")
+    joined = rows.unroll(df, spans.resolve_spans("text", "raw"), "no", "doc_id")
+    return joined.select("doc_id", "e.start", "e.end", "e.label", "e.word")
 
 
 @query
@@ -113,7 +113,7 @@ def extract_entities(spark, sf_dir):
         "'start', e.start, 'end', e.end))"
     )
     df = pii.add_entities(probed_documents(spark, sf_dir)).selectExpr("doc_id", f"{tagged} AS e")
-    return pii.unroll(df, spans.extract_entities("e"), "no", "doc_id").select("doc_id", "e.*")
+    return rows.unroll(df, spans.extract_entities("e"), "no", "doc_id").select("doc_id", "e.*")
 
 
 @query
@@ -181,7 +181,7 @@ def merge_bio(spark, sf_dir):
         f"transform({spans.raw_spans('e.word', (word,))}, (s, i) -> {token})))"
     )
     df = pii.add_entities(probed_documents(spark, sf_dir)).selectExpr("doc_id", "text", f"{tokens} AS tokens")
-    merged = pii.unroll(df, spans.merge_bio("text", "tokens"), "no", "doc_id")
+    merged = rows.unroll(df, spans.merge_bio("text", "tokens"), "no", "doc_id")
     return merged.select(
         "doc_id", F.col("e.entity_group").alias("label"), "e.start", "e.end", "e.word",
         _r("e.score").alias("score"),
@@ -443,7 +443,7 @@ def lift_spans(spark, sf_dir):
     pieces = chunks.chunk_text(probed_documents(spark, sf_dir).select("doc_id", "text"), max_chars=512, overlap=128)
     found = pii.add_entities(pieces, "chunk", "entities")
     lifted = chunks.lift_spans(found, "doc_id", priority=[r.label for r in rules.PII_RULES])
-    return pii.unroll(lifted, "entities", "no", "doc_id").selectExpr(
+    return rows.unroll(lifted, "entities", "no", "doc_id").selectExpr(
         "doc_id", "e.start", "e.end", "e.entity_group AS label", "e.word"
     )
 

@@ -11,6 +11,7 @@ from veilwork.functions import rules
 from veilwork.operators.injection import detect_prompt_injection
 from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.pii import mask_pii
+from veilwork.operators.rows import quoted
 from veilwork.operators.skew import PEEK_ROWS, peek
 from veilwork.sources import responses
 
@@ -80,7 +81,7 @@ def assign_batches(
         .join(F.broadcast(counts), ["_slot", "_part"], "left")
         .withColumn("position", F.col("_before") + F.col("_row") - 1)
         .select(
-            *df.columns,
+            *quoted(df.columns),
             "position",
             F.expr(f"position DIV {size} + 1").alias("batch_no"),
             F.lit(-(-n // size)).cast("bigint").alias("n_batches"),
@@ -151,7 +152,7 @@ def batch_process(
     operation = {"detect_prompt_injection": "detect_injection"}.get(operation, operation)
     if operation not in rules.OPERATIONS:
         raise ValueError(f"operation must be one of {', '.join(rules.OPERATIONS)}")
-    keep = list(df.columns)
+    keep = quoted(df.columns)
     if make_model is None:
         if operation == "mask_pii":
             out = mask_pii(df, text_col, return_entities)

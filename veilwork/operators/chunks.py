@@ -10,7 +10,8 @@ from veilwork import schemas
 from veilwork.functions import spans
 from veilwork.functions.spans import FEW
 from veilwork.functions.sqltext import let
-from veilwork.operators.pii import mask_pii, unroll
+from veilwork.operators.pii import mask_pii
+from veilwork.operators.rows import quoted, unroll
 
 
 def chunk_text(
@@ -37,7 +38,7 @@ def chunk_text(
         f"encode({text_col}, 'UTF-32')",
         pieces(f"decode(substring(b, 4 * i * {step} + 1, {4 * max_chars}), 'UTF-32')"),
     )
-    keep = [c for c in df.columns if c != text_col]
+    keep = quoted(df.columns, but=[text_col])
     cut = f"CASE WHEN {text_col} IS NULL THEN NULL WHEN {last} < {FEW} THEN {walked} ELSE {recoded} END"
     return unroll(df, cut, "chunk_no", *keep).select(
         *keep, "chunk_no", "e.chunk_start", "e.chunk"

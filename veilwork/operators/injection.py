@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import functions as vf
 from veilwork.functions import injection as inj, rules, spans
-from veilwork.operators.pii import add_once
+from veilwork.operators.rows import add_once, quoted
 
 DECISION_FIELDS = ("is_injection", "injection_score", "safe_score", "confidence", "classification")
 
@@ -30,7 +30,8 @@ def detect_prompt_injection(
     else:
         judged = inj.decide(inj.fold_label_scores(labels_col), threshold)
     return add_once(df, "_judged", judged).select(
-        *df.columns, *[F.col(f"_judged.{f}").alias(f) for f in DECISION_FIELDS]
+        *quoted(df.columns, but=DECISION_FIELDS),
+        *[F.col(f"_judged.{f}").alias(f) for f in DECISION_FIELDS],
     )
 
 
@@ -76,7 +77,7 @@ def dual_filter(
         "masked_text", F.when(~F.col("is_injection"), vf.apply_mask(text_col, "_found"))
     )
     return masked.select(
-        *judged.columns,
+        *quoted(judged.columns, but=["masked_text", "entities", "decision"]),
         "masked_text",
         F.when(~F.col("is_injection"), vf.extract_entities("_found")).alias("entities"),
         F.when(F.col("is_injection"), "blocked")

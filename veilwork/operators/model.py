@@ -145,6 +145,6 @@ def score_with_pipeline(
         ]
     )
     return scored.select(
-        *[F.col("_original").alias(c) if c == text_col else F.col(c) for c in keep],
+        *[F.col("_original").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
         answer.alias("labels"),
     )

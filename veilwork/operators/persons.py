@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilwork.functions import rules
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.spans import raw_spans
-from veilwork.operators.pii import unroll
+from veilwork.operators.rows import unroll
 from veilwork.operators.skew import lookup_join
 
 # The look-ahead leaves the second word to be the first of the next pair, so

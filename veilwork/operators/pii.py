@@ -10,26 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import functions as vf
 from veilwork.functions import rules, spans
-
-
-def unroll(df: DataFrame, array: str, number: str, *keys: str) -> DataFrame:
-    """One row per element ``e`` of an array expression, with its number.
-
-    The outer form and a filter behind it: for the plain form Spark puts a
-    test of the array's size in front, which would work the array out twice.
-    """
-    rows = df.selectExpr(*keys, f"posexplode_outer({array}) AS ({number}, e)")
-    return rows.where(F.col(number).isNotNull())
-
-
-def add_once(df: DataFrame, out: str, sql: str) -> DataFrame:
-    """Add a column whose dear expression is worked out once per row.
-
-    Spark moves a later filter on a plain column below it, with the whole
-    expression put in the filter's place for each use.  It does not move one
-    below a generator, here of one row.
-    """
-    return df.selectExpr(*[c for c in df.columns if c != out], f"explode(array({sql})) AS {out}")
+from veilwork.operators.rows import add_once, quoted, unroll
 
 
 def add_entities(
@@ -50,16 +31,16 @@ def mask_pii(
     The mask covers all spans; the list holds those above the score.  Spans
     come from the rules, or from ``entities_col`` where a model gave them.
     """
-    keep = list(df.columns)
+    added = ["masked_text", "entities"] if return_entities else ["masked_text"]
+    keep = quoted(df.columns, but=added)
     if entities_col is None:
         entities_col = "_found"
         df = add_entities(df, text_col, entities_col, pii_rules)
-    out = df.select(
-        *keep,
-        vf.apply_mask(text_col, entities_col).alias("masked_text"),
-        *([vf.extract_entities(entities_col).alias("entities")] if return_entities else []),
-    )
-    return out
+    columns = {
+        "masked_text": vf.apply_mask(text_col, entities_col),
+        "entities": vf.extract_entities(entities_col),
+    }
+    return df.select(*keep, *[columns[c].alias(c) for c in added])
 
 
 def entity_rows(masked: DataFrame, *keys: str) -> DataFrame:
@@ -98,7 +79,7 @@ def deidentify_records(df: DataFrame, text_col: str = "text") -> DataFrame:
 def redaction_summary(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Per document: short forms of both texts for a log, and counts by type."""
     masked = mask_pii(df, text_col)
-    keep = [c for c in df.columns if c != text_col]
+    keep = quoted(df.columns, but=[text_col])
     return masked.select(
         *keep,
         vf.preview(text_col, 100).alias("original_preview"),

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veilwork.functions import rules
 from veilwork.operators.injection import dual_filter, moderate_chat
+from veilwork.operators.rows import quoted
 
 
 def _write(out: DataFrame, path: str, checkpoint: str, available_now: bool, by: str) -> StreamingQuery:
@@ -42,8 +43,7 @@ def filter_stream(
     """
     routed = dual_filter(messages, text_col, threshold)
     kept = routed.selectExpr(
-        *[c for c in routed.columns if c not in (text_col, "masked_text")],
-        "masked_text",
+        *quoted(routed.columns, but=[text_col]),
         f"IF(is_injection, {text_col}, NULL) AS blocked_text",
     )
     return _write(kept, path, checkpoint, available_now, "decision")
