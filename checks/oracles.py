@@ -324,6 +324,10 @@ FROM numbered"""
     out["mask_in_chunks"] = f"""WITH {masked(PROBED_DOCS)}
 SELECT id AS doc_id, masked_text, n::INT AS n_entities FROM masked"""
 
+    out["score_with_model"] = """SELECT doc_id, CASE WHEN (length(text) - length(replace(text, 'e', '')))
+    / greatest(length(text), 1) > 0.1 THEN 'INJECTION_DETECTED' ELSE 'SAFE' END AS classification,
+    0.9::DOUBLE AS confidence, 'ok' AS status FROM documents"""
+
     out["latency_summary"] = f"""SELECT variant, count(latency) AS n_samples, round(avg(latency), 6) AS mean_latency,
     round(coalesce(stddev_samp(latency), 0), 6) AS std_latency FROM ({LOG}) GROUP BY variant"""
     out["latency_percentiles"] = f"""SELECT variant, quantile_disc(latency, 0.5) AS p50,

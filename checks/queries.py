@@ -463,12 +463,12 @@ def mask_in_chunks(spark, sf_dir):
 
 @query
 def score_with_model(spark, sf_dir):
-    """The model stands for a user's: it flags texts with many upper-case letters."""
+    """The model stands for a user's: it flags texts with many e's."""
 
     def make_model():
         def score(batch_texts: list[str]) -> list:
-            shares = [sum(c.isupper() for c in t) / max(len(t), 1) for t in batch_texts]
-            return [[{"label": "INJECTION" if s > 0.05 else "SAFE", "score": 0.9}] for s in shares]
+            shares = [t.count("e") / max(len(t), 1) for t in batch_texts]
+            return [[{"label": "INJECTION" if s > 0.1 else "SAFE", "score": 0.9}] for s in shares]
 
         return score
 

@@ -17,7 +17,7 @@ def con():
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"score_with_model", "score_with_pipeline"}
+    assert set(QUERIES) - set(SQL) == {"score_with_pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
