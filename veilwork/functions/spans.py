@@ -21,7 +21,6 @@ from veilwork.functions.sqltext import holds, let, lit
 MARK = "﷐"
 SPARE = "﷑"
 
-
 # Up to this many cuts, walking the text once per cut is cheaper than recoding it
 FEW = 64
 
@@ -29,28 +28,33 @@ NO_SPANS = f"CAST(array() AS {schemas.SPANS})"
 
 
 def each_match(text: str, pattern: str, found: str) -> str:
-    """``found`` for each match ``p`` of a pattern, which begins at ``a.pos``.
+    """Array of ``found`` for each match ``p`` of a pattern; it begins at ``at[i]``.
 
     One pass of the pattern marks the matches, and a split at the marks makes
-    every second piece a match.  ``found`` is an array of spans.
+    every second piece a match.  Beginnings are gathered in a string: to add to
+    a string is one copy of bytes, to add to an array is one step per element,
+    which tells where a text has many thousands of matches.
     """
     marked = f"regexp_replace({text}, {lit(pattern)}, '{MARK}$0{MARK}')"
-    taken = (
-        f"aggregate(split(m, '{MARK}', -1), named_struct('pos', 0, 'odd', false, 'out', {NO_SPANS}), "
+    begins = (
+        "split(aggregate(ps, named_struct('pos', 0, 'odd', false, 'begins', ''), "
         "(a, p) -> named_struct('pos', a.pos + length(p), 'odd', NOT a.odd, "
-        f"'out', IF(a.odd, concat(a.out, {found}), a.out)), a -> a.out)"
+        "'begins', IF(a.odd, concat(a.begins, CAST(a.pos AS string), ','), a.begins)), "
+        "a -> a.begins), ',')"
     )
+    taken = let("at", begins, f"transform(filter(ps, (p, i) -> i % 2 = 1), (p, i) -> {found})")
     # a text without a match comes back as it was
-    return let("m", marked, f"IF(m != {text}, {taken}, {NO_SPANS})")
+    return let("m", marked, f"IF(m != {text}, {let('ps', f"split(m, '{MARK}', -1)", taken)}, NULL)")
 
 
 def rule_spans(text: str, rule: PiiRule, prio: int) -> str:
     """All matches of one rule, left to right, as an array of spans."""
     span = (
-        f"array(named_struct('start', a.pos, 'prio', {prio}, 'end', a.pos + length(p), "
-        f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p))"
+        f"named_struct('start', CAST(at[i] AS int), 'prio', {prio}, "
+        f"'end', CAST(at[i] AS int) + length(p), "
+        f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p)"
     )
-    found = each_match(text, rule.regex, span)
+    found = f"coalesce({each_match(text, rule.regex, span)}, {NO_SPANS})"
     return f"IF({holds(text, rule.needs)}, {found}, {NO_SPANS})" if rule.needs else found
 
 
@@ -68,13 +72,15 @@ def line_spans(text: str, ranked: Sequence[tuple[PiiRule, int]]) -> str:
     scan = lit(f"{ahead}(?:{'|'.join(['@', *(r.pattern for r in cheap)])})")
     found = f"concat({', '.join(rule_spans('l', r, i) for r, i in ranked)})"
     shifted = (
-        f"transform({found}, x -> named_struct('start', x.start + a.pos, 'prio', x.prio, "
-        "'end', x.end + a.pos, 'label', x.label, 'score', x.score, 'word', x.word))"
+        f"transform({found}, x -> named_struct('start', x.start + CAST(at[i] AS int), "
+        "'prio', x.prio, 'end', x.end + CAST(at[i] AS int), 'label', x.label, "
+        "'score', x.score, 'word', x.word))"
     )
     in_line = let("l", "p", f"IF(rlike(l, {scan}), {shifted}, {NO_SPANS})")
     key = rules.one_of(digits + "@")
     line = rf"(?md)^[^\n{key[1:-1]}]*+{key}[^\n]*"
-    return f"IF(rlike({text}, '{key}'), {each_match(text, line, in_line)}, {NO_SPANS})"
+    lines = f"coalesce(flatten({each_match(text, line, in_line)}), {NO_SPANS})"
+    return f"IF(rlike({text}, '{key}'), {lines}, {NO_SPANS})"
 
 
 def raw_spans(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:
