@@ -94,6 +94,11 @@ def raw_spans(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:
     return f"IF({text} IS NULL, {NO_SPANS}, {let('t', clean, every)})"
 
 
+def overlaps(spans: str) -> str:
+    """True where a span begins before the one in front of it ends."""
+    return f"exists(sequence(1, size({spans}) - 1), i -> {spans}[i].start < {spans}[i - 1].end)"
+
+
 def resolve_spans(text: str, spans: str) -> str:
     """Join overlapping spans: the union is kept, the best rule names it."""
     merged = (
@@ -112,9 +117,8 @@ def resolve_spans(text: str, spans: str) -> str:
         "'end', x.end, 'label', x.label, 'score', x.score, "
         f"'word', substring({text}, x.start + 1, x.end - x.start)))"
     )
-    overlap = "exists(sequence(1, size(s) - 1), i -> s[i].start < s[i - 1].end)"
     return let(
-        "s", f"array_sort({spans})", f"IF(size(s) > 1 AND {overlap}, {worded}, s)"
+        "s", f"array_sort({spans})", f"IF(size(s) > 1 AND {overlaps('s')}, {worded}, s)"
     )
 
 

@@ -101,4 +101,5 @@ def lift_spans(
         "IF(size(o) = 0 OR x.start >= element_at(o, -1).end, concat(o, array(x)), "
         f"concat(slice(o, 1, size(o) - 1), {let('l', 'element_at(o, -1)', f'array({merged})')})))"
     )
-    return grouped.select(key, F.expr(spans.spans_to_entities(folded)).alias(entities_col))
+    apart = f"IF(size(_s) > 1 AND {spans.overlaps('_s')}, {folded}, _s)"
+    return grouped.select(key, F.expr(spans.spans_to_entities(apart)).alias(entities_col))
