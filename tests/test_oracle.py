@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, connect
+from checks.oracles import oracles
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+SQL = oracles()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def con():
 
 
 def test_names():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"score_with_pipeline"}
 
