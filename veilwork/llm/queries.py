@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import chat, quality
+from veilwork.llm import bpe, chat, quality, token_counts
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,34 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality_cascade(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_bpe(spark, sf_dir):
+    path = tokenizer("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) div 4 AS bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    counts = token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")
+    )
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 @query
 def op9_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
