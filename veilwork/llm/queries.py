@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, quality, token_counts
+from veilwork.llm import bpe, chat, quality, token_counts, topk
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op5_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@query
+def op6_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -152,3 +157,20 @@ WITH t AS (
 SELECT conv_id, n_turns, turns_sha256, length(u) AS loss_chars, sha256(u) AS loss_sha256, formatted_chars
 FROM s JOIN n USING (conv_id)
 """
+
+ORACLES["op6_top_k"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    coalesce(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+    vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
