@@ -105,13 +105,13 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def order_rules(base: DataFrame, rules: list[Rule], sample_rows: int = 2000,
-                fraction: float = 0.02) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text",
+                sample_rows: int = 2000, fraction: float = 0.02) -> list[Rule]:
     """Rules by rejections per second on a sample of at most ``sample_rows`` rows.
 
     The sample chooses an order and nothing else.
     """
-    sample = base.sample(fraction, seed=11).limit(sample_rows).persist()
+    sample = base_counts(docs.sample(fraction, seed=11).limit(sample_rows), key, text).persist()
     try:
         rows = sample.count()
         if not rows:
@@ -145,7 +145,7 @@ def quality_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns of the table are not read.
     """
     base = base_counts(docs, key, text)
-    ordered = order_rules(base, default_rules() if rules is None else rules, sample_rows)
+    ordered = order_rules(docs, default_rules() if rules is None else rules, key, text, sample_rows)
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
