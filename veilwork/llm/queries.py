@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, quality, token_counts, topk
+from veilwork.llm import bpe, chat, mixing, quality, token_counts, topk
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,30 @@ def query(fn):
     return fn
 
 
+#: The tree of sources: a domain is every fourth source.
+LEVELS = ["domain", "lang", "source"]
+WEIGHTS = {
+    ("domain0",): 4, ("domain1",): 2, ("domain2",): 2, ("domain3",): 1,
+    ("domain0", "en"): 4, ("domain0", "de"): 2, ("domain0", "fr"): 2,
+    ("domain1", "en"): 3, ("domain2", "en"): 2, ("domain3", "es"): 0,
+    ("domain1", "en", "src1"): 3, ("domain2", "fr", "src2"): 5,
+}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    domain = F.concat(F.lit("domain"), F.coalesce(number.try_cast("long"), F.lit(0)) % 4)
+    return docs.withColumn("domain", domain)
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    docs = with_domain(table(spark, sf_dir, "documents")).select(
+        "doc_id", *LEVELS, mixing.count_words(F.col("text")).alias("n_tokens")
+    )
+    return mixing.mix_to_weights(docs, LEVELS, WEIGHTS, budget_share=0.9, seed=17)
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     return quality.quality_cascade(table(spark, sf_dir, "documents"))
@@ -174,3 +198,80 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def _dealt(depth: int) -> str:
+    """Budgets of the nodes at one depth from those above, in plain SQL."""
+    on = ", ".join(LEVELS[:depth])
+    parent = ", ".join(LEVELS[:depth - 1]) or "1"
+    join = f"JOIN b{depth - 1} USING ({parent})" if depth > 1 else "CROSS JOIN b0"
+    return f"""
+n{depth} AS (
+  SELECT {on}, budget AS given, cap{depth} AS cap, w{depth} AS w FROM caps{depth} {join}
+), r{depth} AS (
+  SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY CASE WHEN w = 0 THEN 1 ELSE 0 END,
+    CASE WHEN w > 0 THEN cap // w ELSE 0 END, CASE WHEN w > 0 THEN (cap % w) / w ELSE 0 END, {on}) AS i
+  FROM n{depth}
+), f{depth} AS (
+  SELECT *, w = 0 OR cap::HUGEINT * sum(w) OVER (PARTITION BY {parent} ORDER BY i DESC)
+    <= (given - (sum(cap) OVER (PARTITION BY {parent} ORDER BY i) - cap))::HUGEINT * w AS is_full
+  FROM r{depth}
+), g{depth} AS (
+  SELECT *, given - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS room,
+    sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY {parent}) AS wide,
+    sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY {parent} ORDER BY i) AS upto
+  FROM f{depth}
+), b{depth} AS (
+  SELECT {on}, CASE WHEN is_full THEN cap ELSE
+    (room::HUGEINT * upto) // wide - (room::HUGEINT * (upto - w)) // wide END AS budget
+  FROM g{depth}
+)"""
+
+
+def _caps() -> str:
+    out = []
+    below = "SELECT *, 4 * supply AS c FROM supplies"
+    for depth in range(len(LEVELS), 0, -1):
+        on = ", ".join(LEVELS[:depth])
+        cases = " ".join(
+            "WHEN " + " AND ".join(f"{c} = '{v}'" for c, v in zip(LEVELS, path)) + f" THEN {w}"
+            for path, w in WEIGHTS.items() if len(path) == depth
+        )
+        weight = f"CASE {cases} ELSE 1 END" if cases else "1"
+        out.append(f"""caps{depth} AS (
+  SELECT {on}, {weight} AS w{depth}, CASE WHEN {weight} > 0 THEN sum(c) ELSE 0 END::BIGINT AS cap{depth}
+  FROM ({below}) GROUP BY {on}
+)""")
+        below = f"SELECT *, cap{depth} AS c FROM caps{depth}"
+    return ",\n".join(out)
+
+
+ORACLES["op1_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT), 0) % 4) AS domain,
+    lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM documents
+), supplies AS (
+  SELECT domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, sum(n_tokens)::BIGINT AS supply
+  FROM d GROUP BY ALL
+), {_caps()},
+b0 AS (
+  SELECT least((SELECT sum(cap1) FROM caps1), floor((SELECT sum(supply) FROM supplies) * 0.9))::BIGINT AS budget
+), {_dealt(1)}, {_dealt(2)}, {_dealt(3)},
+leaf AS (
+  SELECT s.*, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs,
+    CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest
+  FROM supplies s JOIN b3 USING (domain, lang, source)
+), o AS (
+  SELECT d.*, epochs, rest,
+    ('0x' || substr(md5('17|' || epochs || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u
+  FROM d JOIN leaf l ON l.domain = d.domain AND l.lang = coalesce(d.lang, '') AND l.source = coalesce(d.source, '')
+), p AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY u, coalesce(doc_id::VARCHAR, '')
+    RANGE UNBOUNDED PRECEDING) - n_tokens AS before
+  FROM o
+)
+SELECT doc_id, domain, lang, source, n_tokens,
+  (epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM p
+"""
