@@ -1 +1,8 @@
 """Operators for training-data pipelines; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# workers need no copy of the package: its functions travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

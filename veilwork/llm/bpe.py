@@ -96,11 +96,11 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     merges = Merges(path)
     words = {w.encode("utf-8"): [] for w in frequent_words(docs, text)}
     name = ship(docs.sparkSession, compile_words({w: merges.encode(w) for w in words}))
-    shared = docs.sparkSession.sparkContext.broadcast(merges)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(merges))
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value, Lexicon(SparkFiles.get(name)))
+        encoder = Encoder(Merges.of(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in batches:
             yield pd.Series([encoder.encode(b.decode("utf-8", "replace")) for b in batch], dtype=object)
 

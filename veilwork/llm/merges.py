@@ -34,7 +34,7 @@ def byte_chars() -> list[str]:
 class Merges:
     """Merge the lowest-ranked pair, leftmost first, until no pair is left.
 
-    Pickles as plain dicts and lists, so it can be broadcast.
+    Its attributes are plain dicts and lists, which are broadcast.
     """
 
     def __init__(self, path: str):
@@ -62,6 +62,13 @@ class Merges:
         for content, number in self.specials.items():
             self.bytes[number] = content.encode()
 
+    @classmethod
+    def of(cls, parts: dict) -> "Merges":
+        """From the attributes of another one, as they are broadcast."""
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        return made
+
     def symbols(self, word: bytes) -> list[int]:
         ids = [self.first[b] for b in word]
         if ids:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import bpe, chat, mixing, quality, surrogates, token_counts, topk
+from veilwork.llm import archive, bpe, chat, mixing, quality, surrogates, token_counts, topk
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op6_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_warc(spark, sf_dir):
+    return archive.convert_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_pii_surrogates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -281,3 +286,15 @@ SELECT doc_id, domain, lang, source, n_tokens,
   (epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM p
 """
+
+ORACLES["op7_warc"] = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""

@@ -94,11 +94,12 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     most ``Memo.SIZE`` words.
     """
     merges = Merges(path)
-    shared = docs.sparkSession.sparkContext.broadcast((merges, whole_tokens(merges)))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(merges), whole_tokens(merges)))
 
     @F.pandas_udf("bigint")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(*shared.value)
+        parts, whole = shared.value
+        counter = Counter(Merges.of(parts), whole)
         for batch in batches:
             yield pd.Series([counter.count(b.decode("utf-8", "replace")) for b in batch], dtype="int64")
 
