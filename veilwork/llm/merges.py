@@ -187,6 +187,5 @@ class Memo(dict):
 
     SIZE = 400_000
 
-    def room(self, wanted: int) -> None:
-        if len(self) + wanted > self.SIZE:
-            self.clear()
+    def full(self, wanted: int) -> bool:
+        return bool(self) and len(self) + wanted > self.SIZE

@@ -73,10 +73,10 @@ class Counter:
             for tokens in self.pre.pieces(normal(part)):
                 rest = [t for t in tokens if t not in whole]
                 total += len(tokens) - len(rest)
-                new = set(rest).difference(memo)
-                memo.room(len(new))
-                if new and not memo:  # emptied just now
-                    new = set(rest)
+                new = [t for t in set(rest) if t not in memo]
+                if memo.full(len(new)):
+                    memo.clear()
+                    new = list(set(rest))
                 for t in new:
                     memo[t] = len(self.merges.encode(t.encode("utf-8")))
                 total += sum(map(memo.__getitem__, rest))
