@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilwork.llm.lexicon import Lexicon, compile_words
-from veilwork.llm.merges import BYTE_PATTERN, Memo, Merges, PreTokens, split_specials
+from veilwork.llm.merges import BYTE_PATTERN, LONG_TEXT, Memo, Merges, PreTokens, split_specials
 
 BUCKETS = 16
 _shipped: dict[tuple[str, str], str] = {}
@@ -64,27 +64,67 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8") for w in words]
-        for word, data, number in zip(words, raw, self.lexicon.find(raw).tolist()):
-            ids = self.lexicon.output(number) if number >= 0 else self.merges.encode(data)
-            self.memo[word] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out, memo = [], self.memo
+        flat: list[int] = []
+        ends = [0]
+        for data, number in zip(raw, self.lexicon.find(raw).tolist()):
+            flat += self.lexicon.output(number) if number >= 0 else self.merges.encode(data)
+            ends.append(4 * len(flat))
+        packed = np.array(flat, "<u4").tobytes()
+        self.memo.update((w, packed[a:b]) for w, a, b in zip(words, ends, ends[1:]))
+
+    def _parts(self, text: str):
+        """Lists of pre-tokens, and special ids as bytes."""
         for part, special in split_specials(text, self.merges.specials):
             if part is None:
-                out.append(special.to_bytes(4, "little"))
-                continue
-            for tokens in self.pre.pieces(part):
-                new = set(tokens).difference(memo)
-                memo.room(len(new))
-                if new and not memo:  # emptied just now
-                    new = set(tokens)
-                if new:
-                    self.learn(list(new))
-                out.append(b"".join(map(memo.__getitem__, tokens)))
+                yield special.to_bytes(4, "little")
+            else:
+                yield from self.pre.pieces(part)
+
+    def _known(self, parts: list) -> None:
+        words = {t for p in parts if not isinstance(p, bytes) for t in p}
+        new = [t for t in words if t not in self.memo]
+        if self.memo.full(len(new)):
+            self.memo.clear()
+            new = list(words)
+        if new:
+            self.learn(new)
+
+    def _joined(self, parts: list) -> bytes:
+        find = self.memo.__getitem__
+        return b"".join(p if isinstance(p, bytes) else b"".join(map(find, p)) for p in parts)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; a long text goes piece by piece."""
+        out = []
+        for part in self._parts(text):
+            self._known([part])
+            out.append(self._joined([part]))
         return b"".join(out)
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Short texts are taken together, so that one walk looks up the new words of all."""
+        out: list[bytes] = []
+        group: list[list] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal group, size
+            self._known([p for parts in group for p in parts])
+            out.extend(map(self._joined, group))
+            group, size = [], 0
+
+        for text in texts:
+            if len(text) > LONG_TEXT:
+                close()
+                out.append(self.encode(text))
+                continue
+            group.append(list(self._parts(text)))
+            size += len(text)
+            if size > LONG_TEXT:
+                close()
+        close()
+        return out
+
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     """Column of ids (binary, 4 little-endian bytes each) of every whole text.
@@ -102,7 +142,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(Merges.of(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            yield pd.Series([encoder.encode(b.decode("utf-8", "replace")) for b in batch], dtype=object)
+            yield pd.Series(encoder.encode_many([b.decode("utf-8", "replace") for b in batch]), dtype=object)
 
     return ids(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
 

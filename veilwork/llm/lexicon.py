@@ -75,7 +75,7 @@ class Lexicon:
     """The mapped automaton; looks up many words in one vectorised walk."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, dtype="<i8", mode="r")
+        data = np.asarray(np.memmap(path, dtype="<i8", mode="r"))  # a plain view, still mapped
         self.start, n_arcs, n_states, n_words, n_ids, self.longest = (int(x) for x in data[:_HEAD])
         at = _HEAD
 
