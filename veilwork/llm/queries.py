@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import archive, bpe, chat, minhash, mixing, quality, surrogates, token_counts, topk
+from veilwork.llm import archive, bpe, chat, minhash, mixing, quality, surrogates, token_counts, topk, toxicity
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality_cascade(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers
