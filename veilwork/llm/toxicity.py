@@ -309,19 +309,18 @@ def measured(spark: SparkSession, parts: tuple):
     return measure
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                   label: str = "toxic") -> DataFrame:
-    """``key``, held_out, score (0 to 1) and predicted of every whole text.
+def with_score(docs: DataFrame, labels: DataFrame, out: str = "score", key: str = "doc_id",
+               text: str = "text", label: str = "toxic") -> DataFrame:
+    """The table with a column of scores (0 to 1); one of that name gives way.
 
     Null and empty texts are scored as texts without a hit.  Rows are scored one
     by one, so repeated rows come back repeated.  An empty table gives an empty
-    one; other columns are not read.  A worker holds one Arrow batch, a million
-    characters of one text as words, its hits, and a memo of bounded size.
+    one.  A worker holds one Arrow batch, a million characters of one text as
+    words, its hits, and a memo of bounded size.
     """
     parts, model = fit(docs, labels, key, text, label)
-    spark = docs.sparkSession
     numbers = None if model is None else (model.mean, model.scale, model.weights)
-    shared = spark.sparkContext.broadcast((parts, numbers))
+    shared = docs.sparkSession.sparkContext.broadcast((parts, numbers))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -335,5 +334,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             yield pd.Series(Model(*numbers).score(x))
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    out = docs.select(F.col(f"`{key}`").alias(key), held_out(F.col(f"`{key}`")).alias("held_out"), scored(body).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(out, scored(body))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                   label: str = "toxic") -> DataFrame:
+    """``key``, held_out, score and predicted of every whole text; see ``with_score``."""
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
+    out = with_score(rows, labels, "score", key, text, label)
+    return out.select(
+        F.col(f"`{key}`"), held_out(F.col(f"`{key}`")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
