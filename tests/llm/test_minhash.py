@@ -78,10 +78,9 @@ def test_groups(spark, n, percent):
     assert run(spark, rows, n, percent) == brute(rows, n, percent)
 
 
-def test_long_lists_are_divided(spark, monkeypatch):
+def test_warm_values(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 4)
     monkeypatch.setattr(minhash, "PIVOTS", 2)
-    monkeypatch.setattr(minhash, "LEFT_OVER", 3)
     rows = list(enumerate(texts(1, 3, 40, 60, 0.025)))
     assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
 

@@ -6,16 +6,22 @@ in that value's inverted list.  Of such pairs the sketch of the union (the
 smallest values of both sketches) gives an estimate, which drops pairs far
 below the limit; what is left is verified on the full sets.
 
-Texts with equal sets are one class from the start.  In a list of few classes
-all pairs are candidates.  In a longer one each class first meets a few pivots;
-where that joins all classes of the list nothing more is to be found there.
-Else the classes outside its largest component meet all others if they are few;
-if not, the list is divided by a second shared value, then by a third, behind
-which they meet all others however many they are.  So no pair is left out by a
-limit, and copies by the thousand cost a few comparisons each.
-
-With the first 10 values in lists, a pair at 0.85 meets in none with probability
-under 0.15**10; sets of up to 60 are covered for certain.  The estimate is
+Texts with equal sets are one class from the start.  Sketch values that many
+classes share are warm, the others cold.  Each class is listed under its first
+cold values; these lists are short, and all pairs in them are candidates.  That
+covers every class at least half of whose sketch is cold: what it shares with a
+near copy cannot be warm alone.  The other classes, made of content that many
+share, are also listed under their first warm values.  In such a list each
+class first meets a few pivots; where that joins all classes of the list,
+nothing more is to be found there.  Else the classes outside the largest
+component meet all others of the list, once for each pair (in the list of the
+smallest value both are listed under), and only pairs that the estimate passes
+leave the join.  So no pair is left out by a limit, and copies by the thousand
+cost a few comparisons each.
+
+A pair at 0.85 shares each of the listed values with probability 0.65 or more
+(both halves of a set count), so it meets in none of 16 lists with probability
+under 0.35**16; sets of up to 48 are covered for certain.  The estimate is
 passed over at five standard deviations.  Hashes have 64 bits.
 """
 
@@ -25,18 +31,14 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veilwork.llm.common import cut, words
+from veilwork.llm.common import cut, join_small, words
 from veilwork.llm.components import components
 
-LISTED = 10
-DIVIDED_BY = 16
-SKETCH = 32
-#: Classes of a list that all meet each other, and pivots of a longer one.
+LISTED = 16
+SKETCH = 48
+#: Classes that share a cold value at most, and pivots of the list of a warm one.
 FEW = 32
 PIVOTS = 16
-#: Classes outside the largest component that meet all others without a further division.
-LEFT_OVER = 64
-DEPTH = 2
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -57,11 +59,35 @@ def _class(h: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(h)), F.lit("-"), F.hex(F.xxhash64(F.lit(7), h)))
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column) -> DataFrame:
-    """Candidate pairs of one list whose sizes allow a link, smaller class first."""
-    joined = left.join(right, "g").where(more)
-    joined = joined.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return joined.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+def _sized(percent: int) -> Column:
+    return 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+
+
+def _ordered() -> list[Column]:
+    return [F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")]
+
+
+def _whole() -> Column:
+    """Both sketches are whole sets, so the estimate is the similarity itself."""
+    return (F.col("n1") <= SKETCH) & (F.col("n2") <= SKETCH)
+
+
+def _near(percent: int) -> Column:
+    """Whether the sketch of the union of ``s1`` and ``s2`` allows a link."""
+    t = percent / 100
+    slack = 5 * (t * (1 - t) / SKETCH) ** 0.5
+
+    def judge(union: Column) -> Column:
+        seen = F.when(_whole(), F.size(union)).otherwise(F.least(F.size(union), F.lit(SKETCH)))
+        shared = F.size(F.array_intersect(F.slice(union, F.lit(1), seen), F.array_intersect("s1", "s2")))
+        return F.when(_whole(), 100 * shared >= percent * seen).otherwise(shared >= (t - slack) * seen)
+
+    return F.get(F.transform(F.array(F.array_sort(F.array_union("s1", "s2"))), judge), F.lit(0))
+
+
+def _numbered(df: DataFrame, x: int, **more: str) -> DataFrame:
+    names = {"c": "c", "n": "n", **more}
+    return df.select("g", *[F.col(c).alias(f"{short}{x}") for c, short in names.items()])
 
 
 class _Search:
@@ -74,19 +100,7 @@ class _Search:
             F.col("c").alias(name), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("id").alias(f"id{x}")
         )
         met = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-        union = F.array_sort(F.array_union("s1", "s2"))
-        whole = (F.col("n1") <= SKETCH) & (F.col("n2") <= SKETCH)
-        # if both sketches are whole sets, the estimate is the similarity itself
-        seen = F.when(whole, F.size(union)).otherwise(F.least(F.size(union), F.lit(SKETCH)))
-        shared = F.size(F.array_intersect(F.slice(union, F.lit(1), seen), F.array_intersect("s1", "s2")))
-        t = self.percent / 100
-        slack = F.when(whole, F.lit(0.0)).otherwise(5 * (t * (1 - t) / SKETCH) ** 0.5)
-        met = met.select(
-            "a", "b", "id1", "id2", whole.alias("whole"),
-            F.when(whole, 100 * shared >= self.percent * seen)
-            .otherwise(shared >= (F.lit(t) - slack) * seen).alias("near"),
-        )
-        met = cut(met.where("near").drop("near"), "near-met")
+        met = cut(met.where(_near(self.percent)).select("a", "b", "id1", "id2", _whole().alias("whole")), "near-met")
         open_ = met.where("NOT whole")
         sure = met.where("whole").select("a", "b")
         wanted = cut(
@@ -105,64 +119,60 @@ class _Search:
         linked = full.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b")
         return cut(sure.unionByName(linked), "near-links")
 
+    def tagged(self) -> DataFrame:
+        """Classes with their cold and warm sketch values, smallest first."""
+        values = self.classes.select(F.explode("sketch").alias("v"))
+        warm = cut(
+            values.groupBy("v").agg(F.count("*").alias("k")).where(F.col("k") > FEW)
+            .select("v", F.lit(True).alias("warm")),
+            "near-warm",
+        )
+        # dealt by class first, so that the values of a class come together again where they are
+        each = self.classes.repartition("c").select("c", "n", F.explode("sketch").alias("v"))
+        each = join_small(each, warm, ["v"], "left")
+        sorted_ = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("v"))))
+        return cut(
+            each.groupBy("c").agg(
+                F.first("n").alias("n"), sorted_(F.col("warm").isNull()).alias("cold"),
+                sorted_(F.col("warm").isNotNull()).alias("warm"),
+            ),
+            "near-tagged",
+        )
+
     def run(self) -> DataFrame:
         """(node, root) of the classes with links."""
-        listed = F.least(
-            F.lit(LISTED), F.floor(F.col("n") * (100 - self.percent) / 100).cast("int") + 1
+        tagged = self.tagged()
+        cold = tagged.select("c", "n", F.explode(F.slice("cold", 1, LISTED)).alias("g"))
+        found = _numbered(cold, 1).join(_numbered(cold, 2), "g").where((F.col("c1") < F.col("c2")) & _sized(self.percent))
+        warm = tagged.where(F.size("warm") > F.size("cold")).select(
+            "c", "n", F.array_sort(F.concat("cold", "warm")).alias("s"), F.slice("warm", 1, LISTED).alias("listed"),
         )
-        members = self.classes.select(
-            "c", "n", F.explode(F.slice("sketch", F.lit(1), listed)).alias("g")
+        warm = cut(warm.select("*", F.explode("listed").alias("g")), "near-warm-lists")
+        order = Window.partitionBy("g").orderBy(F.xxhash64("c"), "c")
+        pivots = warm.select("g", "c", "n", F.row_number().over(order).alias("r")).where(F.col("r") <= PIVOTS)
+        starred = _numbered(warm, 1).join(_numbered(pivots, 2), "g").where((F.col("c1") != F.col("c2")) & _sized(self.percent))
+        pairs = found.select(*_ordered()).unionByName(starred.select(*_ordered())).distinct()
+        links = self.links(cut(pairs, "near-pairs"))
+        if warm.isEmpty():
+            return components(links)
+        roots = components(links)
+        placed = warm.join(roots, warm["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
+        placed = cut(placed.select("g", "c", "n", "s", "listed", "root"), "near-placed")
+        parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
+        parts = parts.groupBy("g").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"))
+        open_ = placed.join(parts.where("k > 1").select("g", "top"), "g")
+        more = {"s": "s", "listed": "l", "root": "r"}
+        outside = _numbered(open_.where("root != top"), 1, **more)
+        # both may be outside; then the pair is met from either side, and one is enough
+        inside = _numbered(open_.withColumn("top", F.col("root") == F.col("top")), 2, **more, top="top")
+        rest = outside.join(inside, "g").where(
+            (F.col("r1") != F.col("r2")) & (F.col("top2") | (F.col("c1") < F.col("c2"))) & _sized(self.percent)
+            & (F.array_min(F.array_intersect("l1", "l2")) == F.col("g")) & _near(self.percent)
         )
-        links = None
-        for depth in range(DEPTH + 1):
-            members = cut(members, "near-members")
-            sizes = members.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-            members = cut(members.join(sizes, "g"), "near-lists")
-            one = lambda df, x: df.select("g", F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
-            short, long = members.where(F.col("size") <= FEW), members.where(F.col("size") > FEW)
-            found = _pairs(one(short, 1), one(short, 2), self.percent, F.col("c1") < F.col("c2"))
-            order = Window.partitionBy("g").orderBy(F.xxhash64("c"), "c")
-            pivots = long.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
-            starred = _pairs(one(long, 1), one(pivots, 2), self.percent, F.col("c1") != F.col("c2"))
-            links = self._with(links, cut(found.unionByName(starred).distinct(), "near-pairs"))
-            if long.isEmpty():
-                break
-            roots = components(links)
-            placed = cut(
-                long.join(roots, long["c"] == roots["node"], "left")
-                .select("g", "c", "n", "size", F.coalesce("root", "c").alias("root")), "near-placed",
-            )
-            parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
-            parts = parts.groupBy("g").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("all"))
-            unsettled = parts.select("g", F.col("top.root").alias("top"), (F.col("all") - F.col("top.k")).alias("rest"))
-            placed = cut(placed.join(unsettled.where("rest > 0"), "g"), "near-unsettled")
-            last = depth == DEPTH
-            now = placed if last else placed.where(F.col("rest") <= LEFT_OVER)
-            outside = now.where(F.col("root") != F.col("top"))
-            rooted = lambda df, x: df.select(
-                "g", F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")
-            )
-            rest = _pairs(rooted(outside, 1), rooted(now, 2), self.percent, F.col("r1") != F.col("r2"))
-            rest = cut(rest, "near-rest")
-            if not rest.isEmpty():
-                links = self._with(links, rest)
-            if last:
-                break
-            later = placed.where(F.col("rest") > LEFT_OVER).select("g", "c", "n")
-            if later.isEmpty():
-                break
-            divided = later.join(self.classes.select("c", "sketch"), "c").select(
-                "c", "n", "g", F.explode(F.slice("sketch", 1, DIVIDED_BY)).alias("v")
-            )
-            # a value that named the list before would give the same list again
-            members = divided.where(F.col("v") != F.col("g")).select(
-                "c", "n", F.xxhash64("g", "v").alias("g")
-            )
-        return components(links)
-
-    def _with(self, links: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        new = self.links(pairs)
-        return new if links is None else links.unionByName(new)
+        rest = cut(rest.select(*_ordered()).distinct(), "near-rest")
+        if rest.isEmpty():
+            return roots
+        return components(links.unionByName(self.links(rest)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
