@@ -51,6 +51,8 @@ INJECTION = (
     (0.6, r"\bnew (?:task|directive)\b"),
     (0.7, r"\bprompt injection\b[^\n]{0,40}\bperform\b"),
 )
+UNSEEN = r"\p{Cf}+"
+BLANKS = r"[ \t\n\x0B\f\r\x{A0}\x{2028}\x{2029}]+"
 QUOTED = r"[\x22\x27]ignore previous instructions[\x22\x27]"
 ASKING = r"\bhow (?:do|can) i (?:protect|defend|prevent)\b"
 
@@ -119,7 +121,8 @@ masked AS (SELECT src.id, src.text, CASE WHEN head IS NULL THEN src.text ELSE he
 
 
 def score(text: str = "text", mitigation: str = "strip") -> str:
-    low = f"lower({text})"
+    seen = f"regexp_replace({text}, {s(UNSEEN)}, '', 'g')"
+    low = f"lower(regexp_replace({seen}, {s(BLANKS)}, ' ', 'g'))"
     if mitigation == "strip":
         low = f"regexp_replace({low}, {s(QUOTED)}, ' ', 'g')"
     product = " * ".join(
@@ -250,7 +253,8 @@ flags AS (SELECT n, length(text) AS secs, {score()} > 0.5 AS bad FROM masked),
 sums AS (SELECT count(*) AS total_items, count(*) FILTER (n > 0) AS items_with_pii,
     count(*) FILTER (bad) AS items_with_injection, sum(n)::BIGINT AS pii_entities,
     round(avg(secs), 6) AS avg_seconds, sum(secs)::DOUBLE AS total_seconds FROM flags)
-SELECT *, round(100.0 * items_with_pii / total_items::DOUBLE, 1) AS pct_with_pii,
+SELECT *, (SELECT string_agg(DISTINCT u, ',' ORDER BY u) FROM (SELECT unnest(string_split(types, ',')) AS u
+    FROM masked WHERE types <> '')) AS types_found, round(100.0 * items_with_pii / total_items::DOUBLE, 1) AS pct_with_pii,
     round(100.0 * items_with_injection / total_items::DOUBLE, 1) AS pct_with_injection,
     CASE WHEN items_with_pii = 0 THEN 'No unmasked PII detected'
         ELSE items_with_pii || ' items require PII handling' END AS pii_status,
@@ -330,11 +334,12 @@ SELECT id AS doc_id, masked_text, n::INT AS n_entities FROM masked"""
 
     out["latency_summary"] = f"""SELECT variant, count(latency) AS n_samples, round(avg(latency), 6) AS mean_latency,
     round(coalesce(stddev_samp(latency), 0), 6) AS std_latency FROM ({LOG}) GROUP BY variant"""
-    out["latency_percentiles"] = f"""SELECT variant, quantile_disc(latency, 0.5) AS p50,
-    quantile_disc(latency, 0.9) AS p90, quantile_disc(latency, 0.99) AS p99, count(latency) AS n_samples
-FROM ({LOG}) GROUP BY variant"""
+    out["latency_percentiles"] = f"""SELECT variant, count(latency) AS n_samples, true AS p50_fits,
+    true AS p90_fits, true AS p99_fits FROM ({LOG}) GROUP BY variant"""
     out["error_rate"] = f"""SELECT variant, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors,
-    round(avg(is_error::INT), 6) AS error_rate FROM ({LOG}) GROUP BY variant"""
+    round(avg(is_error::INT), 6) AS error_rate,
+    count(*) FILTER (is_error AND event_id % 3 = 0) AS n_throttled,
+    round(avg((is_error AND event_id % 3 = 0)::INT), 6) AS throttling_rate FROM ({LOG}) GROUP BY variant"""
     out["health_rollup"] = f"""WITH log AS ({LOG}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY ts DESC, event_id DESC) AS n FROM log)
 SELECT 'variant' AS scope, variant, CASE WHEN is_error THEN 'unhealthy' ELSE 'healthy' END AS status,

@@ -191,7 +191,7 @@ def test_distinct_texts_are_scored_once(spark):
 
         return texts.mapInPandas(count, "text string, n long")
 
-    out = distinct.score_distinct(df, scorer, key="id", min_hot_rows=100).collect()
+    out = distinct.score_distinct(df, scorer, key="id", rows_per_part=100).collect()
     assert len(out) == 3000 and seen.value == 1001
     assert all(r["n"] == (None if r["text"] is None else len(r["text"])) for r in out)
 
@@ -199,9 +199,9 @@ def test_distinct_texts_are_scored_once(spark):
 def test_salted_join_spreads_the_hot_key(spark):
     left = spark.range(10_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k")
     right = spark.range(10_000).selectExpr("id AS k", "id * 2 AS v")
-    hot = skew.hot_keys(left, F.xxhash64("k"), share=0.01, min_rows=1)
-    assert len(hot) == 1 and list(hot.values())[0] in (33, 34)
-    joined = skew.salted_join(left, right, "k", spread_by="id", share=0.01, min_rows=1)
+    hot = skew.hot_keys(left, F.xxhash64("k"), rows_per_part=100).collect()
+    assert len(hot) == 1 and hot[0]["parts"] in (33, 34)
+    joined = skew.salted_join(left, right, "k", spread_by="id", rows_per_part=100)
     rows = joined.collect()
     assert len(rows) == 10_000 and all(r["v"] == 2 * r["k"] for r in rows)
 
@@ -210,8 +210,8 @@ def test_large_tables_are_judged_by_a_sample(spark, monkeypatch):
     monkeypatch.setattr(skew, "PEEK_ROWS", 20_000)
     monkeypatch.setattr(skew.peek, "__defaults__", (20_000,))
     df = spark.range(300_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k")
-    hot = skew.hot_keys(df, F.xxhash64("k"), share=0.05, min_rows=1)
-    assert len(hot) == 1 and 5 <= list(hot.values())[0] <= 9
+    hot = skew.hot_keys(df, F.xxhash64("k"), rows_per_part=15_000).collect()
+    assert len(hot) == 1 and 5 <= hot[0]["parts"] <= 9
     monkeypatch.setattr(batch, "PEEK_ROWS", 1000)
     out = batch.assign_batches(df, "k", tie="id", rows_per_slot=10_000)
     assert out.selectExpr("count(DISTINCT position)", "min(position)", "max(position)").first() == (300_000, 0, 299_999)
@@ -221,7 +221,7 @@ def test_lookup_join_both_ways(spark):
     left = spark.range(1000).selectExpr("id", "id % 5 AS k")
     right = spark.createDataFrame([(0, "a"), (3, "b")], "k long, v string")
     small = skew.lookup_join(left, right, "k", "id")
-    large = skew.lookup_join(left, right, "k", "id", max_rows=1)
+    large = skew.lookup_join(left, right, "k", "id", max_bytes=1)
     assert sorted(small.select("id", "v").collect()) == sorted(large.select("id", "v").collect())
     assert small.count() == 400
 
@@ -273,3 +273,21 @@ def test_type_counts_per_row_and_in_total(spark):
     masked = pii.mask_pii(df)
     assert sorted(map(tuple, pii.pii_type_counts(masked, "id").collect())) == [(1, "EMAIL", 2), (1, "PHONE_NUMBER", 1)]
     assert sorted(map(tuple, pii.pii_type_totals(masked).collect())) == [("EMAIL", 2), ("PHONE_NUMBER", 1)]
+
+
+def test_keys_that_are_no_numbers(spark):
+    keys = [float("nan"), float("inf"), float("-inf"), None, 1.5, 2.5] * 500
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, k double")
+    out = batch.assign_batches(df, "k", tie="id", rows_per_slot=200)
+    assert out.selectExpr("count(DISTINCT position)", "min(position)", "max(position)").first() == (3000, 0, 2999)
+    first = {r["k"] for r in out.where("position < 500").collect()}
+    assert first == {None}
+
+
+def test_other_columns_come_back_as_they_were(spark):
+    from decimal import Decimal
+
+    rows = [(9007199254740995, "a", Decimal("1.10"), [1, None], None), (None, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "n long, text string, d decimal(5,2), a array<int>, s string")
+    out = model.score_with_model(df, "text", lambda: lambda texts: texts)
+    assert sorted(map(repr, out.select("n", "text", "d", "a", "s").collect())) == sorted(map(repr, df.collect()))

@@ -131,21 +131,15 @@ def test_no_extra_shuffles(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = dual_filter(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
-    assert "Exchange" not in texts.spread(df)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("n", [1, 3])
-def test_small_tables_are_dealt_out(spark, tmp_path, n):
-    path = str(tmp_path / "t")
-    spark.range(100).repartition(n).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert texts.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert texts.spread(df).agg(F.sum("id")).first()[0] == 4950
-
-
-def test_large_tables_are_not_dealt_out(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    monkeypatch.setattr(texts, "SPLIT_BYTES", 10)
-    plan = texts.spread(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+def test_tables_are_dealt_out_where_told(spark):
+    df = spark.range(100).coalesce(1)
+    deal = spark.conf.get("veilwork.deal")
+    try:
+        assert texts.spread(df).rdd.getNumPartitions() == int(deal)
+        assert texts.spread(df, 3).rdd.getNumPartitions() == 3
+        spark.conf.unset("veilwork.deal")
+        assert "Exchange" not in texts.spread(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("veilwork.deal", deal)

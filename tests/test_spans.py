@@ -102,7 +102,7 @@ def test_many_spans_like_the_model(spark):
     """Beyond the number up to which cuts walk the text."""
     rng = random.Random(8)
     rows = []
-    for n in (spans.FEW - 1, spans.FEW, spans.FEW + 1, 200):
+    for n in (1, 63, 64, 65, 1000):
         text = "".join(rng.choice("ab😀é漢 ") for _ in range(5 * n))
         cuts = sorted(rng.sample(range(len(text) + 1), 2 * n))
         ents = [entity(a, b, rng.choice("PQR")) for a, b in zip(cuts[::2], cuts[1::2])]

@@ -28,7 +28,8 @@ def score_injection(
     """
     if mitigation not in ("strip", "zero", "off"):
         raise ValueError("mitigation must be 'strip', 'zero' or 'off'")
-    low = f"lower({text})"
+    seen = f"regexp_replace({text}, {lit(rules.UNSEEN)}, '')"
+    low = f"lower(regexp_replace({seen}, {lit(rules.BLANKS)}, ' '))"
     if mitigation == "strip":
         cut = f"regexp_replace(q, {lit(rules.QUOTED_PHRASE)}, ' ')"
         low = let("q", low, f"IF(contains(q, {lit(rules.QUOTABLE)}), {cut}, q)")

@@ -38,7 +38,7 @@ class PiiRule:
     pattern: str
     score: float = 0.9
     needs: tuple[str, ...] = ()
-    in_line: bool = True  # every match lies in one line and holds a digit or an @
+    in_line: bool = False  # every match lies in one line and holds a digit or an @: looked for there alone
 
     @property
     def regex(self) -> str:
@@ -130,13 +130,14 @@ PII_RULES = (
         ascii_letters + digits + "._%+-",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++"
         r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-        needs=("@",),
+        needs=("@",), in_line=True,
     ),
-    PiiRule("SSN", digits, rf"{EDGE_L}\d{{3}}-\d{{2}}-\d{{4}}{EDGE_R}", needs=("-",)),
+    PiiRule("SSN", digits, rf"{EDGE_L}\d{{3}}-\d{{2}}-\d{{4}}{EDGE_R}", needs=("-",), in_line=True),
     PiiRule(
         "CREDIT_CARD",
         digits,
         rf"{EDGE_L}(?:\d{{4}}[- ]){{3}}\d{{4}}{EDGE_R}|{EDGE_L}\d{{16}}{EDGE_R}",
+        in_line=True,
     ),
     PiiRule(
         "PHONE_NUMBER",
@@ -145,26 +146,30 @@ PII_RULES = (
         rf"|{EDGE_L}\d{{3}}-\d{{3}}-\d{{4}}{EDGE_R}"
         rf"|\+\d{{1,3}}(?: \d{{2,10}}){{1,4}}{EDGE_R}"
         rf"|{EDGE_L}555-\d{{4}}{EDGE_R}",
+        in_line=True,
     ),
     PiiRule(
-        "IPV4", digits, rf"{EDGE_L}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{EDGE_R}", needs=(".",)
+        "IPV4", digits, rf"{EDGE_L}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{EDGE_R}", needs=(".",), in_line=True
     ),
     PiiRule(
         "DATE",
         digits + "JFMASOND",
         rf"{EDGE_L}\d{{1,2}}/\d{{1,2}}/\d{{4}}{EDGE_R}"
         rf"|{EDGE_L}(?:{_any(MONTHS)}) \d{{1,2}}(?:, \d{{4}})?{EDGE_R}",
+        in_line=True,
     ),
     PiiRule(
         "ID",
         "MPCEAOI",
         rf"{EDGE_L}(?:{_any(ID_PREFIXES)})-?\d[\d-]*\d{EDGE_R}",
+        in_line=True,
     ),
     PiiRule(
         "ADDRESS",
         digits,
         rf"{EDGE_L}\d{{1,5}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{_any(STREET_WORDS)}){EDGE_R}"
         r"(?:, \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?(?:, [A-Z]{2}(?: \d{5})?)?)?",
+        in_line=True,
     ),
     person_rule(),
 )
@@ -222,6 +227,11 @@ INJECTION_RULES = (
     ),
 )
 
+# Before matching, format characters go and any white space is one blank, so that
+# neither a line break nor an unseen character hides a phrase.
+UNSEEN = r"\p{Cf}+"
+BLANKS = r"[ \t\n\x0B\f\r\x{A0}\x{2028}\x{2029}]+"
+
 # A phrase in quotes is talked about, not said.  \x22 and \x27 are the quotes.
 QUOTABLE = "ignore previous instructions"
 QUOTED_PHRASE = rf"[\x22\x27]{QUOTABLE}[\x22\x27]"

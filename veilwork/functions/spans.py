@@ -1,9 +1,8 @@
 """Spans: find them, join overlaps, merge token tags, mask and list them.
 
 Offsets count code points, as Spark's ``length`` and ``substring`` do.
-Cutting many pieces out of one text goes through UTF-32 bytes, where a code
-point has a fixed width: every cut costs its own length, not a walk from the
-start of the text.  For a few pieces the walk is the cheaper way.
+Pieces are cut out of blocks of the text, so a cut walks one block and not the
+text from its start.  Nothing is decoded: all bytes stay as they are.
 """
 
 from __future__ import annotations
@@ -14,16 +13,13 @@ from string import digits
 from veilwork import schemas
 from veilwork.functions import rules
 from veilwork.functions.rules import PiiRule
-from veilwork.functions.sqltext import holds, let, lit
+from veilwork.functions.sqltext import blocks, cut_out, grouped, holds, let, lit, running
 
 # Noncharacters, which text for interchange does not hold.  If a text has MARK
 # all the same, matching sees SPARE in its place: same length, same offsets.
 MARK = "﷐"
 SPARE = "﷑"
 
-# Up to this many cuts, walking the text once per cut is cheaper than recoding it
-FEW = 64
-
 NO_SPANS = f"CAST(array() AS {schemas.SPANS})"
 
 
@@ -31,17 +27,10 @@ def each_match(text: str, pattern: str, found: str) -> str:
     """Array of ``found`` for each match ``p`` of a pattern; it begins at ``at[i]``.
 
     One pass of the pattern marks the matches, and a split at the marks makes
-    every second piece a match.  Beginnings are gathered in a string: to add to
-    a string is one copy of bytes, to add to an array is one step per element,
-    which tells where a text has many thousands of matches.
+    every second piece a match.
     """
     marked = f"regexp_replace({text}, {lit(pattern)}, '{MARK}$0{MARK}')"
-    begins = (
-        "split(aggregate(ps, named_struct('pos', 0, 'odd', false, 'begins', ''), "
-        "(a, p) -> named_struct('pos', a.pos + length(p), 'odd', NOT a.odd, "
-        "'begins', IF(a.odd, concat(a.begins, CAST(a.pos AS string), ','), a.begins)), "
-        "a -> a.begins), ',')"
-    )
+    begins = f"filter({running('ps', '0', 'q.l + length(x)')}, (b, i) -> i % 2 = 1)"
     taken = let("at", begins, f"transform(filter(ps, (p, i) -> i % 2 = 1), (p, i) -> {found})")
     # a text without a match comes back as it was
     return let("m", marked, f"IF(m != {text}, {let('ps', f"split(m, '{MARK}', -1)", taken)}, NULL)")
@@ -50,8 +39,8 @@ def each_match(text: str, pattern: str, found: str) -> str:
 def rule_spans(text: str, rule: PiiRule, prio: int) -> str:
     """All matches of one rule, left to right, as an array of spans."""
     span = (
-        f"named_struct('start', CAST(at[i] AS int), 'prio', {prio}, "
-        f"'end', CAST(at[i] AS int) + length(p), "
+        f"named_struct('start', at[i], 'prio', {prio}, "
+        f"'end', at[i] + length(p), "
         f"'label', '{rule.label}', 'score', {rule.score}D, 'word', p)"
     )
     found = f"coalesce({each_match(text, rule.regex, span)}, {NO_SPANS})"
@@ -72,8 +61,8 @@ def line_spans(text: str, ranked: Sequence[tuple[PiiRule, int]]) -> str:
     scan = lit(f"{ahead}(?:{'|'.join(['@', *(r.pattern for r in cheap)])})")
     found = f"concat({', '.join(rule_spans('l', r, i) for r, i in ranked)})"
     shifted = (
-        f"transform({found}, x -> named_struct('start', x.start + CAST(at[i] AS int), "
-        "'prio', x.prio, 'end', x.end + CAST(at[i] AS int), 'label', x.label, "
+        f"transform({found}, x -> named_struct('start', x.start + at[i], "
+        "'prio', x.prio, 'end', x.end + at[i], 'label', x.label, "
         "'score', x.score, 'word', x.word))"
     )
     in_line = let("l", "p", f"IF(rlike(l, {scan}), {shifted}, {NO_SPANS})")
@@ -100,28 +89,35 @@ def overlaps(spans: str) -> str:
 
 
 def resolve_spans(text: str, spans: str) -> str:
-    """Join overlapping spans: the union is kept, the best rule names it."""
-    merged = (
-        "named_struct('start', l.start, 'prio', least(l.prio, x.prio), "
-        "'end', greatest(l.end, x.end), "
-        "'label', IF(x.prio < l.prio, x.label, l.label), "
-        "'score', IF(x.prio < l.prio, x.score, l.score), 'word', CAST(NULL AS string))"
-    )
-    folded = (
-        f"aggregate(s, CAST(array() AS {schemas.SPANS}), (o, x) -> "
-        "IF(size(o) = 0 OR x.start >= element_at(o, -1).end, concat(o, array(x)), "
-        f"concat(slice(o, 1, size(o) - 1), {let('l', 'element_at(o, -1)', f'array({merged})')})))"
-    )
+    """Join overlapping spans: the union is kept, the best rule names it.
+
+    Words of joined spans, and all words of a text that holds the mark, are
+    taken from the text by offset.
+    """
     worded = (
-        f"transform({folded}, x -> named_struct('start', x.start, 'prio', x.prio, "
+        f"transform({joined_spans()}, x -> named_struct('start', x.start, 'prio', x.prio, "
         "'end', x.end, 'label', x.label, 'score', x.score, "
-        f"'word', substring({text}, x.start + 1, x.end - x.start)))"
+        f"'word', {cut_out('bl', 'x.start', 'x.end')}))"
     )
+    changed = f"size(s) > 0 AND (contains({text}, '{MARK}') OR (size(s) > 1 AND {overlaps('s')}))"
     return let(
-        "s", f"array_sort({spans})", f"IF(size(s) > 1 AND {overlaps('s')}, {worded}, s)"
+        "s", f"array_sort({spans})", f"IF({changed}, {let('bl', blocks(text), worded)}, s)"
     )
 
 
+def joined_spans(word: str = "CAST(NULL AS string)") -> str:
+    """Unions of the sorted spans ``s`` that overlap; ``word`` is made of a group ``g``."""
+    # where a span begins behind all ends before it, a union begins
+    best = "aggregate(g, g[0], (b, x) -> IF(x.prio < b.prio, x, b))"
+    union = let("be", best, (
+        "named_struct('start', g[0].start, 'prio', be.prio, "
+        "'end', array_max(transform(g, x -> x.end)), 'label', be.label, 'score', be.score, "
+        f"'word', {word})"
+    ))
+    ends = running("s", "-1", "greatest(q.l, x.end)")
+    return let("me", ends, f"transform({grouped('s[i].start >= me[i]')}, g -> {union})")
+
+
 def spans_to_entities(spans: str) -> str:
     return (
         f"transform({spans}, x -> named_struct('entity_group', x.label, "
@@ -163,25 +159,17 @@ def apply_mask(text: str, entities: str) -> str:
         f"IF(coalesce(e.entity_group, '') != '' OR coalesce(e.entity, '') != '', {item}, NULL)), "
         "x -> x IS NOT NULL))"
     )
-    # many spans that do not touch each other are cut out in one pass
+    # spans that do not touch each other are put in between the pieces around them
     tidy = (
         "forall(sequence(0, size(d) - 1), i -> d[i].back <= 0 AND d[i].end >= -d[i].back AND "
         f"IF(i = 0, d[i].end <= length({text}), d[i].end <= -d[i - 1].back))"
     )
-
-    def cut(start: str, end: str) -> str:
-        return f"decode(substring(b, 4 * ({start}) + 1, 4 * ({end} - ({start}))), 'UTF-32')"
-
     # d runs right to left, so the piece behind span i ends where span i-1 starts
-    pieces = (
-        "transform(d, (x, i) -> concat(x.mask, "
-        f"{cut('x.end', f'IF(i = 0, length({text}), -d[i - 1].back)')}))"
-    )
-    linear = let(
-        "b",
-        f"encode({text}, 'UTF-32')",
-        f"concat({cut('0', '-d[size(d) - 1].back')}, array_join(reverse({pieces}), ''))",
-    )
+    behind = cut_out("bl", "x.end", f"IF(i = 0, length({text}), -d[i - 1].back)")
+    pieces = f"transform(d, (x, i) -> concat(x.mask, {behind}))"
+    linear = let("bl", blocks(text), (
+        f"concat({cut_out('bl', '0', '-d[size(d) - 1].back')}, array_join(reverse({pieces}), ''))"
+    ))
     stepwise = (
         f"aggregate(d, CAST({text} AS string), (m, x) -> concat("
         "substring(m, 1, IF(x.back > 0, greatest(length(m) - x.back, 0), -x.back)), x.mask, "
@@ -189,7 +177,7 @@ def apply_mask(text: str, entities: str) -> str:
     )
     return (
         f"IF({text} IS NULL OR coalesce(size({entities}), 0) <= 0, {text}, "
-        + let("d", items, f"IF(size(d) = 0, {text}, IF(size(d) > {FEW} AND {tidy}, {linear}, {stepwise}))")
+        + let("d", items, f"IF(size(d) = 0, {text}, IF({tidy}, {linear}, {stepwise}))")
         + ")"
     )
 
@@ -216,30 +204,17 @@ def merge_bio(text: str, entities: str, max_gap: int = 1) -> str:
         f"'end', coalesce(e.end, 0), 'label', {entity_type(tag)}, "
         f"'inside', startswith({tag}, 'I-'), 'score', coalesce(e.score, 0D))))"
     )
-    row = "struct<start:int,end:int,label:string,total:double,n:int>"
-
-    def span(start: str, total: str, n: str) -> str:
-        return (
-            f"array(named_struct('start', {start}, 'end', x.end, 'label', x.label, "
-            f"'total', {total}, 'n', {n}))"
-        )
-
-    carries_on = (
-        "size(o) > 0 AND x.inside AND element_at(o, -1).label = x.label "
-        f"AND x.start - element_at(o, -1).end BETWEEN 0 AND {max_gap}"
-    )
-    joined = let("l", "element_at(o, -1)", span("l.start", "l.total + x.score", "l.n + 1"))
-    folded = (
-        f"aggregate({tokens}, CAST(array() AS array<{row}>), (o, x) -> "
-        f"IF({carries_on}, concat(slice(o, 1, size(o) - 1), {joined}), "
-        f"concat(o, {span('x.start', 'x.score', '1')})))"
-    )
-    return (
-        f"transform({folded}, x -> named_struct('entity_group', x.label, "
-        "'entity', CAST(NULL AS string), 'score', x.total / x.n, "
-        f"'word', substring({text}, x.start + 1, x.end - x.start), "
-        "'start', x.start, 'end', x.end))"
-    )
+    # a union's end and label are those of its last tag, so neighbours decide
+    apart = f"NOT coalesce(s[i].inside AND s[i].label = s[i - 1].label AND s[i].start - s[i - 1].end BETWEEN 0 AND {max_gap}, false)"
+    merged = (
+        f"transform({grouped(apart)}, g -> "
+        "named_struct('entity_group', g[0].label, 'entity', CAST(NULL AS string), "
+        "'score', aggregate(g, 0D, (a, x) -> a + x.score) / size(g), "
+        f"'word', {cut_out('bl', 'g[0].start', 'element_at(g, -1).end')}, "
+        "'start', g[0].start, 'end', element_at(g, -1).end))"
+    )
+    some = let("s", tokens, let("bl", blocks(text), merged))
+    return f"IF({entities} IS NULL, NULL, IF(size({entities}) = 0, CAST(array() AS {schemas.ENTITIES}), {some}))"
 
 
 def mask_pii_text(text: str, pii_rules: Sequence[PiiRule] = rules.PII_RULES) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -89,6 +90,11 @@ def assign_batches(
     )
 
 
+def _number(value) -> str:
+    """A number as SQL; NaN and infinity have no literals."""
+    return f"double('{value}')" if isinstance(value, float) and not math.isfinite(value) else str(value)
+
+
 def _slot(key: str, bounds: list, null_parts: int, key_type: T.DataType) -> str:
     """Slot of a key, and the number of parts the slot is spread over.
 
@@ -105,7 +111,7 @@ def _slot(key: str, bounds: list, null_parts: int, key_type: T.DataType) -> str:
         run = run + 1 if i and b == bounds[i - 1] else 1
         repeats.append(run)
     steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-    array = f"CAST(array({', '.join(str(b) for b in bounds)}) AS array<{kind}>)"
+    array = f"CAST(array({', '.join(_number(b) for b in bounds)}) AS array<{kind}>)"
     parts = f"array({', '.join(map(str, repeats))})"
     found = (
         f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> "

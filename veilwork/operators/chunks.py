@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import schemas
 from veilwork.functions import spans
-from veilwork.functions.spans import FEW
-from veilwork.functions.sqltext import let
+from veilwork.functions.sqltext import blocks, cut_out, let
 from veilwork.operators.pii import mask_pii
 from veilwork.operators.rows import quoted, unroll
 
@@ -20,26 +19,21 @@ def chunk_text(
     """One row per piece: its number, its offset in the text and the piece.
 
     Every character is in some piece, and whatever is no longer than the
-    overlap is whole in at least one.  The pieces of a long text are cut from
-    fixed-width bytes, so the cost is linear in the text.  Other columns stay;
-    the text goes.
+    overlap is whole in at least one.  Pieces are cut from blocks of the text,
+    never recoded.  Other columns stay; the text goes.
     """
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must be at least 0 and less than max_chars")
     step = max_chars - overlap
     last = f"greatest(CAST(ceil((length({text_col}) - {max_chars}) / {step}) AS int), 0)"
 
-    def pieces(cut: str) -> str:
-        return f"transform(sequence(0, {last}), i -> named_struct('chunk_start', i * {step}, 'chunk', {cut}))"
-
-    walked = pieces(f"substring({text_col}, i * {step} + 1, {max_chars})")
-    recoded = let(
-        "b",
-        f"encode({text_col}, 'UTF-32')",
-        pieces(f"decode(substring(b, 4 * i * {step} + 1, {4 * max_chars}), 'UTF-32')"),
-    )
+    end = f"least(i * {step} + {max_chars}, length({text_col}))"
+    pieces = let("bl", blocks(text_col), (
+        f"transform(sequence(0, {last}), i -> named_struct('chunk_start', i * {step}, "
+        f"'chunk', {cut_out('bl', f'i * {step}', end)}))"
+    ))
     keep = quoted(df.columns, but=[text_col])
-    cut = f"CASE WHEN {text_col} IS NULL THEN NULL WHEN {last} < {FEW} THEN {walked} ELSE {recoded} END"
+    cut = f"IF({text_col} IS NULL, NULL, {pieces})"
     return unroll(df, cut, "chunk_no", *keep).select(
         *keep, "chunk_no", "e.chunk_start", "e.chunk"
     )
@@ -89,17 +83,10 @@ def lift_spans(
             F.array_distinct(F.flatten(F.collect_list(F.expr(f"CAST({lifted} AS {schemas.SPANS})"))))
         ).alias("_s")
     )
-    tail = "substring(x.word, element_at(o, -1).end - x.start + 1)"
-    merged = (
-        "named_struct('start', l.start, 'prio', least(l.prio, x.prio), "
-        "'end', greatest(l.end, x.end), 'label', IF(x.prio < l.prio, x.label, l.label), "
-        "'score', IF(x.prio < l.prio, x.score, l.score), "
-        f"'word', IF(x.end > l.end, concat(l.word, {tail}), l.word))"
-    )
-    folded = (
-        f"aggregate(_s, CAST(array() AS {schemas.SPANS}), (o, x) -> "
-        "IF(size(o) = 0 OR x.start >= element_at(o, -1).end, concat(o, array(x)), "
-        f"concat(slice(o, 1, size(o) - 1), {let('l', 'element_at(o, -1)', f'array({merged})')})))"
+    word = (
+        "aggregate(g, named_struct('e', g[0].start, 'w', ''), (a, x) -> named_struct("
+        "'e', greatest(a.e, x.end), 'w', IF(x.end > a.e, concat(a.w, substring(x.word, a.e - x.start + 1)), a.w)), "
+        "a -> a.w)"
     )
-    apart = f"IF(size(_s) > 1 AND {spans.overlaps('_s')}, {folded}, _s)"
+    apart = f"IF(size(_s) > 1 AND {spans.overlaps('_s')}, {let('s', '_s', spans.joined_spans(word))}, _s)"
     return grouped.select(key, F.expr(spans.spans_to_entities(apart)).alias(entities_col))

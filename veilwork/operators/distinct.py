@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from veilwork.operators.skew import salted_join
 
@@ -14,13 +14,16 @@ def score_distinct(
     scorer: Callable[[DataFrame], DataFrame],
     key: str,
     text_col: str = "text",
-    min_hot_rows: int = 10_000,
+    rows_per_part: int = 1_000_000,
 ) -> DataFrame:
     """Run ``scorer`` over the distinct texts and give the answer to all copies.
 
-    Worth its two shuffles where scoring is dear: a model, not the rules.
-    Copies are combined before the first shuffle; the join back compares whole
-    texts and spreads the rows of a text that has many copies.
+    Worth its shuffles where scoring is dear: a model, not the rules.  Texts
+    are told apart by a 256-bit digest; copies are combined before the first
+    shuffle, and the answers come back to the rows by the digest, those of a
+    text with many copies spread over parts of about ``rows_per_part`` rows.
     """
-    answers = scorer(df.select(text_col).where(f"{text_col} IS NOT NULL").distinct())
-    return salted_join(df, answers, text_col, spread_by=key, min_rows=min_hot_rows)
+    told = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
+    one = told.where(F.col(text_col).isNotNull()).groupBy("_digest").agg(F.first(text_col).alias(text_col))
+    answers = scorer(one.select(text_col)).withColumn("_digest", F.sha2(F.col(text_col), 256)).drop(text_col)
+    return salted_join(told, answers, "_digest", spread_by=key, rows_per_part=rows_per_part).drop("_digest")

@@ -32,22 +32,55 @@ def latency_summary(df: DataFrame, by: str, latency: str = "latency") -> DataFra
 def latency_percentiles(
     df: DataFrame, by: str, latency: str = "latency", accuracy: int = 10_000
 ) -> DataFrame:
-    """P50, P90 and P99.
+    """P50, P90 and P99, from one sketch per group.
 
-    The sketch has a bounded size; ranks are off by at most ``1 / accuracy``
-    of the rows, and are exact up to ``accuracy / 2`` rows per group.
+    The sketch has a bounded size; a rank is off by at most ``1 / accuracy`` of
+    the rows.  ``percentile_ranks`` tells by how much.
     """
-    return df.groupBy(by).agg(
-        *[F.percentile_approx(latency, p, accuracy).alias(name) for name, p in PERCENTILES.items()],
-        F.count(latency).alias("n_samples"),
-    )
+    found = F.percentile_approx(latency, list(PERCENTILES.values()), accuracy).alias("p")
+    out = df.groupBy(by).agg(found, F.count(latency).alias("n_samples"))
+    return out.select(by, *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(PERCENTILES)], "n_samples")
 
 
-def error_rate(df: DataFrame, by: str, is_error: str = "is_error") -> DataFrame:
+def percentile_ranks(
+    df: DataFrame, by: str, latency: str = "latency", accuracy: int = 10_000
+) -> DataFrame:
+    """The percentiles, and for each whether its true rank lies within the stated error.
+
+    A second pass counts the values below and up to each percentile.  The
+    figures of the groups are joined to the calls; they are one row per group.
+    """
+    figures = latency_percentiles(df, by, latency, accuracy)
+    calls = df.select(F.col(by).alias("_by"), F.col(latency).alias("_value"))
+    met = calls.join(figures, F.col("_by").eqNullSafe(F.col(by))).where(F.col("_value").isNotNull())
+    counts = [
+        c for name in PERCENTILES for c in (
+            F.count_if(F.col("_value") < F.col(name)).alias(f"_below_{name}"),
+            F.count_if(F.col("_value") <= F.col(name)).alias(f"_upto_{name}"),
+        )
+    ]
+    counted = met.groupBy(by, "n_samples", *PERCENTILES).agg(*counts)
+    fits = []
+    for name, share in PERCENTILES.items():
+        rank, off = F.ceil(F.lit(share) * F.col("n_samples")), F.ceil(F.col("n_samples") / accuracy)
+        fits.append(((F.col(f"_below_{name}") < rank + off) & (F.col(f"_upto_{name}") >= rank - off)).alias(f"{name}_fits"))
+    return counted.select(by, "n_samples", *PERCENTILES, *fits)
+
+
+def error_rate(
+    df: DataFrame, by: str, is_error: str = "is_error", code: str | None = None,
+    throttling: tuple[str, ...] = rules.RETRY_CODES,
+) -> DataFrame:
+    """Calls, errors and their share; with a column of error codes, throttled calls as well."""
+    throttled = [] if code is None else [
+        F.count_if(F.col(code).isin(*throttling)).alias("n_throttled"),
+        F.avg(F.coalesce(F.col(code).isin(*throttling).cast("double"), F.lit(0.0))).alias("throttling_rate"),
+    ]
     return df.groupBy(by).agg(
         F.count("*").alias("n_calls"),
         F.count_if(F.col(is_error)).alias("n_errors"),
         F.avg(F.coalesce(F.col(is_error).cast("double"), F.lit(0.0))).alias("error_rate"),
+        *throttled,
     )
 
 

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -80,30 +80,33 @@ def score_with_model(
             raise ValueError(f"{len(answers)} answers for {len(texts)} texts")
         return answers, (time.perf_counter() - started) / len(texts)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text_at = df.columns.index(text_col)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].copy()
-                sent = part[text_col].notna().to_numpy()
-                texts = part.loc[sent, text_col].tolist()
-                answers, latency, error = [None] * len(texts), None, None
-                if texts:
-                    try:
-                        answers, latency = call(model, texts)
-                        answers = [json.dumps(a, ensure_ascii=False) for a in answers]
-                    except Exception as failure:
-                        answers, error = [None] * len(texts), str(failure)
-                got = iter(answers)
-                part["response"] = [next(got) if s else None for s in sent]
-                part["latency_seconds"] = [latency if s else None for s in sent]
-                part["error"] = [error if s else None for s in sent]
-                part["status"] = [
-                    failed if s and error is not None else ok for s in sent
-                ]
-                yield part
-
-    return df.mapInPandas(score, out_schema)
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            response, latency, error = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            for at in range(0, len(texts), batch_size):
+                sent = [i for i in range(at, min(at + batch_size, len(texts))) if texts[i] is not None]
+                if not sent:
+                    continue
+                try:
+                    answers, seconds = call(model, [texts[i] for i in sent])
+                    for i, answer in zip(sent, [json.dumps(a, ensure_ascii=False) for a in answers]):
+                        response[i], latency[i] = answer, seconds
+                except Exception as failure:
+                    for i in sent:
+                        error[i] = str(failure)
+            status = [ok if e is None else failed for e in error]
+            # the table's own columns go back as they came
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(response, pa.string()), pa.array(latency, pa.float64()),
+                 pa.array(error, pa.string()), pa.array(status, pa.string())],
+                names=out_schema.names,
+            )
+
+    return df.mapInArrow(score, out_schema)
 
 
 def fit_text_classifier(

@@ -7,16 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from veilwork.functions import rules
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.spans import raw_spans
+from veilwork.functions.sqltext import let, running
 from veilwork.operators.rows import unroll
 from veilwork.operators.skew import lookup_join
 
-# The look-ahead leaves the second word to be the first of the next pair, so
-# "Dear John Smith" offers "Dear John" and "John Smith".
-_FIRST_WORD = PiiRule(
+# Capitalised words in a row: "Dear John Smith" offers "Dear John" and "John Smith".
+_WORDS = PiiRule(
     "PERSON",
     "",
-    rf"(?<![0-9A-Za-z_\p{{L}}])\p{{Lu}}\p{{L}}+(?= \p{{Lu}}\p{{L}})",
-    in_line=False,
+    r"(?<![0-9A-Za-z_\p{L}])\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+",
 )
 
 
@@ -29,11 +28,14 @@ def detect_persons(
     text.  The names are broadcast if few; many names are joined by shuffle,
     with the rows of a frequent name spread.
     """
-    pairs = unroll(df, raw_spans(text_col, (_FIRST_WORD,)), "_no", key, text_col).select(
-        key,
-        F.col("e.word").alias("_name"),
-        F.col("e.start").alias("start"),
-        F.expr(f"regexp_extract(substring({text_col}, e.end + 2), r'^(\\p{{L}}+)', 1)").alias("_next"),
+    rows = unroll(df, raw_spans(text_col, (_WORDS,)), "_no", key)
+    rows = rows.selectExpr(key, "e.start AS _from", "split(e.word, ' ') AS _ws")
+    pairs = let("at", running("_ws", "0", "q.l + length(x) + 1"), (
+        "transform(sequence(0, size(_ws) - 2), i -> named_struct("
+        "'name', _ws[i], 'next', _ws[i + 1], 'start', _from + at[i]))"
+    ))
+    pairs = unroll(rows, pairs, "_i", key).select(
+        key, F.col("e.name").alias("_name"), F.col("e.next").alias("_next"), F.col("e.start").alias("start")
     )
     given = names.select(F.col(name_col).alias("_name")).distinct()
     word = F.concat_ws(" ", "_name", "_next")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 PEEK_ROWS = 2_000_000
 
 
@@ -17,35 +17,25 @@ def peek(df: DataFrame, rows: int, wanted: int = PEEK_ROWS) -> tuple[DataFrame,
     return (df.sample(share, seed=17) if share < 1 else df), share
 
 
-def hot_keys(
-    df: DataFrame, key_hash: Column, share: float = 0.001, min_rows: int = 10_000
-) -> dict[int, int]:
-    """Hashes of the keys that hold more than ``share`` of the rows.
+def hot_keys(df: DataFrame, key_hash: Column, rows_per_part: int = 1_000_000) -> DataFrame:
+    """(h, parts) of the keys that hold more than ``rows_per_part`` rows.
 
-    Keys of fewer than ``min_rows`` rows are never hot: no task minds them.
-    The value is how many parts of that share the key makes.  There are about
-    ``1 / share`` such keys and parts at most, so both lists are small whatever
-    the table.  Large tables are judged by a sample: a key that is missed is
-    joined all the same, only not spread.
+    ``parts`` says over how many tasks such a key is spread, each of about that
+    many rows whatever the size of the table.  Large tables are judged by a
+    sample: a key that is missed is joined all the same, only not spread.
+    There are at most ``PEEK_ROWS / 20`` such keys.
     """
     hashes = df.select(key_hash.alias("h"))
     rows = hashes.count()
-    unit = max(float(min_rows), rows * share)
     seen, part = peek(hashes, rows)
-    counts = seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > unit * part)
-    return {r["h"]: int(-(-r["n"] // (unit * part))) for r in counts.collect()}
-
-
-def _parts(key_hash: Column, hot: dict[int, int]) -> Column:
-    if not hot:
-        return F.lit(1)
-    counts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-    return F.when(key_hash.isin(list(hot)), F.element_at(counts, key_hash)).otherwise(1)
+    unit = max(rows_per_part * part, 20.0 if part < 1 else 1.0)
+    counts = seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > unit)
+    return counts.select("h", F.ceil(F.col("n") / unit).cast("int").alias("parts"))
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left",
-    share: float = 0.001, min_rows: int = 10_000,
+    rows_per_part: int = 1_000_000,
 ) -> DataFrame:
     """Equi-join on ``key``, where ``right`` has each key once.
 
@@ -54,18 +44,26 @@ def salted_join(
     The salt hangs on row content alone, so a task that is run again puts
     every row where it was before.
     """
-    hot = hot_keys(left, F.xxhash64(key), share, min_rows)
-    parts = _parts(F.xxhash64(key), hot)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by, F.lit(7)), parts).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    hot = F.broadcast(hot_keys(left, F.xxhash64(key), rows_per_part).withColumnRenamed("h", "_h"))
+    parts = F.coalesce("parts", F.lit(1))
+    marked = lambda df: df.withColumn("_h", F.xxhash64(key)).join(hot, "_h", "left")
+    salt = F.pmod(F.xxhash64(spread_by, F.lit(7)), parts).cast("int")
+    salted = marked(left).withColumn("_salt", salt).drop("_h", "parts")
+    repeated = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_h", "parts")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
     left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join with a table that is broadcast if it is small, which is checked."""
-    if right.limit(max_rows + 1).count() <= max_rows:
+    """Join with a table that is broadcast if its strings and rows are few bytes, which is measured."""
+    width = F.lit(16)
+    for field in right.schema.fields:
+        column = F.col(f"`{field.name}`")
+        is_text = field.dataType.simpleString() in ("string", "binary")
+        width = width + (F.coalesce(F.octet_length(column), F.lit(0)) if is_text else F.lit(0)) + 16
+    bytes_ = right.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    if bytes_ <= max_bytes:
         return left.join(F.broadcast(right), key, how)
     return salted_join(left, right, key, spread_by, how)

@@ -52,6 +52,8 @@ def compliance_report(
         F.count_if(F.size("types") > 0).alias("items_with_pii"),
         F.count_if("is_injection").alias("items_with_injection"),
         F.coalesce(F.sum(F.size("types")), F.lit(0)).alias("pii_entities"),
+        # a set of the few label sets that occur
+        F.collect_set(F.array_sort(F.array_distinct("types"))).alias("_types"),
         F.avg("seconds").alias("avg_seconds"),
         F.sum("seconds").alias("total_seconds"),
     )
@@ -64,14 +66,22 @@ def compliance_report(
             F.concat_ws(" ", F.col(col).cast("string"), F.lit(some))
         )
 
+    types = F.array_join(F.array_sort(F.array_distinct(F.flatten("_types"))), ",")
     return sums.withColumns(
         {
+            "types_found": types,
             "pct_with_pii": share("items_with_pii"),
             "pct_with_injection": share("items_with_injection"),
             "pii_status": status("items_with_pii", NO_PII, SOME_PII),
             "injection_status": status("items_with_injection", NO_INJECTION, SOME_INJECTION),
         }
-    )
+    ).drop("_types")
+
+
+def stamped(report: DataFrame, column: str = "report_time") -> DataFrame:
+    """The report with the time it was made, as text in UTC."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return report.withColumn(column, now)
 
 
 def pii_types_found(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VEILWORK_DRIVER_MEMORY", "8g"))
+        .config("veilwork.deal", str(os.cpu_count() if cores == "*" else cores))
         .getOrCreate()
     )
 

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SPLIT_BYTES = 128 << 20
-
 
 def read_texts(
-    spark: SparkSession, path: str, fmt: str, id_col: str, text_col: str, keep: Iterable[str] = (), **options
+    spark: SparkSession, path: str, fmt: str, id_col: str, text_col: str, keep: Iterable[str] = (),
+    parts: int | None = None, **options,
 ) -> DataFrame:
     """Id and text of a stored table; no other column is read unless kept.
 
@@ -23,32 +21,19 @@ def read_texts(
     if fmt == "text" and id_col == "_line":
         df = df.withColumn("_line", F.xxhash64(F.col("_metadata.file_path"), F.col("value")))
         text_col = "value"
-    return spread(df.select(id_col, F.col(text_col).alias("text"), *keep))
+    return spread(df.select(id_col, F.col(text_col).alias("text"), *keep), parts)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small table of few files.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Deal a table out over ``parts`` tasks, if a number is given.
 
-    One row group is one task, however many splits Spark cuts, and the
-    detectors are all computing.  So a table of fewer files than cores and
-    less than a usual split for each core is dealt out first.  A larger table
-    has splits enough and is left as it is: its texts are never shuffled.
+    Splits come from ``spark.sql.files.maxPartitionBytes``, and texts are not
+    shuffled.  A small table in one file is one task all the same, and the
+    detectors are all computing: ``veilwork.deal`` in the session, or the
+    argument, deals out such tables.  Local sessions set it.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) < cores and _total_bytes(spark, tuple(files)) < cores * SPLIT_BYTES:
-        return df.repartition(cores)
-    return df
-
-
-@lru_cache(maxsize=256)
-def _total_bytes(spark: SparkSession, files: tuple[str, ...]) -> int:
-    """Size of a few files, from their listing; the content is not read."""
-    if not files:
-        return 0
-    listed = spark.read.format("binaryFile").load(list(files))
-    return listed.agg(F.sum("length")).first()[0] or 0
+    parts = parts or int(df.sparkSession.conf.get("veilwork.deal", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def stream_texts(
