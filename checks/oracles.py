@@ -309,16 +309,19 @@ SELECT conv_id, turn, variant, CASE WHEN variant = 'c' THEN NULL
     AS classification, CASE WHEN variant = 'c' THEN 'failed' ELSE 'ok' END AS status,
     CASE WHEN variant = 'c' THEN 'no scorer for variant c' END AS error FROM named"""
     out["score_distinct"] = f"""WITH {masked(DOCS)} SELECT id AS doc_id, masked_text FROM masked"""
-    drops = "html"
-    for p in (
-        r"(?is)<script\b[^>]*(?:>.*?(?:</script[^>]*(?:>|\z)|\z)|\z)",
-        r"(?is)<style\b[^>]*(?:>.*?(?:</style[^>]*(?:>|\z)|\z)|\z)",
-        r"(?s)<!--.*?(?:-->|\z)",
-        r"<[/!?A-Za-z][^>]*(?:>|\z)",
-        r"[ \t\r\n\f]+",
-    ):
-        drops = f"regexp_replace({drops}, {s(p)}, ' ', 'g')"
-    out["normalize_pages"] = f"SELECT page_id, trim({drops}, ' ') AS text FROM pages"
+    steps, last = [], "pages"
+    for i, (p, closed) in enumerate((
+        (r"(?is)<script\b[^>]*>.*?</script[^>]*>", r"(?is)^.*</script[^>]*>"),
+        (r"(?is)<style\b[^>]*>.*?</style[^>]*>", r"(?is)^.*</style[^>]*>"),
+        (r"(?s)<!--.*?-->", r"(?s)^.*-->"),
+        (r"<[/!?A-Za-z][^>]*>", r"(?s)^.*>"),
+    )):
+        steps.append(f"""h{i} AS (SELECT page_id, html, regexp_extract(html, {s(closed)}) AS h FROM {last}),
+t{i} AS (SELECT page_id, regexp_replace(h, {s(p)}, ' ', 'g') || substr(html, length(h) + 1) AS html FROM h{i})""")
+        last = f"t{i}"
+    blanks = r"[ \t\r\n\f]+"
+    out["normalize_pages"] = f"""WITH {", ".join(steps)}
+SELECT page_id, trim(regexp_replace(html, {s(blanks)}, ' ', 'g'), ' ') AS text FROM {last}"""
     out["chunk_documents"] = """WITH counted AS (SELECT doc_id, text,
     greatest(ceil((length(text) - 1024) / 896.0), 0)::INT AS last FROM documents),
 numbered AS (SELECT *, unnest(generate_series(0, last))::INT AS chunk_no FROM counted)

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from veilwork.functions.sqltext import lit
+from veilwork.functions.sqltext import let, lit
 
-# An unclosed script, style, comment or tag reaches to the end of the text:
-# every opening then matches, and the scan stays linear.
+# What is to go, and the last place where one of these ends.  Behind that place
+# nothing is dropped, so an opening that is never closed stays as text; before
+# it every opening finds an end, and the scan stays linear.
 _DROPS = (
-    r"(?is)<(?:script)\b[^>]*(?:>.*?(?:</script[^>]*(?:>|\z)|\z)|\z)",
-    r"(?is)<(?:style)\b[^>]*(?:>.*?(?:</style[^>]*(?:>|\z)|\z)|\z)",
-    r"(?s)<!--.*?(?:-->|\z)",
-    r"<[/!?A-Za-z][^>]*(?:>|\z)",
+    (r"(?is)<script\b[^>]*>.*?</script[^>]*>", r"(?is)^.*</script[^>]*>"),
+    (r"(?is)<style\b[^>]*>.*?</style[^>]*>", r"(?is)^.*</style[^>]*>"),
+    (r"(?s)<!--.*?-->", r"(?s)^.*-->"),
+    (r"<[/!?A-Za-z][^>]*>", r"(?s)^.*>"),
 )
 
 
 def normalize_text(text: str) -> str:
-    """Drop scripts, styles, comments and tags; one space for any white space."""
+    """Drop scripts, styles, comments and tags; one space for any white space.
+
+    What is not closed is kept.
+    """
     out = text
-    for pattern in _DROPS:
-        out = f"regexp_replace({out}, {lit(pattern)}, ' ')"
+    for pattern, closed in _DROPS:
+        cleaned = f"concat(regexp_replace(h, {lit(pattern)}, ' '), substring(t, length(h) + 1))"
+        out = let("t", out, let("h", f"regexp_extract(t, {lit(closed)}, 0)", f"IF(h = '', t, {cleaned})"))
     return f"trim(regexp_replace({out}, {lit(r'[ \t\r\n\f]+')}, ' '))"
 
 
