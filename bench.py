@@ -22,7 +22,8 @@ HEADLINE = (
     "detect_injection", "route_messages", "compliance_report", "batch_mask", "assign_batches",
     "build_requests", "score_distinct", "chunk_documents", "lift_spans", "normalize_pages",
     "parse_entities", "latency_percentiles", "health_rollup", "suite_summary", "score_with_model",
-    "stream_filter", "stream_metrics",
+    "stream_filter", "stream_metrics", "score_with_pipeline", "mask_in_chunks", "failure_report",
+    "merge_bio",
 )
 RUNS = 3
 

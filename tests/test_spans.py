@@ -281,3 +281,14 @@ def test_lifted_spans_are_joined(spark):
     )
     got = chunks.lift_spans(found, "id").first()["entities"]
     assert [(x["start"], x["end"], x["word"]) for x in got] == [(2, 24, text[2:24])]
+
+
+def test_no_span_is_made_by_a_cut(spark):
+    """Digits at every place around every cut: masked in pieces as in the whole text."""
+    rows = []
+    for n, digits in ((16, "4"), (21, "7"), (17, "1")):
+        rows += [" ".join(["word"] * 3) + " " * gap + digits * n + " and more text behind it " * 4 for gap in range(1, 70)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    whole = {r["id"]: r["masked_text"] for r in pii.mask_pii(df).collect()}
+    cut = chunks.mask_in_chunks(df, lambda d: d.withColumn("entities", vf.detect_entities("chunk")), "id", max_chars=80, overlap=40)
+    assert {r["id"]: r["masked_text"] for r in cut.collect()} == whole

@@ -53,9 +53,19 @@ def mask_in_chunks(
     ``finder`` adds ``entities`` to a table with a ``chunk`` column.  The key
     identifies a text.  Texts and their spans meet again by the key; the texts
     are shuffled once for it.
+
+    A span that touches a cut inside the text may be a part of something else,
+    as the finder did not see what lies behind the cut.  It is left to the piece
+    next to it, which holds whatever is shorter than the overlap with what
+    surrounds it; longer spans that are cut in every piece are not found.
     """
-    pieces = chunk_text(df.select(key, text_col), text_col, max_chars, overlap)
-    found = finder(pieces).select(key, "chunk_start", F.col("entities").alias("_found"))
+    sized = df.select(key, text_col, F.length(text_col).alias("_length"))
+    pieces = chunk_text(sized, text_col, max_chars, overlap)
+    inside = F.expr(
+        "filter(entities, e -> (e.start > 0 OR chunk_start = 0) AND "
+        "(e.end < length(chunk) OR chunk_start + length(chunk) >= _length))"
+    )
+    found = finder(pieces).select(key, "chunk_start", inside.alias("_found"))
     lifted = lift_spans(found, key, "_found", priority)
     return mask_pii(df.join(lifted, key, "left"), text_col, entities_col="_found").drop("_found")
 
