@@ -335,6 +335,13 @@ SELECT id AS doc_id, masked_text, n::INT AS n_entities FROM masked"""
     / greatest(length(text), 1) > 0.1 THEN 'INJECTION_DETECTED' ELSE 'SAFE' END AS classification,
     0.9::DOUBLE AS confidence, 'ok' AS status FROM documents"""
 
+    out["batch_failures"] = f"""SELECT doc_id, CASE WHEN length(text) % 5 > 2 THEN 'SAFE' END AS classification,
+    CASE WHEN length(text) % 5 > 2 THEN 0.75::DOUBLE END AS confidence,
+    CASE length(text) % 5 WHEN 0 THEN 'ThrottlingException' WHEN 1 THEN 'broken text' WHEN 2 THEN 'malformed response' END AS error,
+    CASE WHEN length(text) % 5 > 2 THEN 'ok' ELSE 'failed' END AS status FROM documents"""
+    out["batch_mask_model"] = f"""SELECT id AS doc_id, regexp_replace(text, '[^ \\n]*@[^ \\n]*', '[EMAIL]', 'g') AS masked_text,
+    len(regexp_extract_all(text, '[^ \\n]*@[^ \\n]*'))::INT AS n_entities, 'ok' AS status FROM ({PROBED_DOCS})"""
+
     out["latency_summary"] = f"""SELECT variant, count(latency) AS n_samples, round(avg(latency), 6) AS mean_latency,
     round(coalesce(stddev_samp(latency), 0), 6) AS std_latency FROM ({LOG}) GROUP BY variant"""
     out["latency_percentiles"] = f"""SELECT variant, count(latency) AS n_samples, true AS p50_fits,

@@ -478,6 +478,53 @@ def score_with_model(spark, sf_dir):
     return out.select("doc_id", "classification", "confidence", "status")
 
 
+@query
+def batch_failures(spark, sf_dir):
+    """The model fails by content: for good, as busy at each try, or with an answer no one can read."""
+    failure = model.ServiceError
+
+    def make_model():
+        def score(batch_texts: list[str]) -> list:
+            kind = len(batch_texts[0]) % 5
+            if kind == 0:
+                raise failure("ThrottlingException")
+            if kind == 1:
+                raise failure("ModelError", "broken text")
+            return ["no labels"] if kind == 2 else [[{"label": "SAFE", "score": 0.75}]]
+
+        return score
+
+    retry = model.RetryPolicy(max_retries=2, delay=0.0)
+    out = batch.batch_process(
+        documents(spark, sf_dir), "detect_injection", batch_size=1, make_model=make_model, retry=retry
+    )
+    return out.select("doc_id", "classification", "confidence", "error", "status")
+
+
+@query
+def batch_mask_model(spark, sf_dir):
+    """The model tags the parts of whatever has an @, as one that answers by token does."""
+
+    def make_model():
+        import re
+
+        def tag(text: str) -> list:
+            tags = []
+            for m in re.finditer(r"[^ \n]*@[^ \n]*", text):
+                cut = m.start() + m[0].index("@") + 1
+                tags.append({"entity": "B-EMAIL", "score": 0.9, "word": text[m.start():cut], "start": m.start(), "end": cut})
+                if cut < m.end():
+                    tags.append({"entity": "I-EMAIL", "score": 0.8, "word": text[cut:m.end()], "start": cut, "end": m.end()})
+            return tags
+
+        return lambda batch_texts: [tag(t) for t in batch_texts]
+
+    out = batch.batch_process(
+        probed_documents(spark, sf_dir), "mask_pii", make_model=make_model, merge_tags=True
+    )
+    return out.select("doc_id", "masked_text", F.size("entities").alias("n_entities"), "status")
+
+
 @query
 def score_with_pipeline(spark, sf_dir):
     docs = documents(spark, sf_dir)
