@@ -36,7 +36,9 @@ def default_rules() -> list[Rule]:
     ends = F.length("t") - F.length(F.translate("t", "!?", ""))
     return [
         Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words")),
-        Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.size(F.split("t", "\n", -1)) * 3),
+        # one or two lines again say nothing of a short text
+        Rule("repeated_lines", (F.col("n_dup_lines") > 2)
+             & (F.col("n_dup_lines") * 10 > F.size(F.split("t", "\n", -1)) * 3)),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words"))
              | (F.col("word_chars") > 20 * F.col("n_words"))),
         Rule("shouting", capitals * 2 > letters),

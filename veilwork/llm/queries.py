@@ -138,7 +138,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed
     OR n_symbols * 10 > n_words
-    OR n_dup_lines * 10 > n_lines * 3
+    OR (n_dup_lines > 2 AND n_dup_lines * 10 > n_lines * 3)
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) * 2 > length(regexp_replace(t, '[^\p{L}]', '', 'g'))
     OR length(regexp_replace(t, '[^!?]', '', 'g')) * 2 > n_words
