@@ -11,18 +11,19 @@ classes share are warm, the others cold.  Each class is listed under its first
 cold values; these lists are short, and all pairs in them are candidates.  That
 covers every class at least half of whose sketch is cold: what it shares with a
 near copy cannot be warm alone.  The other classes, made of content that many
-share, are also listed under their first warm values.  In such a list each
-class first meets a few pivots; where that joins all classes of the list,
-nothing more is to be found there.  Else the classes outside the largest
-component meet all others of the list, once for each pair (in the list of the
-smallest value both are listed under), and only pairs that the estimate passes
-leave the join.  So no pair is left out by a limit, and copies by the thousand
-cost a few comparisons each.
+share, are also listed under each three sketch values in a row (small sets,
+under their warm values).  In such a list each class first meets a few pivots;
+where that joins all classes of the list, nothing more is to be found there.
+Else the classes outside the largest component meet all others of the list,
+once for each pair (in the smallest of the lists that both are in), and only
+pairs that the estimate passes leave the join.  So no pair is left out by a
+limit, and copies by the thousand cost a few comparisons each.
 
 A pair at 0.85 shares each of the listed values with probability 0.65 or more
 (both halves of a set count), so it meets in none of 16 lists with probability
-under 0.35**16; sets of up to 48 are covered for certain.  The estimate is
-passed over at five standard deviations.  Hashes have 64 bits.
+under 0.35**16; a pair of warm content has no three shared values in a row among
+48 with probability under 1e-7; sets of up to 48 are covered for certain.  The
+estimate is passed over at five standard deviations.  Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ SKETCH = 48
 #: Classes that share a cold value at most, and pivots of the list of a warm one.
 FEW = 32
 PIVOTS = 16
+#: Sketch values in a row that classes of warm content are listed under, from this many shingles on.
+RUN = 3
+SMALL = 24
+#: Smallest hashes (whole sets, mostly) by which classes are compared that pivots have not joined.
+WIDE = 256
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -85,6 +91,26 @@ def _near(percent: int) -> Column:
     return F.get(F.transform(F.array(F.array_sort(F.array_union("s1", "s2"))), judge), F.lit(0))
 
 
+def _near_wide(percent: int) -> Column:
+    """The same of the upper halves of up to ``WIDE`` hashes, in the same order.
+
+    Halves that fall together make sets look more alike, or one value smaller;
+    one value more is allowed for that.
+    """
+    t = percent / 100
+    slack = 5 * (t * (1 - t) / WIDE) ** 0.5
+    both = F.size(F.array_intersect("s1", "s2")) + 1
+    whole = (F.col("n1") <= WIDE) & (F.col("n2") <= WIDE)
+
+    def judge(union: Column) -> Column:
+        seen = F.least(F.size(union), F.lit(WIDE))
+        shared = F.size(F.array_intersect(F.slice(union, F.lit(1), seen), F.array_intersect("s1", "s2")))
+        return shared + 1 >= (t - slack) * seen
+
+    sketched = F.get(F.transform(F.array(F.array_sort(F.array_union("s1", "s2"))), judge), F.lit(0))
+    return F.when(whole, 100 * both >= percent * (F.col("n1") + F.col("n2") - both)).otherwise(sketched)
+
+
 def _numbered(df: DataFrame, x: int, **more: str) -> DataFrame:
     names = {"c": "c", "n": "n", **more}
     return df.select("g", *[F.col(c).alias(f"{short}{x}") for c, short in names.items()])
@@ -94,6 +120,13 @@ class _Search:
     def __init__(self, docs: DataFrame, classes: DataFrame, n: int, percent: int):
         self.docs, self.classes, self.n, self.percent = docs, classes, n, percent
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(c, h) with the whole sets of the wanted classes (c, id), from the texts of their ids."""
+        ids = cut(wanted.select(F.col("id").alias("wanted_id")).distinct(), "near-ids")
+        again = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        sets = again.select(shingles(F.col("t"), self.n).alias("h")).select(_class(F.col("h")).alias("c"), "h")
+        return sets.join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("h").alias("h"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The candidate pairs that are links."""
         side = lambda name, x: self.classes.select(
@@ -108,10 +141,7 @@ class _Search:
             .unionByName(open_.select(F.col("b").alias("c"), F.col("id2").alias("id"))).distinct(),
             "near-wanted",
         )
-        ids = cut(wanted.select(F.col("id").alias("wanted_id")).distinct(), "near-ids")
-        again = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        sets = again.select(shingles(F.col("t"), self.n).alias("h")).select(_class(F.col("h")).alias("c"), "h")
-        sets = cut(sets.join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("h").alias("h")), "near-sets")
+        sets = cut(self.sets(wanted), "near-sets")
         full = open_.select("a", "b").join(sets.select(F.col("c").alias("a"), F.col("h").alias("h1")), "a")
         full = full.join(sets.select(F.col("c").alias("b"), F.col("h").alias("h2")), "b")
         both = F.size(F.array_intersect("h1", "h2"))
@@ -139,35 +169,57 @@ class _Search:
             "near-tagged",
         )
 
+    def listed(self) -> Column:
+        """What a class of warm content is listed under: each three sketch values in a row;
+        of a small set, its warm values.  In between, where the two kinds must meet, both."""
+        runs = F.transform(
+            F.sequence(F.lit(0), F.size("s") - RUN),
+            lambda i: F.xxhash64(*[F.get("s", i + j) for j in range(RUN)]),
+        )
+        empty = F.array().cast("array<bigint>")
+        large = F.when(F.col("n") >= SMALL, runs).otherwise(empty)
+        small = F.when(F.col("n") <= SMALL * 100 // self.percent + 1, F.slice("warm", 1, LISTED)).otherwise(empty)
+        return F.array_distinct(F.concat(large, small))
+
     def run(self) -> DataFrame:
         """(node, root) of the classes with links."""
         tagged = self.tagged()
         cold = tagged.select("c", "n", F.explode(F.slice("cold", 1, LISTED)).alias("g"))
         found = _numbered(cold, 1).join(_numbered(cold, 2), "g").where((F.col("c1") < F.col("c2")) & _sized(self.percent))
-        warm = tagged.where(F.size("warm") > F.size("cold")).select(
-            "c", "n", F.array_sort(F.concat("cold", "warm")).alias("s"), F.slice("warm", 1, LISTED).alias("listed"),
+        warm = cut(
+            tagged.where(F.size("warm") > F.size("cold")).select(
+                "c", "n", F.array_sort(F.concat("cold", "warm")).alias("s"), "warm"
+            ).select("c", "n", "s", self.listed().alias("listed")),
+            "near-warm-classes",
         )
-        warm = cut(warm.select("*", F.explode("listed").alias("g")), "near-warm-lists")
+        lists = warm.select("c", "n", F.explode("listed").alias("g"))
+        shared = lists.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("g")
+        lists = cut(lists.join(shared, "g"), "near-warm-lists")
         order = Window.partitionBy("g").orderBy(F.xxhash64("c"), "c")
-        pivots = warm.select("g", "c", "n", F.row_number().over(order).alias("r")).where(F.col("r") <= PIVOTS)
-        starred = _numbered(warm, 1).join(_numbered(pivots, 2), "g").where((F.col("c1") != F.col("c2")) & _sized(self.percent))
+        pivots = lists.select("g", "c", "n", F.row_number().over(order).alias("r")).where(F.col("r") <= PIVOTS)
+        starred = _numbered(lists, 1).join(_numbered(pivots, 2), "g").where((F.col("c1") != F.col("c2")) & _sized(self.percent))
         pairs = found.select(*_ordered()).unionByName(starred.select(*_ordered())).distinct()
         links = self.links(cut(pairs, "near-pairs"))
-        if warm.isEmpty():
-            return components(links)
         roots = components(links)
-        placed = warm.join(roots, warm["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
-        placed = cut(placed.select("g", "c", "n", "s", "listed", "root"), "near-placed")
+        if lists.isEmpty():
+            return roots
+        placed = lists.join(roots, lists["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
+        placed = cut(placed.select("g", "c", "n", "root"), "near-placed")
         parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
         parts = parts.groupBy("g").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"))
         open_ = placed.join(parts.where("k > 1").select("g", "top"), "g")
+        wanted = cut(open_.select("c").distinct().join(self.classes.select("c", "id"), "c"), "near-open-classes")
+        high = lambda x: F.transform(x, lambda v: F.shiftright(v, 32).cast("int"))
+        wide = self.sets(wanted).select("c", high(F.slice("h", 1, WIDE)).alias("s"))
+        wide = cut(wide.join(warm.select("c", high(F.col("listed")).alias("listed")), "c"), "near-wide")
+        open_ = open_.join(wide, "c")
         more = {"s": "s", "listed": "l", "root": "r"}
         outside = _numbered(open_.where("root != top"), 1, **more)
         # both may be outside; then the pair is met from either side, and one is enough
         inside = _numbered(open_.withColumn("top", F.col("root") == F.col("top")), 2, **more, top="top")
         rest = outside.join(inside, "g").where(
             (F.col("r1") != F.col("r2")) & (F.col("top2") | (F.col("c1") < F.col("c2"))) & _sized(self.percent)
-            & (F.array_min(F.array_intersect("l1", "l2")) == F.col("g")) & _near(self.percent)
+            & (F.array_min(F.array_intersect("l1", "l2")) == F.shiftright("g", 32)) & _near_wide(self.percent)
         )
         rest = cut(rest.select(*_ordered()).distinct(), "near-rest")
         if rest.isEmpty():
