@@ -87,8 +87,9 @@ class Lexicon:
         self.words, self.stems = words, stems
         self.trie = Trie(fuzzy)
         self.sizes = sorted({len(s) for s in stems}, reverse=True)
-        # one edit leaves one half of a term whole, at its place or one beside
+        # one edit leaves one half of a term whole, or swaps the letters where the halves meet
         self.heads = {t[: len(t) // 2] for t in fuzzy}
+        self.heads |= {t[: len(t) // 2 - 1] + t[len(t) // 2] for t in fuzzy if len(t) > 1}
         self.tails = {t[len(t) // 2:] for t in fuzzy}
         self.head_sizes = {len(x) for x in self.heads}
         self.tail_sizes = {len(x) for x in self.tails}
