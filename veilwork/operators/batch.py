@@ -33,7 +33,8 @@ def assign_batches(
     row.  There is no global sort: quantiles of the key cut the table into
     slots, rows are numbered inside their slot, and the row counts of the
     slots before it are added.  A key value so frequent that it fills several
-    slots is spread over that many by the hash of ``tie``.
+    slots is spread over that many by the hash of ``tie``, or of the whole row
+    where none is given.
 
     The counts and the numbering are two passes that must see the same rows,
     so ``df`` has to be repeatable, as a stored table is.
@@ -57,7 +58,11 @@ def assign_batches(
         bounds = list(found.first()["b"] or [])
     null_parts = max(1, n_null * n_slots // max(n, 1))
 
-    spread = F.shiftrightunsigned(F.xxhash64(tie), 33) if tie else F.lit(0)
+    # rows of one content may stand for each other, so the hash of the row will do as a tie
+    told_by = [tie] if tie else [
+        f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+    ]
+    spread = F.shiftrightunsigned(F.xxhash64(*told_by), 33)
     slotted = df.withColumn("_k", order).withColumn("_spread", spread.cast("bigint"))
     slotted = slotted.withColumn("_at", F.expr(_slot("_k", bounds, null_parts, key_type)))
     slotted = slotted.withColumn("_slot", F.col("_at.slot")).withColumn(
