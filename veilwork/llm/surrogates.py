@@ -25,17 +25,29 @@ _FEMALE = "Mrs|Mrs\\.|Ms|Ms\\.|Miss|Frau|Madame|Mme|Señora|Sra\\.|госпож
 #: code letter, name, pattern with no group; earlier ones win at the same place.
 TYPES = (
     ("a", "email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
-    ("b", "secret", r"(?<=(?:password|passwd|secret|api_key|token)[=:])[A-Za-z0-9_\-]{8,}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("b", "secret", r"(?<=[=:])(?<=(?:password|passwd|secret|api_key|token)[=:])[A-Za-z0-9_\-]{8,}+"),
+    ("h", "key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("c", "ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"),
     ("d", "phone", r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(+\-.])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"),
     ("e", "ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("f", "card", r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"),
     ("g", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("m", "male", rf"(?<=(?<![\p{{L}}\-])(?:{_MALE})[  ]){_NAME}"),
-    ("w", "female", rf"(?<=(?<![\p{{L}}\-])(?:{_FEMALE})[  ]){_NAME}"),
+    ("m", "male", rf"(?=\p{{Lu}})(?<=[  ])(?<=(?<![\p{{L}}\-])(?:{_MALE})[  ]){_NAME}"),
+    ("w", "female", rf"(?=\p{{Lu}})(?<=[  ])(?<=(?<![\p{{L}}\-])(?:{_FEMALE})[  ]){_NAME}"),
 )
 CODES = "".join(code for code, _, _ in TYPES)
-PATTERN = "|".join(f"({pattern})" for _, _, pattern in TYPES)
+
+
+def _joint(email: bool) -> str:
+    """All types in one pattern.  Most characters of a text can begin none of them, and
+    one test says so of all but the first two."""
+    groups = [f"({pattern})" for _, _, pattern in TYPES]
+    if not email:
+        groups[0] = "((?!))"
+    return f"{groups[0]}|{groups[1]}|(?=[0-9(+\\p{{Lu}}])(?:{'|'.join(groups[2:])})"
+
+
+PATTERN, PATTERN_NO_EMAIL = _joint(True), _joint(False)
 _OUT = "".join(f"{MARK}{code}${i + 1}" for i, (code, _, _) in enumerate(TYPES)) + f"{MARK}z"
 
 #: Syllables and endings of made-up names, by script and gender.
@@ -118,9 +130,9 @@ def _octets(norm: Column, digest: Column, attempt: Column) -> Column:
 def _drawn(kind: Column, norm: Column, attempt: Column, digest: Column) -> Column:
     """What is kept at either end, and the rest drawn anew."""
     top = F.substring_index(norm, ".", -1)
-    longer = F.when((attempt > 3) & kind.isin("a", "b"), attempt.cast("string")).otherwise(F.lit(""))
+    longer = F.when((attempt > 3) & kind.isin("a", "b", "h"), attempt.cast("string")).otherwise(F.lit(""))
     head = (
-        F.when((kind == "b") & norm.rlike("^AKIA[A-Z0-9]{16}$"), F.lit(4)).when(kind == "g", F.lit(2))
+        F.when(kind == "h", F.lit(4)).when(kind == "g", F.lit(2))
         .when(kind.isin("d", "f"), F.lit(1)).otherwise(F.lit(0))
     )
     tail = F.when(kind == "a", F.length(top)).when(kind == "f", F.lit(1)).otherwise(F.lit(0))
@@ -172,7 +184,10 @@ def _lay(mention: Column, plain: Column, char: Column) -> Column:
 def pieces(text: Column) -> Column:
     """The text in pieces: the first is plain, the others begin with a code letter."""
     safe = F.replace(text, F.lit(MARK), F.lit(MARK + "y"))
-    return F.split(F.regexp_replace(safe, PATTERN, _OUT), MARK, -1)
+    marked = F.when(F.contains(text, F.lit("@")), F.regexp_replace(safe, PATTERN, _OUT)).otherwise(
+        F.regexp_replace(safe, PATTERN_NO_EMAIL, _OUT)
+    )
+    return F.split(marked, MARK, -1)
 
 
 def _is_card(kind: Column, mention: Column) -> Column:
