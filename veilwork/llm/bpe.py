@@ -22,6 +22,8 @@ from veilwork.llm.lexicon import Lexicon, compile_words
 from veilwork.llm.merges import BYTE_PATTERN, LONG_TEXT, Memo, Merges, PreTokens, split_specials
 
 BUCKETS = 16
+#: Characters of the short texts that are taken together.
+GROUP = 1 << 18
 _shipped: dict[tuple[str, str], str] = {}
 
 
@@ -120,7 +122,7 @@ class Encoder:
                 continue
             group.append(list(self._parts(text)))
             size += len(text)
-            if size > LONG_TEXT:
+            if size > GROUP:
                 close()
         close()
         return out

@@ -185,7 +185,7 @@ def split_specials(text: str, specials: dict[str, int]):
 class Memo(dict):
     """Answers for words seen in this worker, emptied when full: speed only."""
 
-    SIZE = 400_000
+    SIZE = 120_000
 
     def full(self, wanted: int) -> bool:
         return bool(self) and len(self) + wanted > self.SIZE
