@@ -21,11 +21,13 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?:[  ]\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+
 #: Forms of address that give the gender.
 _MALE = "Mr|Mr\\.|Sir|Herr|Herrn|Monsieur|M\\.|Señor|Sr\\.|господин|г-н"
 _FEMALE = "Mrs|Mrs\\.|Ms|Ms\\.|Miss|Frau|Madame|Mme|Señora|Sra\\.|госпожа|г-жа"
+#: What stands in front of a secret: its name in any case, "=" or ":", and blanks and quotes around that.
+_SECRET = r"(?i:password|passwd|secret|api[_\-]?key|token)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 
 #: code letter, name, pattern with no group; earlier ones win at the same place.
 TYPES = (
     ("a", "email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
-    ("b", "secret", r"(?<=[=:])(?<=(?:password|passwd|secret|api_key|token)[=:])[A-Za-z0-9_\-]{8,}+"),
+    ("b", "secret", rf"(?<=[=:\"' \t])(?<=[=:][ \t]{{0,3}}[\"']?)(?=[A-Za-z0-9_\-]{{8}})(?<={_SECRET})(?!AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9_\-]))[A-Za-z0-9_\-]++"),
     ("h", "key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("c", "ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"),
     ("d", "phone", r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(+\-.])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])"),
