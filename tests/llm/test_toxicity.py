@@ -78,6 +78,16 @@ def test_scores(spark):
     assert (by[10_000], by[10_001], by[10_002], by[None]) == (0, 0, 1, 0)
 
 
+def test_misspellings_of_a_word_that_a_stem_covers(spark):
+    forms = ["stupid", "stupid", "stupidly", "stupidest"]
+    rows = [(1, f"you {forms[i % 4]} fool{i}") for i in range(40)] + [(0, f"plain words {i}") for i in range(80)]
+    words, stems, fuzzy = toxicity.learn_terms(spark.createDataFrame(rows, "y int, t string"))
+    assert "stupid" not in words and any("stupid".startswith(s) for s in stems)
+    lexicon = toxicity.Lexicon(words, stems, fuzzy)
+    for word in ("stpid", "sttupid", "tsupid", "sutpid", "xstupid"):
+        assert lexicon.weight(word) >= 0.6 * toxicity.TELLING, word
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -25,8 +25,8 @@ WINDOW = 50
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
 MAX_TERMS = 2_000
 STEMS = range(3, 7)
-#: Shortest term that is matched with an edit.
-FUZZY_FROM = 5
+#: Shortest term that is matched with an edit, and its least weight.
+FUZZY_FROM, TELLING = 5, 3.5
 FEATURES = 6
 _PIECE = 1 << 20
 _MEMO = 300_000
@@ -235,12 +235,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return cut(join_small(rows, chosen, ["k"], "inner").select("t", "y"), "toxic-rows")
 
 
-def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict, dict]:
-    """Words and word beginnings with the log odds of being in a toxic text."""
+def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict, dict, dict]:
+    """Words and word beginnings with the log odds of being in a toxic text, and the terms that
+    are matched with an edit.
+
+    A beginning may stand for a word in exact matching only: its misspellings do not begin so,
+    and are looked for by the word itself.
+    """
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
-        return {}, {}
+        return {}, {}, {}
     split = F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)[\w@$]+"), F.lit(0))
     seen = rows.select("y", F.explode(F.array_distinct(split)).alias("term"))
     one = lambda y: F.sum((F.col("y") == y).cast("long"))
@@ -258,6 +263,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict, dict
     both = words.withColumn("stem", F.lit(False)).unionByName(stems.withColumn("stem", F.lit(True)))
     ranked = both.where(F.col("d1") >= least).withColumn("w", odds).where("w >= 1.8")
     ranked = ranked.withColumn("gain", F.round(F.col("w") * F.col("d1"), 1))
+    apart = ranked.where(f"NOT stem AND w >= {TELLING} AND length(term) >= {FUZZY_FROM}").select("term", "w").collect()
     top = ranked.orderBy(F.desc("gain"), F.desc(F.length("term")), "term", "stem").limit(4 * max_terms).collect()
     chosen_words: dict[str, float] = {}
     chosen_stems: dict[str, float] = {}
@@ -274,12 +280,12 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict, dict
                 chosen_stems[term] = w
         else:
             chosen_words[term] = w
-    return chosen_words, chosen_stems
+    return chosen_words, chosen_stems, _misspelled({r["term"]: min(float(r["w"]), 8.0) for r in apart})
 
 
 def _misspelled(words: dict[str, float]) -> dict[str, float]:
     """Only telling terms are matched with an edit, at part of their weight."""
-    return {w: 0.6 * x for w, x in words.items() if len(w) >= FUZZY_FROM and x >= 3.5 and w.isalpha()}
+    return {w: 0.6 * x for w, x in words.items() if len(w) >= FUZZY_FROM and x >= TELLING and w.isalpha()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -287,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """(lexicon parts, model); the model is fitted on the driver, from a few numbers per row of
     the bounded sample.  Without both labels there is no model, and all scores are 0."""
     rows = training_rows(docs, labels, key, text, label)
-    words, stems = learn_terms(rows)
-    parts = (words, stems, _misspelled(words))
+    parts = words, stems, _ = learn_terms(rows)
     if not words and not stems:
         return parts, None
     found = rows.select(measured(rows.sparkSession, parts)(F.col("t").cast("binary")).alias("x"), "y").collect()
