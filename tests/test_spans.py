@@ -292,3 +292,19 @@ def test_no_span_is_made_by_a_cut(spark):
     whole = {r["id"]: r["masked_text"] for r in pii.mask_pii(df).collect()}
     cut = chunks.mask_in_chunks(df, lambda d: d.withColumn("entities", vf.detect_entities("chunk")), "id", max_chars=80, overlap=40)
     assert {r["id"]: r["masked_text"] for r in cut.collect()} == whole
+
+
+def test_spans_longer_than_the_overlap_are_masked(spark):
+    """Cut in every piece, at every place around every cut."""
+    rows = [(gap, size, "-" * gap + "Q" * size + "-" * 60) for size in (7, 8, 9, 15, 50) for gap in range(0, 40, 3)]
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "id int, text string")
+    finder = lambda d: d.withColumn("entities", F.expr(
+        "transform(filter(array(locate('Q', chunk)), p -> p > 0), p -> named_struct('entity_group', 'E', "
+        "'entity', CAST(NULL AS string), 'score', 0.9D, 'word', regexp_extract(chunk, 'Q+', 0), "
+        "'start', p - 1, 'end', p - 1 + length(regexp_extract(chunk, 'Q+', 0))))"
+    ))
+    out = chunks.mask_in_chunks(df, finder, "id", max_chars=20, overlap=8).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        gap, size, text = rows[r["id"]]
+        assert "Q" not in r["masked_text"] and [(e["start"], e["end"]) for e in r["entities"]] == [(gap, gap + size)], r

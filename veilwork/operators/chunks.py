@@ -56,14 +56,15 @@ def mask_in_chunks(
 
     A span that touches a cut inside the text may be a part of something else,
     as the finder did not see what lies behind the cut.  It is left to the piece
-    next to it, which holds whatever is shorter than the overlap with what
-    surrounds it; longer spans that are cut in every piece are not found.
+    next to it if that one holds the place with what surrounds it.  A span that
+    fills the overlap is cut there too, and stays: what the pieces found of it
+    is joined.
     """
     sized = df.select(key, text_col, F.length(text_col).alias("_length"))
     pieces = chunk_text(sized, text_col, max_chars, overlap)
     inside = F.expr(
-        "filter(entities, e -> (e.start > 0 OR chunk_start = 0) AND "
-        "(e.end < length(chunk) OR chunk_start + length(chunk) >= _length))"
+        f"filter(entities, e -> (e.start > 0 OR chunk_start = 0 OR e.end >= {overlap}) AND "
+        f"(e.end < length(chunk) OR chunk_start + length(chunk) >= _length OR e.start <= {max_chars - overlap}))"
     )
     found = finder(pieces).select(key, "chunk_start", inside.alias("_found"))
     lifted = lift_spans(found, key, "_found", priority)
