@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from veilwork.llm import archive
 
 SCHEMA = "page_id long, url string, html string, digest string"
@@ -38,6 +40,20 @@ def test_pages(spark, monkeypatch):
     assert run(spark, []) == []
 
 
+def test_long_and_odd_urls(spark):
+    rows = [(1, "http://x", "a"), (2, "data:," + "x" * 70_000, "b"), (3, "filedesc://x y", "c" * 200),
+            (4, "filedesc://x", "1 0 veilwork\n"), (5, "http://y", "d"), (6, None, "c" * 200)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA).coalesce(1)
+    assert sorted((tuple(r) for r in archive.convert_pages(df).collect()), key=repr) == expected(rows)
+
+
+def test_pages_are_not_lost_silently(spark, monkeypatch):
+    broken = spark.createDataFrame([("f", b"nonsense\n")], "path string, content binary")
+    monkeypatch.setattr(archive, "pack_arc", lambda *_: broken)
+    with pytest.raises(ValueError, match="archive f cannot be read"):
+        archive.convert_pages(spark.createDataFrame([(1, "u", "x", "")], SCHEMA)).collect()
+
+
 def test_given_pages(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]

@@ -114,7 +114,7 @@ def pack_arc(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
 
 def parse_arc(path: str, content: bytes) -> Iterator[tuple]:
     """Records of one archive in order.  What cannot be read ends in one row with an error."""
-    at, place, names = 0, 0, FIELDS[1].split()
+    at, place, names, begun = 0, 0, FIELDS[1].split(), None
     view = memoryview(content)
 
     def broken(why: str) -> tuple:
@@ -124,32 +124,39 @@ def parse_arc(path: str, content: bytes) -> Iterator[tuple]:
         if content[at:at + 1] == b"\n":  # records are set apart by one line break or more
             at += 1
             continue
-        end = content.find(b"\n", at, at + 65_536)
+        end = content.find(b"\n", at)
         if end < 0:
             yield broken("no header line")
             return
         line = content[at:end].decode("utf-8", "replace").rstrip("\r")
         # a URL may hold spaces; the fields behind it do not
         values = line.rsplit(" ", len(names) - 1)
-        if line.startswith("filedesc://"):
-            values = [line.split(" ")[0], *line.split(" ")[1:]]
-            length = values[-1]
-        else:
-            length = values[-1] if len(values) == len(names) else ""
+        # a version block may have other fields than the records
+        described = line.startswith("filedesc://")
+        length = values[-1] if described or len(values) == len(names) else ""
         if not length.isdigit() or end + 1 + int(length) > len(content):
             yield broken("bad header line or length")
             return
         body = bytes(view[end + 1:end + 1 + int(length)])
-        at = end + 1 + int(length)
-        if line.startswith("filedesc://"):
-            rows = body.decode("utf-8", "replace").split("\n")
-            version = rows[0].split(" ")[0] if rows else ""
+        first = begun is None
+        begun, at = at, end + 1 + int(length)
+        if described:
+            rows = body[:65_536].decode("utf-8", "replace").split("\n")
+            version = rows[0].split(" ")[0]
             listed = rows[1].split() if len(rows) > 1 else []
-            if listed and listed[0] == "URL" and listed[-1] == "Archive-length":
+            told = bool(listed) and listed[0] == "URL" and listed[-1] == "Archive-length"
+            if told:
                 names = listed
-            elif version in ("1", "2"):
+            elif first and version in ("1", "2"):
                 names = FIELDS[int(version)].split()
-            continue
+            # elsewhere than in front, only a list of fields makes a version block (of an archive
+            # that was appended); any other is a page with such a URL
+            if first or told:
+                continue
+            if len(values) != len(names):
+                at = begun
+                yield broken("bad header line or length")
+                return
         of = dict(zip(names, values))
         head, payload, source = b"", body, None
         if body.startswith(b"HTTP/"):
@@ -306,11 +313,14 @@ def convert_pages(pages: DataFrame, key: str = "page_id", url: str = "url", body
     are records of their own, and all with the smallest key of a payload are
     responses; rows without a key are revisits if one with a key has their
     payload.  An empty table gives an empty one; other columns are not read.
+    An archive that cannot be read to its end is an error.
     """
     spark = pages.sparkSession
     archives = cut(pack_arc(pages, key, url, body), "arc")
     out = run_dir(spark, "llm-warc")
-    write_warc(archives, out, min_bytes)
+    lost = write_warc(archives, out, min_bytes).first()
+    if lost is not None:
+        raise ValueError(f"archive {lost['archive']} cannot be read from record {lost['place']} on: {lost['error']}")
     back = read_warc(spark, out)
     return back.select(
         F.col("source_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to"
