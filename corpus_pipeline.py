@@ -24,25 +24,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Texts without a word are no copies of each other and all stay, and so do
-    rows without an id.  Rows that repeat a kept id within one group are copies
-    too, and one of them stays.
+    Rows are told apart by id and text, so one id may stand for several texts.
+    Rows without an id take part, and stay only where no row of their group has
+    one.  Texts without a word are no copies of each other and all stay.  Rows
+    that repeat id and text are copies too, and one of them stays.
     """
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    judged = minhash.near_duplicates(known, n=5, percent=80)
+    # no field is null, and rows without an id come last
+    row = F.struct(
+        F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"),
+    )
+    known = docs.withColumn("_row", row)
+    judged = minhash.near_duplicates(known.select("_row", "text"), n=5, percent=80, key="_row")
     judged = cut(judged, "pipeline-near")
-    gone = cut(judged.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-gone")
-    kept = join_small(docs, gone, ["doc_id"], "left_anti")
+    gone = cut(judged.where(~F.col("kept")).select("_row").distinct(), "pipeline-gone")
+    kept = join_small(known, gone, ["_row"], "left_anti")
     again = cut(
-        judged.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n"))
-        .where("n > 1").select("doc_id"),
+        judged.where("kept AND n_shingles > 0").groupBy("_row").agg(F.count("*").alias("n"))
+        .where("n > 1").select("_row"),
         "pipeline-again",
     )
     if again.isEmpty():
-        return kept
-    once = join_small(kept, again, ["doc_id"], "left_anti")
-    repeated = join_small(kept, again, ["doc_id"], "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    once = join_small(kept, again, ["_row"], "left_anti")
+    repeated = join_small(kept, again, ["_row"], "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["_row"])).select(*docs.columns)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

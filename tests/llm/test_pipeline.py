@@ -77,6 +77,25 @@ def test_stages(spark, tmp_path):
     assert sorted(r["ids_sha256"] for r in whole.collect()) == sorted(r["ids_sha256"] for r in encoded)
 
 
+def test_near_copies_under_shared_and_missing_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) for _ in range(6))
+    rows = [
+        (5, a), (5, b),  # one id, two texts in groups of their own
+        (6, c), (7, c), (7, d), (8, d),  # 7 is a copy of 6, and stands for the group of d
+        (None, e), (None, e + " end"), (9, f), (None, f), (None, f), (9, f),
+        (10, None), (10, ""), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    alone = [x for x in got if x[0] is None and x[1]]
+    assert len(alone) == 1 and alone[0][1] in (e, e + " end")
+    want = [(5, a), (5, b), (6, c), (7, d), (9, f), (10, None), (10, ""), (None, ""), (None, None), *alone]
+    assert got == sorted(want, key=repr)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
