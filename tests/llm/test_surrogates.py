@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from veilwork.llm import surrogates
 
 EMAIL = re.compile(r"[a-z0-9.]+@[a-z0-9.]+")
@@ -78,6 +81,23 @@ def test_distinct_where_surrogates_are_scarce(spark):
     assert not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_full_kinds(spark):
+    def phones(first, n):
+        return spark.range(n).select(F.lit("d").alias("kind"), F.concat(F.lit(first), F.lpad(F.col("id").cast("string"), 3, "0")).alias("norm"))
+
+    # 9 of 10 numbers that begin with 1 are real, so most need another first digit
+    few = phones("1", 900)
+    again = surrogates.settle(few, "k")
+    made = few.join(again, ["kind", "norm"], "left").select("norm", surrogates.draw(
+        "k", F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0))).alias("made")).collect()
+    assert len({r["made"] for r in made} | {r["norm"] for r in made}) == 1800
+    everything = phones("1", 1000)
+    for first in "23456789":
+        everything = everything.unionByName(phones(first, 1000))
+    with pytest.raises(ValueError, match="after 3 rounds: .* of kind phone"):
+        surrogates.settle(everything, "k", rounds=3)
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a.b@c.org"), (1, "a.b@c.org"), (None, "a.b@c.org"), (None, "z@c.org")]
     got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()

@@ -135,7 +135,8 @@ def _drawn(kind: Column, norm: Column, attempt: Column, digest: Column) -> Colum
     longer = F.when((attempt > 3) & kind.isin("a", "b", "h"), attempt.cast("string")).otherwise(F.lit(""))
     head = (
         F.when(kind == "h", F.lit(4)).when(kind == "g", F.lit(2))
-        .when(kind.isin("d", "f"), F.lit(1)).otherwise(F.lit(0))
+        # short phone numbers may run out of those with the same first digit
+        .when((kind == "f") | ((kind == "d") & (attempt <= 8)), F.lit(1)).otherwise(F.lit(0))
     )
     tail = F.when(kind == "a", F.length(top)).when(kind == "f", F.lit(1)).otherwise(F.lit(0))
 
@@ -230,8 +231,9 @@ def settle(found: DataFrame, secret: str, rounds: int = 50) -> DataFrame:
 
     Each round, of those that share a surrogate the one settled first (then the
     smallest) keeps it, and none keeps the value of a real entity of its kind.
-    Rounds go on until none has to move.  ``rounds`` ends the search for a kind
-    with more entities than surrogates, whose last ones then stay as drawn.
+    Rounds go on until none has to move.  If some still have to after ``rounds``
+    (a kind with about as many entities as surrogates), that is an error, as two
+    entities would share one.
     """
     claims = cut(
         found.select("kind", "norm").distinct().select(
@@ -258,6 +260,12 @@ def settle(found: DataFrame, secret: str, rounds: int = 50) -> DataFrame:
         if claims.where("moves").isEmpty():
             break
         claims = claims.drop("moves")
+    else:
+        kinds = {code: name for code, name, _ in TYPES} | {"s": "surname"}
+        left = judged.where("moves").groupBy("kind").count().orderBy("kind").collect()
+        raise ValueError(f"no surrogates of their own after {rounds} rounds: " + ", ".join(
+            f"{r['count']} of kind {kinds.get(r['kind'], r['kind'])}" for r in left
+        ))
     return cut(claims.where("attempt > 0").select("kind", "norm", "attempt"), "pii-again")
 
 
