@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilwork.llm import archive, bpe, chat, minhash, mixing, quality, surrogates, token_counts, topk, toxicity
+from veilwork.llm import (
+    archive, bpe, chat, minhash, mixing, quality, spelling, surrogates, token_counts, topk, toxicity,
+)
 from veilwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +113,11 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_quality_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
@@ -331,3 +338,39 @@ i AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, lower_run AS run, count(*) AS n FROM (
+    SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents)
+  ) WHERE length(lower_run) >= 6 GROUP BY ALL
+), c AS (
+  SELECT run, n, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: unicode(x)::BIGINT) AS u FROM o
+), b AS (
+  SELECT run, n, flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END)) AS b FROM c
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda x, y:
+    list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) AS h FROM b
+), e AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)
+), near AS (
+  SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM w)
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM w)
+), k AS (
+  SELECT a AS word, count(*) AS n_near, min({'m': -y.n, 'b': b}) AS best FROM near JOIN w y ON y.word = b GROUP BY a
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.m >= 5 * n THEN best.b END AS form, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n
+  FROM w LEFT JOIN k USING (word)
+), r AS (
+  SELECT word, word AS at, form AS ahead FROM f
+  UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.ahead
+)
+SELECT word, f.form, r.at AS root, n, n_near, form_n FROM f JOIN r USING (word) WHERE r.ahead IS NULL
+"""
