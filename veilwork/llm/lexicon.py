@@ -74,8 +74,12 @@ def compile_words(entries: dict[bytes, list[int]]) -> bytes:
 class Lexicon:
     """The mapped automaton; looks up many words in one vectorised walk."""
 
-    def __init__(self, path: str):
-        data = np.asarray(np.memmap(path, dtype="<i8", mode="r"))  # a plain view, still mapped
+    def __init__(self, source: str | bytes):
+        """From a file, which is mapped, or from its content."""
+        if isinstance(source, bytes):
+            data = np.frombuffer(source, "<i8")
+        else:
+            data = np.asarray(np.memmap(source, dtype="<i8", mode="r"))  # a plain view, still mapped
         self.start, n_arcs, n_states, n_words, n_ids, self.longest = (int(x) for x in data[:_HEAD])
         at = _HEAD
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.llm import (
-    archive, bpe, chat, minhash, mixing, quality, spelling, surrogates, token_counts, topk, toxicity,
+    archive, bpe, chat, divergence, minhash, mixing, quality, spelling, surrogates, token_counts, topk,
+    toxicity, urls,
 )
 from veilwork.llm.common import table
 
@@ -118,6 +119,23 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+#: Rules for hosts with their subdomains and the beginnings of paths.
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+    ("net/es/", "block"), ("net/fr/", "block"),
+]
+
+
+@query
+def op12_url_filters(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_quality_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
@@ -374,3 +392,41 @@ WITH RECURSIVE o AS (
 )
 SELECT word, f.form, r.at AS root, n, n_near, form_n FROM f JOIN r USING (word) WHERE r.ahead IS NULL
 """
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce("source", '') AS src,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), o AS (
+  SELECT r, lang, src, term, count(*) AS n FROM (
+    SELECT r, lang, src, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+  ) GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n) AS m FROM o GROUP BY lang, term HAVING count(*) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(m) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT lang, src, coalesce(v, 0) AS v, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, src FROM d) LEFT JOIN v USING (lang)
+), c AS (
+  SELECT g.lang, src, term, coalesce(n, 0) AS n, m, v, total AS whole
+  FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, src, term, sum(n) AS n FROM o GROUP BY ALL) USING (lang, src, term)
+), p AS (
+  SELECT lang, src, term, n,
+    1 + 1000000000 * (n + 5)::HUGEINT // (sum(n) OVER (PARTITION BY lang, src) + 5 * v)::HUGEINT AS p,
+    1 + 1000000000 * (m + 5)::HUGEINT // (whole + 5 * v)::HUGEINT AS q
+  FROM c
+), pair AS (
+  SELECT a.lang, a.src, b.src AS item, sum(abs(x.p - y.p)) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.src <> b.src
+  LEFT JOIN p x ON x.lang = a.lang AND x.src = a.src
+  LEFT JOIN p y ON y.lang = b.lang AND y.src = b.src AND y.term = x.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY ALL
+), both_parts AS (
+  SELECT lang, src, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pair
+  UNION ALL SELECT lang, src, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, src AS source, part, item, value,
+  row_number() OVER (PARTITION BY lang, src, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
