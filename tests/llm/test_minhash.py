@@ -104,3 +104,21 @@ def test_components(spark):
             todo += new
         want[x] = min(seen)
     assert got == want
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    # few rows behind the pivot joins: one for each entry of a list, whatever the pivots
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, words, 0.012)) for i in range(500)]
+    rows += [(1000 + i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(500)]
+    met = []
+    links = minhash._Search.links
+
+    def counted(self, pairs):
+        met.append(pairs.count())
+        return links(self, pairs)
+
+    monkeypatch.setattr(minhash._Search, "links", counted)
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+    assert sum(met) < 60 * len(rows)  # 16 pivots a list made 650 a row

@@ -12,11 +12,14 @@ cold values; these lists are short, and all pairs in them are candidates.  That
 covers every class at least half of whose sketch is cold: what it shares with a
 near copy cannot be warm alone.  The other classes, made of content that many
 share, are also listed under each three sketch values in a row (small sets,
-under their warm values).  In such a list each class first meets a few pivots;
-where that joins all classes of the list, nothing more is to be found there.
-Else the classes outside the largest component meet all others of the list,
-once for each pair (in the smallest of the lists that both are in), and only
-pairs that the estimate passes leave the join.  So no pair is left out by a
+under their warm values).  In such a list each class first meets one pivot, the
+least of the list in one order of all classes; where the links found so join all
+classes of the list, nothing more is to be found there.  In the other lists the
+classes meet pivots that stand for the largest components there, in turns, each
+after the links of the turn before.  Of what is still apart then, the classes
+outside the largest component meet all others of the list, once for each pair
+(in the smallest of the lists that both are in), and only pairs that the
+estimate passes leave the join.  So no pair is left out by a
 limit, and copies by the thousand cost a few comparisons each.
 
 A pair at 0.85 shares each of the listed values with probability 0.65 or more
@@ -37,9 +40,11 @@ from veilwork.llm.components import components
 
 LISTED = 16
 SKETCH = 48
-#: Classes that share a cold value at most, and pivots of the list of a warm one.
+#: Classes that share a cold value at most.
 FEW = 32
-PIVOTS = 16
+#: Pivots of a list that one of them has not joined, and how often others are tried.
+PIVOTS = 8
+TURNS = 3
 #: Sketch values in a row that classes of warm content are listed under, from this many shingles on.
 RUN = 3
 SMALL = 24
@@ -181,6 +186,32 @@ class _Search:
         small = F.when(F.col("n") <= SMALL * 100 // self.percent + 1, F.slice("warm", 1, LISTED)).otherwise(empty)
         return F.array_distinct(F.concat(large, small))
 
+    def pivoted(self, entries: DataFrame, pivots: int, turn: int) -> DataFrame:
+        """(a, b): each class of a list beside the list's pivots of other roots.
+
+        Pivots stand for the ``pivots`` roots that most classes of the list have.
+        They come as one array for each list, so a list entry is one row, and a
+        class that meets a pivot in many lists takes it once.
+        """
+        stands = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "root")).alias("p")
+        first = entries.groupBy("g", "root").agg(F.count("*").alias("k"), stands)
+        order = Window.partitionBy("g").orderBy(F.desc("k"), F.col("p.h"), F.col("p.c"))
+        first = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        arrays = first.groupBy("g").agg(F.collect_list(F.struct("p.c", "p.n", "p.root")).alias("ps"))
+        fits = lambda p: (p["root"] != F.col("root")) & (
+            100 * F.least("n", p["n"]) >= self.percent * F.greatest("n", p["n"]))
+        met = entries.join(arrays, "g").select("c", F.filter("ps", fits)["c"].alias("ps"))
+        met = met.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
+        return met.select(F.col("c").alias("c1"), F.explode("ps").alias("c2")).select(*_ordered())
+
+    def unsettled(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The entries, with root, of the lists that hold several roots, and each list's top root."""
+        placed = lists.join(roots, lists["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
+        placed = cut(placed.select("g", "c", "n", "root"), "near-placed")
+        parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
+        parts = parts.groupBy("g").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"))
+        return cut(placed.join(parts.where("k > 1").select("g", "top"), "g"), "near-unsettled")
+
     def run(self) -> DataFrame:
         """(node, root) of the classes with links."""
         tagged = self.tagged()
@@ -195,19 +226,25 @@ class _Search:
         lists = warm.select("c", "n", F.explode("listed").alias("g"))
         shared = lists.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("g")
         lists = cut(lists.join(shared, "g"), "near-warm-lists")
-        order = Window.partitionBy("g").orderBy(F.xxhash64("c"), "c")
-        pivots = lists.select("g", "c", "n", F.row_number().over(order).alias("r")).where(F.col("r") <= PIVOTS)
+        # first one pivot a list, the least of one order of all classes, so that lists agree on it
+        least = F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("p")
+        pivots = lists.groupBy("g").agg(least).select("g", "p.c", "p.n")
         starred = _numbered(lists, 1).join(_numbered(pivots, 2), "g").where((F.col("c1") != F.col("c2")) & _sized(self.percent))
         pairs = found.select(*_ordered()).unionByName(starred.select(*_ordered())).distinct()
         links = self.links(cut(pairs, "near-pairs"))
         roots = components(links)
         if lists.isEmpty():
             return roots
-        placed = lists.join(roots, lists["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
-        placed = cut(placed.select("g", "c", "n", "root"), "near-placed")
-        parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
-        parts = parts.groupBy("g").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"))
-        open_ = placed.join(parts.where("k > 1").select("g", "top"), "g")
+        open_ = self.unsettled(lists, roots)
+        for turn in range(1, TURNS + 1):
+            new = self.links(cut(self.pivoted(open_, PIVOTS, turn).distinct(), "near-pairs"))
+            if new.isEmpty():
+                break
+            links = links.unionByName(new)
+            roots = components(links)
+            open_ = self.unsettled(lists, roots)
+        if open_.isEmpty():
+            return roots
         wanted = cut(open_.select("c").distinct().join(self.classes.select("c", "id"), "c"), "near-open-classes")
         high = lambda x: F.transform(x, lambda v: F.shiftright(v, 32).cast("int"))
         wide = self.sets(wanted).select("c", high(F.slice("h", 1, WIDE)).alias("s"))
