@@ -8,6 +8,7 @@ import tempfile
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilwork.llm import bpe, lexicon, token_counts
@@ -50,6 +51,24 @@ def test_encode_and_decode(spark, texts):
         assert got[i][1] == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_both_ways_in_one_step(spark, texts, with_ids):
+    library = Tokenizer.from_file(BYTE)
+    got = bpe.encode_checked(_table(spark, texts).withColumn("new", F.lit(7)), BYTE, with_ids=with_ids)
+    digests = {"n_tokens", "ids_sha256", "decoded_sha256"}
+    assert set(got.columns) == {"doc_id", "text", "ids", "new"} | digests
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        assert rows[i]["ids"] == (packed if with_ids else "clash")
+        assert rows[i]["n_tokens"] == len(ids) and rows[i]["new"] == 7 and rows[i]["text"] == text
+        assert rows[i]["ids_sha256"] == hashlib.sha256(packed).hexdigest()
+        back = library.decode(ids, skip_special_tokens=False).encode()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(back).hexdigest()
+
+
 def test_decode_cut_and_unknown_ids(spark):
     library = Tokenizer.from_file(BYTE)
     ids = library.encode("日本 😀", add_special_tokens=False).ids

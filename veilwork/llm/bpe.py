@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,9 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilwork.llm.lexicon import Lexicon, compile_words
-from veilwork.llm.merges import BYTE_PATTERN, LONG_TEXT, Memo, Merges, PreTokens, split_specials
+from veilwork.llm.merges import (
+    BYTE_PATTERN, LONG_TEXT, Memo, Merges, PreTokens, newer_letters, split_specials,
+)
 
 BUCKETS = 16
 #: Characters of the short texts that are taken together.
@@ -59,9 +61,9 @@ def ship(spark: SparkSession, data: bytes) -> str:
 
 
 class Encoder:
-    def __init__(self, merges: Merges, lexicon: Lexicon):
+    def __init__(self, merges: Merges, lexicon: Lexicon, newer: str | None = None):
         self.merges, self.lexicon = merges, lexicon
-        self.pre = PreTokens(BYTE_PATTERN)
+        self.pre = PreTokens(BYTE_PATTERN, newer)
         self.memo = Memo()
 
     def learn(self, words: list[str]) -> None:
@@ -103,29 +105,44 @@ class Encoder:
             out.append(self._joined([part]))
         return b"".join(out)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Short texts are taken together, so that one walk looks up the new words of all."""
-        out: list[bytes] = []
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Short texts are taken together, so that one walk looks up the new words of all;
+        no more than one such group of texts is held."""
         group: list[list] = []
         size = 0
 
-        def close() -> None:
+        def close() -> Iterator[bytes]:
             nonlocal group, size
             self._known([p for parts in group for p in parts])
-            out.extend(map(self._joined, group))
+            yield from map(self._joined, group)
             group, size = [], 0
 
         for text in texts:
             if len(text) > LONG_TEXT:
-                close()
-                out.append(self.encode(text))
+                yield from close()
+                yield self.encode(text)
                 continue
             group.append(list(self._parts(text)))
             size += len(text)
             if size > GROUP:
-                close()
-        close()
-        return out
+                yield from close()
+        yield from close()
+
+
+class _Shipped:
+    """What workers need to encode: made on the driver, small beside a worker's own memory."""
+
+    def __init__(self, docs: DataFrame, path: str, text: str):
+        self.merges = Merges(path)
+        words = {w.encode("utf-8"): [] for w in frequent_words(docs, text)}
+        name = ship(docs.sparkSession, compile_words({w: self.merges.encode(w) for w in words}))
+        shared = docs.sparkSession.sparkContext.broadcast(vars(self.merges))
+        newer = newer_letters()
+        self.encoder = lambda: Encoder(Merges.of(shared.value), Lexicon(SparkFiles.get(name)), newer)
+
+
+def _texts(batch: pd.Series) -> Iterator[str]:
+    return (b.decode("utf-8", "replace") for b in batch)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
@@ -135,20 +152,44 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> Column:
     their ids, as the tokenizer's default has it.  A worker holds one Arrow
     batch, one text's pre-tokens in pieces, and a memo of bounded size.
     """
-    merges = Merges(path)
-    words = {w.encode("utf-8"): [] for w in frequent_words(docs, text)}
-    name = ship(docs.sparkSession, compile_words({w: merges.encode(w) for w in words}))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(merges))
+    encoder_of = _Shipped(docs, path, text).encoder
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(Merges.of(shared.value), Lexicon(SparkFiles.get(name)))
+        encoder = encoder_of()
         for batch in batches:
-            yield pd.Series(encoder.encode_many([b.decode("utf-8", "replace") for b in batch]), dtype=object)
+            yield pd.Series(list(encoder.encode_many(_texts(batch))), dtype=object)
 
     return ids(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
 
 
+def checked(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> Column:
+    """Struct of n_tokens, ids_sha256 and decoded_sha256 (and ids) of every whole text.
+
+    Encodes, decodes the ids and keeps digests of both, in one step: neither ids
+    nor decoded texts leave the worker unless ids are asked for.  Texts are
+    treated as by ``encoded`` and ids as by ``decoded``.
+    """
+    encoder_of = _Shipped(docs, path, text).encoder
+    kind = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+
+    @F.pandas_udf(kind)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of()
+        parts = encoder.merges.bytes
+        for batch in batches:
+            rows = []
+            for data in encoder.encode_many(_texts(batch)):
+                numbers = np.frombuffer(data, "<u4").tolist()
+                back = b"".join(map(parts.__getitem__, numbers)).decode("utf-8", "replace").encode("utf-8")
+                digests = hashlib.sha256(data).hexdigest(), hashlib.sha256(back).hexdigest()
+                rows.append((len(numbers), *digests, data) if with_ids else (len(numbers), *digests))
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids]
+            yield pd.DataFrame(rows, columns=names)
+
+    return both(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+
+
 def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
     """Column of texts for a column of ids; unknown ids are left out, null stays null.
 
@@ -180,5 +221,16 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.withColumn("ids", encoded(docs, path, text))
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """The table with n_tokens, ids_sha256 and decoded_sha256 (and ids), each row by ``checked``.
+
+    Columns of these names give way; all others stay as they are.
+    """
+    added = ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    keep = [f"`{c}`" for c in docs.columns if c not in added]
+    packed = docs.select(F.struct(*keep).alias("row"), checked(docs, path, text, with_ids).alias("new"))
+    return packed.select("row.*", *[f"new.{c}" for c in added])
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     return docs.withColumn(out, decoded(docs.sparkSession, F.col(f"`{ids}`"), path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from functools import cache
 from itertools import islice
 
 import regex
@@ -126,6 +127,25 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
+@cache
+def newer_letters() -> str:
+    """Ranges, for a character class, of letters and digits that the pattern module knows and
+    Python's tables do not.  It walks all code points: once, on the driver."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    newer = [
+        c for c in range(0x110000)
+        if not 0xD800 <= c <= 0xDFFF
+        and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))
+    ]
+    runs: list[list[int]] = []
+    for c in newer:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
 class PreTokens:
     """Pre-tokens of a text, as the tokenizer file's pattern gives them.
 
@@ -134,23 +154,12 @@ class PreTokens:
     matched on a copy in which a symbol stands in their place.
     """
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, newer: str | None = None):
         self.pattern = regex.compile(pattern)
-        known = regex.compile(r"[\p{L}\p{N}]")
-        newer = [
-            c for c in range(0x110000)
-            if not 0xD800 <= c <= 0xDFFF
-            and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))
-        ]
-        runs: list[list[int]] = []
-        for c in newer:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-        self.newer = regex.compile(f"[{inside}]") if runs else None
-        self.lowest = chr(newer[0]) if newer else chr(0x10FFFF)
+        if newer is None:
+            newer = newer_letters()
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.lowest = min(newer.replace("-", "")) if newer else chr(0x10FFFF)
 
     def pieces(self, text: str):
         """Lists of pre-tokens, of bounded length each."""
