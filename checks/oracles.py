@@ -57,6 +57,9 @@ QUOTED = r"[\x22\x27]ignore previous instructions[\x22\x27]"
 ASKING = r"\bhow (?:do|can) i (?:protect|defend|prevent)\b"
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def s(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -335,6 +338,65 @@ SELECT id AS doc_id, masked_text, n::INT AS n_entities FROM masked"""
     / greatest(length(text), 1) > 0.1 THEN 'INJECTION_DETECTED' ELSE 'SAFE' END AS classification,
     0.9::DOUBLE AS confidence, 'ok' AS status FROM documents"""
 
+    out["score_with_token_budget"] = out["score_with_model"]
+    out["score_with_store"] = """WITH cut AS (SELECT doc_id, substr(text, 1, 40 + doc_id % 2) AS t FROM documents),
+known AS (SELECT DISTINCT t FROM cut WHERE doc_id % 3 > 0)
+SELECT 'first' AS run, doc_id, length(t)::INT AS n, false AS reused FROM cut WHERE doc_id % 3 > 0
+UNION ALL SELECT 'again', doc_id, length(t)::INT, t IN (SELECT t FROM known) FROM cut
+UNION ALL SELECT 'other version', doc_id, length(t)::INT, false FROM cut"""
+    out["token_batches"] = f"""WITH counted AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n FROM documents),
+sized AS (SELECT *, least(64, greatest(1, 8192 // greatest(n, 1))) AS fits FROM counted),
+slots AS (SELECT *, ceil(count(*) OVER (PARTITION BY fits) / 300.0)::BIGINT AS slots FROM sized),
+dealt AS (SELECT *, ('0x' || substr(md5('slot' || doc_id), 1, 8))::BIGINT % slots AS slot FROM slots),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY fits, slot ORDER BY n DESC, doc_id) - 1) // fits AS b FROM dealt)
+SELECT doc_id, n AS n_tokens, fits || '-' || slot || '-' || b AS batch_id, count(*) OVER w AS batch_rows,
+    max(n) OVER w AS batch_longest, count(*) OVER w * max(n) OVER w AS batch_cost
+FROM cut WINDOW w AS (PARTITION BY fits, slot, b)"""
+    out["chunk_tokens"] = f"""WITH split AS (SELECT doc_id, text,
+    regexp_extract_all(text, '(?:\\A[\\x20\\x09-\\x0D]+)?{WORD}[\\x20\\x09-\\x0D]*') AS w FROM documents),
+numbered AS (SELECT *, unnest(generate_series(0, greatest(ceil((len(w) - 1024) / 896.0), 0)::INT))::INT AS chunk_no FROM split)
+SELECT doc_id, chunk_no, coalesce(list_sum(list_transform(w[1:chunk_no * 896], lambda x: length(x))), 0)::INT AS chunk_start,
+    CASE WHEN len(w) = 0 THEN text ELSE array_to_string(w[chunk_no * 896 + 1:chunk_no * 896 + 1024], '') END AS chunk,
+    len(w[chunk_no * 896 + 1:chunk_no * 896 + 1024])::INT AS n_tokens FROM numbered"""
+    out["lift_token_spans"] = out["resolve_spans"]
+    out["span_scores"] = f"""WITH {resolved(PROBED_DOCS)},
+found AS (SELECT id, CASE WHEN st % 11 = 0 THEN 'OTHER' ELSE label END AS label, least(st + id % 6, en - 1) AS st, en
+    FROM spans WHERE (st + id) % 5 <> 0),
+pairs AS (SELECT f.id, f.label, f.st, f.en, bool_or(e.st = f.st AND e.en = f.en) AS exact FROM found f JOIN spans e
+    ON e.id = f.id AND e.label = f.label AND 2 * (least(e.en, f.en) - greatest(e.st, f.st)) > greatest(e.en, f.en) - least(e.st, f.st)
+    GROUP BY ALL),
+counts AS (SELECT label, count(*) AS e, 0 AS f, 0 AS m, 0 AS x FROM spans GROUP BY label
+    UNION ALL SELECT label, 0, count(*), 0, 0 FROM found GROUP BY label
+    UNION ALL SELECT label, 0, 0, count(*), count(*) FILTER (exact) FROM pairs GROUP BY label),
+sums AS (SELECT label, sum(e) AS e, sum(f) AS f, sum(m) AS m, sum(x) AS x FROM counts GROUP BY label
+    UNION ALL SELECT 'overall', sum(e), sum(f), sum(m), sum(x) FROM counts)
+SELECT label, e::BIGINT AS n_expected, f::BIGINT AS n_found, m::BIGINT AS n_matched, x::BIGINT AS n_exact,
+    round(m / nullif(f, 0), 6) AS precision, round(m / nullif(e, 0), 6) AS recall, round(2 * m / nullif(e + f, 0), 6) AS f1 FROM sums"""
+    curve = f"""scored AS (SELECT round({score()}, 6) + ((conv_id * 7 + turn) % 10)::DOUBLE / 100 AS s, expected = 'INJECTION' AS y
+    FROM ({PROBED_CHATS})),
+counts AS (SELECT s, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM scored GROUP BY s),
+totals AS (SELECT sum(pos)::DOUBLE AS p, sum(neg)::DOUBLE AS n FROM counts),
+curve AS (SELECT s AS threshold, pos, neg, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp, p, n
+    FROM counts, totals WINDOW w AS (ORDER BY s DESC)),
+rates AS (SELECT *, tp / (tp + fp) AS precision, tp / p AS recall, fp / n AS fpr, 2 * tp / (tp + fp + p) AS f1,
+    tp / p - fp / n AS youden FROM curve)"""
+    out["threshold_curve"] = f"""WITH {curve}
+SELECT threshold, tp, fp, (p - tp)::BIGINT AS fn, (n - fp)::BIGINT AS tn, round(precision, 9) AS precision,
+    round(recall, 9) AS recall, round(fpr, 9) AS fpr, round(f1, 9) AS f1, round(youden, 9) AS youden,
+    round(neg * (tp - pos + pos / 2) / (p * n), 9) AS auc_step, round(pos / p * precision, 9) AS ap_step FROM rates"""
+    best = "(SELECT {what} FROM rates WHERE {test} ORDER BY {by} DESC, threshold DESC LIMIT 1)"
+    out["threshold_summary"] = f"""WITH {curve},
+pairs AS (SELECT sum(a.pos * b.neg * CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS u FROM counts a, counts b)
+SELECT round(u / (p * n), 9) AS auc, (SELECT round(sum(pos / p * precision), 9) FROM rates) AS average_precision,
+""" + ",\n".join(
+        f"    round({best.format(what='threshold', test=test, by=by)}, 9) AS {name}_threshold, "
+        f"round({best.format(what=by, test=test, by=by)}, 9) AS {value}"
+        for name, by, value, test in (
+            ("f1", "f1", "best_f1", "true"), ("youden", "youden", "best_youden", "true"),
+            ("precise", "recall", "precise_recall", "precision >= 0.9"),
+        )
+    ) + "\nFROM pairs, totals"
+
     out["batch_failures"] = f"""SELECT doc_id, CASE WHEN length(text) % 5 > 2 THEN 'SAFE' END AS classification,
     CASE WHEN length(text) % 5 > 2 THEN 0.75::DOUBLE END AS confidence,
     CASE length(text) % 5 WHEN 0 THEN 'ThrottlingException' WHEN 1 THEN 'broken text' WHEN 2 THEN 'malformed response' END AS error,

@@ -20,7 +20,8 @@ from veilwork.functions import injection as inj, rules, spans
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.sqltext import any_of, lit
 from veilwork.operators import (
-    batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rows, variants,
+    answers, batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rows, span_eval,
+    thresholds, tokens, variants,
 )
 from veilwork.plans import compliance
 from veilwork.session import run_dir
@@ -200,6 +201,45 @@ def evaluate_pii(spark, sf_dir):
     )
 
 
+#: A stand-in for another detector: it misses some spans, begins others late, and names some otherwise.
+_OTHER_SPANS = (
+    "transform(filter(entities, e -> (e.start + doc_id) % 5 != 0), e -> named_struct('label', "
+    "IF(e.start % 11 = 0, 'OTHER', e.type), 'start', least(e.start + doc_id % 6, e.end - 1), 'end', e.end))"
+)
+
+
+@query
+def span_scores(spark, sf_dir):
+    """The rules' spans as expected, those of the stand-in as found."""
+    found = pii.mask_pii(probed_documents(spark, sf_dir)).selectExpr(
+        "doc_id", "transform(entities, e -> named_struct('label', e.type, 'start', e.start, 'end', e.end)) AS expected",
+        f"{_OTHER_SPANS} AS found",
+    )
+    scores = span_eval.span_scores(span_eval.match_spans(found, "doc_id", "expected", "found"))
+    return scores.withColumns({c: _r(c) for c in ("precision", "recall", "f1")})
+
+
+def _injection_counts(spark, sf_dir) -> DataFrame:
+    """Scores of the rules beside what is expected; digits of the turn stand for a finer model."""
+    judged = injection.detect_prompt_injection(probed_conversations(spark, sf_dir)).selectExpr(
+        "round(injection_score, 6) + CAST((conv_id * 7 + turn) % 10 AS double) / 100 AS s", "expected = 'INJECTION' AS y"
+    )
+    return thresholds.score_counts(judged, "s", "y")
+
+
+@query
+def threshold_curve(spark, sf_dir):
+    curve = thresholds.threshold_curve(_injection_counts(spark, sf_dir))
+    shares = ("precision", "recall", "fpr", "f1", "youden", "auc_step", "ap_step")
+    return curve.withColumns({c: _r(c, 9) for c in shares})
+
+
+@query
+def threshold_summary(spark, sf_dir):
+    summary = thresholds.curve_summary(thresholds.threshold_curve(_injection_counts(spark, sf_dir)))
+    return summary.select(*[_r(c, 9).alias(c) for c in summary.columns])
+
+
 @query
 def sql_functions(spark, sf_dir):
     vf.register_functions(spark)
@@ -448,6 +488,41 @@ def lift_spans(spark, sf_dir):
     )
 
 
+@query
+def score_with_store(spark, sf_dir):
+    """Two runs over texts that partly repeat, then a new version: what was scored, what was reused."""
+    docs = documents(spark, sf_dir).withColumn("text", F.expr("substring(text, 1, 40 + doc_id % 2)"))
+    store = run_dir(spark, "answer-store")
+
+    def scorer(new: DataFrame) -> DataFrame:
+        return new.withColumn("n", F.length("text"))
+
+    runs = [("first", docs.where("doc_id % 3 > 0"), "1"), ("again", docs, "1"), ("other version", docs, "2")]
+    out = [
+        answers.score_with_store(part, scorer, store, version, "doc_id").selectExpr(
+            f"'{run}' AS run", "doc_id", "CAST(get_json_object(answer, '$.n') AS int) AS n", "reused"
+        )
+        for run, part, version in runs
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def chunk_tokens(spark, sf_dir):
+    return tokens.chunk_tokens(documents(spark, sf_dir))
+
+
+@query
+def lift_token_spans(spark, sf_dir):
+    """Found in pieces of so many words, the spans are those of the whole text."""
+    pieces = tokens.chunk_tokens(probed_documents(spark, sf_dir).select("doc_id", "text"), max_tokens=90, overlap=30)
+    found = pii.add_entities(pieces, "chunk", "entities")
+    lifted = chunks.lift_spans(found, "doc_id", priority=[r.label for r in rules.PII_RULES])
+    return rows.unroll(lifted, "entities", "no", "doc_id").selectExpr(
+        "doc_id", "e.start", "e.end", "e.entity_group AS label", "e.word"
+    )
+
+
 @query
 def mask_in_chunks(spark, sf_dir):
     out = chunks.mask_in_chunks(
@@ -478,6 +553,37 @@ def score_with_model(spark, sf_dir):
     return out.select("doc_id", "classification", "confidence", "status")
 
 
+@query
+def token_batches(spark, sf_dir):
+    """Small slots, so that classes are spread over several."""
+    out = tokens.token_batches(
+        documents(spark, sf_dir).select("doc_id", tokens.count_words("text").alias("words")), "doc_id", "words",
+        rows_per_slot=300,
+    )
+    return out.drop("words")
+
+
+@query
+def score_with_token_budget(spark, sf_dir):
+    """The model refuses calls over the budget, so each of them would be a failed row."""
+    budget, most = rules.MAX_BATCH_TOKENS, rules.MAX_BATCH_ROWS
+
+    def make_model():
+        def score(batch_texts: list[str]) -> list:
+            sizes = [len(t.split()) for t in batch_texts]
+            if len(sizes) > most or len(sizes) > 1 and max(sizes) * len(sizes) > budget:
+                raise model.ServiceError("ValidationException", "too many tokens")
+            shares = [t.count("e") / max(len(t), 1) for t in batch_texts]
+            return [[{"label": "INJECTION" if s > 0.1 else "SAFE", "score": 0.9}] for s in shares]
+
+        return score
+
+    out = batch.batch_process(
+        documents(spark, sf_dir), "detect_injection", batch_size=most, make_model=make_model, token_budget=budget
+    )
+    return out.select("doc_id", "classification", "confidence", "status")
+
+
 @query
 def batch_failures(spark, sf_dir):
     """The model fails by content: for good, as busy at each try, or with an answer no one can read."""

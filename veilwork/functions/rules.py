@@ -88,6 +88,10 @@ STATUS_FAILED = "failed"
 STATUS_OK = "ok"
 OPERATIONS = ("mask_pii", "detect_injection")
 DEFAULT_BATCH_SIZE = 10
+#: Token limits of the model service: of one text, of a batch (padded), and rows of a batch.
+MAX_INPUT_TOKENS = 1024
+MAX_BATCH_TOKENS = 8192
+MAX_BATCH_ROWS = 64
 CAPTURE_PERCENT = 10
 RETRY_CODES = (
     "ThrottlingException", "ServiceUnavailable", "TooManyRequestsException",

@@ -32,7 +32,11 @@ def preview(text: str, n: int) -> str:
     return f"concat(substring({text}, 1, {int(n)}), '...')"
 
 
+def hash_number(key: str, salt: str = "") -> str:
+    """A stable number from 0 to 2**32 - 1, the same in batch and stream."""
+    return f"CAST(conv(substring(md5(concat('{salt}', CAST({key} AS string))), 1, 8), 16, 10) AS bigint)"
+
+
 def hash_bucket(key: str, salt: str = "") -> str:
     """A stable number from 0 to 9999, the same in batch and stream."""
-    salted = f"concat('{salt}', CAST({key} AS string))"
-    return f"pmod(CAST(conv(substring(md5({salted}), 1, 8), 16, 10) AS bigint), 10000)"
+    return f"pmod({hash_number(key, salt)}, 10000)"

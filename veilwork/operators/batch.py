@@ -153,12 +153,14 @@ def batch_process(
     return_entities: bool = True,
     threshold: float = rules.INJECTION_THRESHOLD,
     merge_tags: bool = False,
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Run one operation over a table; no row is lost.
 
     Without a model the rules answer.  With one, texts go to it in batches;
     a batch that fails, or an answer that cannot be read, gives failed rows.
-    ``merge_tags`` joins the B-/I- tags of a model that answers by token.
+    ``merge_tags`` joins the B-/I- tags of a model that answers by token;
+    ``token_budget`` bounds a batch's longest text times its texts, in words.
     """
     operation = {"detect_prompt_injection": "detect_injection"}.get(operation, operation)
     if operation not in rules.OPERATIONS:
@@ -177,7 +179,7 @@ def batch_process(
             }
         )
 
-    scored = score_with_model(df, text_col, make_model, batch_size, retry or RetryPolicy())
+    scored = score_with_model(df, text_col, make_model, batch_size, retry or RetryPolicy(), token_budget)
     state = ["latency_seconds", "error", "status"]
     if operation == "mask_pii":
         parsed = _checked(responses.parse_entities(scored, "response", "_found"), text_col, "_found")

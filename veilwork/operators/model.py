@@ -51,12 +51,32 @@ class RetryPolicy:
         return call()
 
 
+def words_of(text: str) -> int:
+    """Tokens of a text where the caller has no better count: its words."""
+    return len(text.split())
+
+
+def budgeted(lengths: list[int], batch_size: int, budget: int) -> Iterator[list[int]]:
+    """Indexes in batches, longest first, whose padded cost (longest times count) keeps to the budget.
+
+    Texts of like length go together.  A text over the budget goes alone.
+    """
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    at = 0
+    while at < len(order):
+        room = max(1, min(batch_size, budget // max(lengths[order[at]], 1)))
+        yield order[at:at + room]
+        at += room
+
+
 def score_with_model(
     df: DataFrame,
     text_col: str,
     make_model: Callable[[], Callable[[list[str]], list]],
     batch_size: int = rules.DEFAULT_BATCH_SIZE,
     retry: RetryPolicy | None = None,
+    token_budget: int | None = None,
+    count_tokens: Callable[[str], int] = words_of,
 ) -> DataFrame:
     """Add the model's answer per text as JSON, its latency, error and status.
 
@@ -66,6 +86,11 @@ def score_with_model(
     The time of a call is shared out over its texts.  A call that fails for
     good fails its texts, not the task.  NULL texts are not sent.
 
+    With a ``token_budget`` the texts of an Arrow batch go to the model sorted
+    by ``count_tokens``, in calls of at most ``batch_size`` texts whose longest
+    times count keeps to the budget; no row is shuffled for it, and answers come
+    back in the order of the rows.
+
     All columns of ``df`` make the trip to Python and back: select before.
     """
     policy = retry or RetryPolicy()
@@ -87,10 +112,13 @@ def score_with_model(
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             response, latency, error = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            for at in range(0, len(texts), batch_size):
-                sent = [i for i in range(at, min(at + batch_size, len(texts))) if texts[i] is not None]
-                if not sent:
-                    continue
+            given = [i for i, t in enumerate(texts) if t is not None]
+            if token_budget is None:
+                calls = [given[at:at + batch_size] for at in range(0, len(given), batch_size)]
+            else:
+                lengths = [count_tokens(texts[i]) for i in given]
+                calls = [[given[i] for i in b] for b in budgeted(lengths, batch_size, token_budget)]
+            for sent in calls:
                 try:
                     answers, seconds = call(model, [texts[i] for i in sent])
                     for i, answer in zip(sent, [json.dumps(a, ensure_ascii=False) for a in answers]):
