@@ -67,14 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with digests of the ids and of what they decode to."""
-    path = tokenizer("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    return both.select(
-        "doc_id", "lang", "source", "ids",
-        F.expr("CAST(octet_length(ids) div 4 AS bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    texts = docs.select("doc_id", "lang", "source", "text")
+    return bpe.encode_checked(texts, tokenizer("byte_bpe_50k.json"), with_ids=True).drop("text")
 
 
 STAGES = [
