@@ -93,3 +93,53 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.score_toxicity(docs, none).collect()] == [0.0, 0.0]
     assert toxicity.score_toxicity(docs.limit(0), none).collect() == []
+
+
+def plain_features(text, lexicon):
+    """Hits with their weight, and whether each is quoted, line by line."""
+    out, n = [], 0
+    for line in text.lower().split("\n"):
+        words = list(toxicity._TOKEN.finditer(line))
+        for i, m in enumerate(words):
+            w = lexicon.weight(m[0])
+            if w:
+                marks = "\"“”„«»‹›"
+                opened = sum(c in marks for c in line[:m.start()]) % 2
+                closed = any(c in marks for c in line[m.end():])
+                told = any(x[0] in toxicity._REPORT for x in words[max(0, i - toxicity.REPORTED):i])
+                out.append((n + i, w, bool(opened and closed or told)))
+        n += len(words)
+    return out, n
+
+
+def test_quoting_as_plain(monkeypatch):
+    monkeypatch.setattr(toxicity, "_PIECE", 40)  # pieces of a few words: the cuts must not show
+    lexicon = toxicity.Lexicon({"bad": 5.0, "worse": 2.0}, {}, {})
+    rng = random.Random(4)
+    seen = []
+    real = toxicity._quoted
+
+    def kept(text, hits, reports):
+        seen.append((hits[:, 0].tolist(), real(text, hits, reports).tolist()))
+        return real(text, hits, reports)
+
+    monkeypatch.setattr(toxicity, "_quoted", kept)
+    for _ in range(300):
+        text = "".join(rng.choice(["bad ", "worse", " ", "İx ", '"', "«", "\n", "said ", "a b c ", "word "]) for _ in range(rng.randint(1, 60)))
+        seen.clear()
+        got = toxicity.features(text, lexicon)
+        hits, n = plain_features(text, lexicon)
+        assert got[5] == toxicity.math.log1p(n)
+        assert seen == ([([i for i, _, _ in hits], [q for _, _, q in hits])] if hits else [])
+        best = max((sum(w for j, w, q in hits if not q and i - toxicity.WINDOW < j <= i) for i, _, _ in hits), default=0)
+        assert abs(got[0] - toxicity.math.log1p(best)) < 1e-9
+
+
+def test_no_limit_of_length():
+    lexicon = toxicity.Lexicon({"mudbrain": 5.0}, {"stupid": 5.0}, {})
+    assert lexicon.weight("stupid" + "x" * 94) == 5.0 and lexicon.weight("stupid" + "x" * 3_000_000) == 5.0
+    assert lexicon.weight("5tup1d" + "x" * 94) == 5.0
+    quoted = toxicity.features('"' + "plain things " * 250_000 + "mudbrain" + " and more" * 100_000 + '"', lexicon)
+    assert quoted[1] == 0.0 and quoted[4] > 1
+    apart = toxicity.features('"' + "plain things " * 250_000 + "mudbrain" + " and more" * 100_000 + "\n", lexicon)
+    assert apart[1] > 1 and apart[4] == 0.0

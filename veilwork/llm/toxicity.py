@@ -4,8 +4,9 @@ The lexicon has words and word beginnings that stand out in toxic texts of the
 labelled rows.  It is kept as a trie.  A word that is not in it is run as a
 Levenshtein automaton (one edit: a letter more, less, other, or two swapped)
 through the trie, so that misspelled terms are caught.  Hits are weighed by
-windows of words; those inside quotation marks or behind a word of reporting
-are summed apart from the others.  A logistic model joins the sums.
+windows of words; those between quotation marks of their line, however long it
+is, or a few words behind a word of reporting are summed apart from the others.
+A logistic model joins the sums.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ STEMS = range(3, 7)
 #: Shortest term that is matched with an edit, and its least weight.
 FUZZY_FROM, TELLING = 5, 3.5
 FEATURES = 6
+#: Letters of a term at least, and words in front of a hit that may report it.
+LEAST_LETTERS, REPORTED = 3, 6
 _PIECE = 1 << 20
-_MEMO = 300_000
+#: Words whose weights a worker keeps, and letters of a word that is kept: speed only.
+_MEMO, _MEMO_LETTERS = 300_000, 64
 _TOKEN = re.compile(r"[\w@$]+")
 #: Letters written as other signs, and words that report speech.
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -37,7 +41,8 @@ _REPORT = frozenset(
     "said says saying called calls quote quotes quoted wrote writes word words term "
     "sagte nannte schrieb dit appelle écrit dijo llama escribió".split()
 )
-_QUOTES = "\"“”„«»‹›"
+_MARK = re.compile("[\"“”„«»‹›\n]")
+_SPACE = re.compile(r"\s")
 
 
 class Trie:
@@ -99,14 +104,14 @@ class Lexicon:
     def weight(self, token: str) -> float:
         found = self.memo.get(token)
         if found is None:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            found = self.memo[token] = self._weight(token)
+            found = self._weight(token)
+            if len(token) <= _MEMO_LETTERS:
+                if len(self.memo) >= _MEMO:
+                    self.memo.clear()
+                self.memo[token] = found
         return found
 
     def _weight(self, token: str) -> float:
-        if len(token) > 64:
-            return 0.0
         best = self._plain(token)
         if not best and not token.isalpha() and any(c.isalpha() for c in token):
             best = self._plain(token.translate(_LEET))
@@ -126,51 +131,65 @@ class Lexicon:
         return 0.0
 
 
-def _pieces(text: str) -> Iterator[str]:
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """The text in parts of about a million characters with their places; no word is cut."""
     at = 0
     while at < len(text):
         end = at + _PIECE
         if end < len(text):
-            # up to the next blank, so that no word is cut
-            found = re.compile(r"\s").search(text, end)
+            found = _SPACE.search(text, end)
             end = found.end() if found else len(text)
-        yield text[at:end]
+        yield at, text[at:end]
         at = end
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Inside quotation marks of its line, or behind a word of reporting."""
-    line = text.rfind("\n", 0, start) + 1
-    line = max(line, start - 400)
-    before = sum(text.count(q, line, start) for q in _QUOTES)
-    if before % 2 and any(q in text[end:end + 400].partition("\n")[0] for q in _QUOTES):
-        return True
-    return not _REPORT.isdisjoint(_TOKEN.findall(text[max(line, start - 40):start].lower()))
+def _quoted(text: str, hits: np.ndarray, reports: np.ndarray) -> np.ndarray:
+    """Which hits stand between quotation marks of their line, or behind a word of reporting in it.
+
+    Rows of ``hits`` and ``reports`` are the word's number, start and end.
+    """
+    marks = [(m.start(), m[0] == "\n") for m in _MARK.finditer(text)]
+    places = np.array([p for p, _ in marks], np.int64)
+    breaks = np.array([b for _, b in marks], bool)
+    lines, quotes = np.append(-1, places[breaks]), places[~breaks]
+    number, start, end = hits.T
+    line = np.searchsorted(lines, start) - 1
+    first = lines[line]
+    last = np.append(lines, len(text))[line + 1]
+    opened = (np.searchsorted(quotes, start) - np.searchsorted(quotes, first)) % 2 == 1
+    closed = np.searchsorted(quotes, end) < np.searchsorted(quotes, last)
+    if not len(reports):
+        return opened & closed
+    before = np.searchsorted(reports[:, 0], number) - 1
+    told = reports[np.maximum(before, 0)]
+    reported = (before >= 0) & (told[:, 0] >= number - REPORTED) & (told[:, 1] > first)
+    return opened & closed | reported
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """What the model reads; texts of any length, piece by piece."""
-    places, weights, quoted, strong = [], [], [], set()
+    """What the model reads; texts of any length, their words piece by piece."""
+    lower = text.lower()
+    hits, reports, weights, strong = [], [], [], set()
     n = 0
-    for piece in _pieces(text):
-        lower = piece.lower()
-        if len(lower) != len(piece):
-            piece = lower
-        tokens = _TOKEN.findall(lower)
-        hits = {t: w for t in set(tokens) if (w := lexicon.weight(t))}
-        if hits:
-            for i, m in enumerate(_TOKEN.finditer(lower)):
-                w = hits.get(m[0])
+    for at, piece in _pieces(lower):
+        tokens = _TOKEN.findall(piece)
+        found = {t: w for t in set(tokens) if (w := lexicon.weight(t))}
+        # words of reporting at the end of a piece may stand before a hit of the next one
+        if found or not _REPORT.isdisjoint(tokens[-REPORTED:]):
+            for i, m in enumerate(_TOKEN.finditer(piece), n):
+                w = found.get(m[0])
                 if w:
-                    places.append(n + i)
+                    hits.append((i, at + m.start(), at + m.end()))
                     weights.append(w)
-                    quoted.append(_quoted(piece, m.start(), m.end()))
                     if w > 3:
                         strong.add(m[0])
+                if m[0] in _REPORT:
+                    reports.append((i, at + m.start(), at + m.end()))
         n += len(tokens)
-    if not places:
+    if not hits:
         return [0.0, 0.0, 0.0, 0.0, 0.0, math.log1p(n)]
-    at, w, q = np.array(places), np.array(weights), np.array(quoted)
+    places, w = np.array(hits, np.int64), np.array(weights)
+    at, q = places[:, 0], _quoted(lower, places, np.array(reports, np.int64))
     plain = np.where(q, 0.0, w)
     sums = np.concatenate([[0.0], np.cumsum(plain)])
     first = np.searchsorted(at, at - WINDOW, side="right")
@@ -250,7 +269,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict, dict
     seen = rows.select("y", F.explode(F.array_distinct(split)).alias("term"))
     one = lambda y: F.sum((F.col("y") == y).cast("long"))
     words = cut(
-        seen.where("length(term) BETWEEN 3 AND 40").groupBy("term").agg(one(1).alias("d1"), one(0).alias("d0")),
+        seen.where(F.length("term") >= LEAST_LETTERS).groupBy("term").agg(one(1).alias("d1"), one(0).alias("d0")),
         "toxic-words",
     )
     stems = words.select(
@@ -321,8 +340,10 @@ def with_score(docs: DataFrame, labels: DataFrame, out: str = "score", key: str
 
     Null and empty texts are scored as texts without a hit.  Rows are scored one
     by one, so repeated rows come back repeated.  An empty table gives an empty
-    one.  A worker holds one Arrow batch, a million characters of one text as
-    words, its hits, and a memo of bounded size.
+    one.  Words and lines may be of any length, and a score does not hang on
+    where a long text is cut.  A worker holds one Arrow batch, a million
+    characters of one text as words, its hits, reporting words and quotation
+    marks, and a memo of bounded size.
     """
     parts, model = fit(docs, labels, key, text, label)
     numbers = None if model is None else (model.mean, model.scale, model.weights)
