@@ -98,3 +98,18 @@ def test_nulls_ties_and_nothing(spark):
     assert run(spark, rows, {}, 0.5) == brute(rows, {}, 0.5, 4, 3)[0]
     assert run(spark, rows, {("a",): 0}, 0.5) == [0] * len(rows)
     assert run(spark, [], {}, 0.5) == []
+
+
+def test_own_names_of_columns(spark):
+    names = ["row", "own", "leaf_0", "leaf_1", "epochs", "cut_u", "cut_key", "_leaf_0", "_epochs", "_cut_u", "_cut_key", "copies"]
+    kind = "doc_id long, n_tokens long, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, 10, "en" if i % 3 else "de", f"s{i % 4}", *[f"mine {n}" for n in names]) for i in range(60)]
+    docs = spark.createDataFrame(rows, kind)
+    chosen = lambda df: mixing.mix_to_weights(df, ["lang", "source"], {("en",): 2}, budget_share=0.5)
+    got = chosen(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert [r[n] for n in names[:-1]] == [f"mine {n}" for n in names[:-1]]
+    copies = lambda df: sorted((r["doc_id"], r["copies"]) for r in df.collect())
+    assert copies(got) == copies(chosen(docs.select("doc_id", "n_tokens", "lang", "source")))
+    assert sum(c for _, c in copies(got)) > 0

@@ -104,3 +104,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert len(got) == 4 and len({r["text"] for r in got}) == 2
     none = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replace_entities(none, "k").collect() == []
+
+
+def test_own_names_of_columns(spark):
+    # whatever the operator calls its own columns, the user's come back; rows without a key too
+    names = ["k", "t", "p", "again", "row", "_k", "_p", "_again", "kind", "norm", "e", "n_entities"]
+    kind = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    texts = [(1, "mail a.person@some.org"), (None, "mail b.person@some.org"), (None, "call 555-123-4567"), (None, None)]
+    docs = spark.createDataFrame([(i, t, *[f"mine {n}" for n in names]) for i, t in texts], kind)
+    plain = surrogates.replace_entities(docs.select("doc_id", "text"), "s")
+    got = surrogates.replace_entities(docs, "s")
+    assert got.columns == ["doc_id", "text", *names]
+    for r in got.collect():
+        assert [r[n] for n in names[:-1]] == [f"mine {n}" for n in names[:-1]]
+    columns = ["doc_id", "text", "n_entities"]
+    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, plain.select(*columns).collect()))
+    assert got.where("n_entities = 1").count() == 3

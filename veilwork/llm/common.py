@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from veilwork.operators.rows import quoted
 from veilwork.session import run_dir
 
 #: Words are runs of anything but these six characters.
@@ -22,6 +23,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")
 
 
+def packed(df: DataFrame, but: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """All columns (``but`` some) as one struct ``row`` beside others of any name, so that none can clash."""
+    row = F.struct(*[F.col(c) for c in quoted(df.columns, but)])
+    return df.select(row.alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(names: list[str], **new: Column) -> list[Column]:
+    """The columns of these names from ``row``, those given here instead of its own."""
+    return [new[c].alias(c) if c in new else F.col(f"row.{q}").alias(c) for c, q in zip(names, quoted(names))]
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a dear column behind a one-row generator, so that it is worked out once per row.
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veilwork.llm.common import cut, join_small, words
+from veilwork.llm.common import cut, join_small, packed, unpacked, words
 
 #: Documents of a leaf per piece of the seeded order; only the piece in which the
 #: budget ends is sorted.
@@ -166,19 +166,15 @@ def mix_to_weights(docs: DataFrame, levels: list[str], weights: Mapping[tuple, i
     """
     chosen, _ = choose(docs, levels, weights, budget, budget_share, max_epochs, seed, key, tokens)
     names = [c for c in docs.columns if c != "copies"]
-    side = chosen.select(
-        *[F.col(c).alias(f"_leaf_{i}") for i, c in enumerate(levels)],
-        F.col("epochs").alias("_epochs"), F.col("cut_u").alias("_cut_u"), F.col("cut_key").alias("_cut_key"),
-    )
-    out = docs
-    for i, c in enumerate(levels):
-        out = out.withColumn(f"_leaf_{i}", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
-    out = join_small(out, side, [f"_leaf_{i}" for i in range(len(levels))], "left")
-    own = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    u = order_number(seed, F.col("_epochs"), own)
-    taken = (u < F.col("_cut_u")) | ((u == F.col("_cut_u")) & (own <= F.col("_cut_key")))
-    copies = F.coalesce(F.col("_epochs"), F.lit(0)) + F.coalesce(taken, F.lit(False)).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in names], copies.alias("copies"))
+    at = [f"leaf_{i}" for i in range(len(levels))]
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    side = chosen.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(levels, at)], "epochs", "cut_u", "cut_key")
+    rows = packed(docs, own=name(key), **{x: name(c) for c, x in zip(levels, at)})
+    out = join_small(rows, side, at, "left")
+    u = order_number(seed, F.col("epochs"), F.col("own"))
+    taken = (u < F.col("cut_u")) | ((u == F.col("cut_u")) & (F.col("own") <= F.col("cut_key")))
+    copies = F.coalesce("epochs", F.lit(0)) + F.coalesce(taken, F.lit(False)).cast("long")
+    return out.select(*unpacked(names), copies.alias("copies"))
 
 
 def count_words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilwork.llm.common import cut, join_small
+from veilwork.llm.common import cut, join_small, packed, unpacked
 
 #: Stands between pieces while a text is taken apart; its own uses are escaped.
 MARK = "﷐"
@@ -213,10 +213,16 @@ def _parts(piece: Column) -> Column:
     )
 
 
+def _document(key: str, text: str) -> Column:
+    """What a row is joined by: its key, or the digest of its text where the key is null."""
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    return F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.concat(F.lit("t"), digest))
+
+
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, norm) of every mention."""
     found = docs.select(
-        F.col(f"`{key}`").cast("string").alias("k"),
+        _document(key, text).alias("k"),
         F.explode(F.array(pieces(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).alias("p"),
     ).where(F.size("p") > 1)
     rest = F.slice("p", F.lit(2), F.size("p") - 1)
@@ -310,34 +316,18 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
     """
     found = cut(entities(docs, key, text), "pii-mentions")
     again = settle(found, secret)
-    per_doc = (
-        join_small(found.where("k IS NOT NULL"), again, ["kind", "norm"], "inner")
+    side = cut(
+        join_small(found, again, ["kind", "norm"], "inner")
         .select("k", F.struct(F.concat("kind", "norm").alias("key"), "attempt").alias("e"))
-        .groupBy("k").agg(F.map_from_entries(F.collect_set("e")).alias("_again"))
-    )
-    # a null key has no document to join by: its rows share one map
-    null_part = (
-        join_small(found.where("k IS NULL"), again, ["kind", "norm"], "inner")
-        .select(F.struct(F.concat("kind", "norm").alias("key"), "attempt").alias("e"))
-        .agg(F.map_from_entries(F.collect_set("e")).alias("_again"))
-        .where(F.size("_again") > 0).select(F.lit(None).cast("string").alias("k"), "_again")
+        .groupBy("k").agg(F.map_from_entries(F.collect_set("e")).alias("again")),
+        "pii-documents",
     )
-    side = per_doc.unionByName(null_part).select(
-        F.coalesce(F.concat(F.lit("k"), "k"), F.lit("null")).alias("_k"), "_again"
-    )
-    side = cut(side, "pii-documents")
-    own = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("null"))
-    out = join_small(docs.withColumn("_k", own), side, ["_k"], "left")
-    body = F.explode(F.array(pieces(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
-    out = out.select("*", body.alias("_p"))
-    rest = F.slice("_p", F.lit(2), F.size("_p") - 1)
-    again_map = F.coalesce("_again", F.create_map().cast("map<string,int>"))
-    out = out.withColumn("_again", again_map)
-    new = F.concat(F.get("_p", F.lit(0)), F.array_join(F.transform(rest, lambda x: _replaced(x, F.col("_again"), secret)), ""))
+    out = join_small(packed(docs, but=(text,), k=_document(key, text), t=F.col(f"`{text}`")), side, ["k"], "left")
+    body = F.explode(F.array(pieces(F.coalesce(F.col("t"), F.lit("")))))
+    out = out.select("row", "t", F.coalesce("again", F.create_map().cast("map<string,int>")).alias("again"), body.alias("p"))
+    rest = F.slice("p", F.lit(2), F.size("p") - 1)
+    new = F.concat(F.get("p", F.lit(0)), F.array_join(F.transform(rest, lambda x: _replaced(x, F.col("again"), secret)), ""))
     hits = F.size(F.filter(rest, lambda x: (F.length(x) > 1) & ~F.substring(x, 1, 1).isin("y", "z")
                            & _is_card(F.substring(x, 1, 1), F.substring(x, F.lit(2), F.length(x)))))
-    columns = [
-        F.when(F.col(f"`{text}`").isNotNull(), new).alias(text) if c == text else F.col(f"`{c}`")
-        for c in docs.columns if c != count
-    ]
-    return out.select(*columns, hits.cast("long").alias(count))
+    names = [c for c in docs.columns if c != count]
+    return out.select(*unpacked(names, **{text: F.when(F.col("t").isNotNull(), new)}), hits.cast("long").alias(count))
