@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilwork.llm import bpe, minhash, mixing, surrogates, toxicity
-from veilwork.llm.common import cut, join_small, table
+from veilwork.llm.common import cut, join_small, packed, table, unpacked
 from veilwork.llm.queries import LEVELS, WEIGHTS, tokenizer, with_domain
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; rows are judged one by one."""
-    scored = toxicity.with_score(docs, table(spark, sf_dir, "labels"), out="_score")
-    return scored.where(F.col("_score") < 0.5).select(*docs.columns)
+    rows = packed(docs, but=("text",), doc_id=F.col("doc_id"), text=F.col("text"))
+    scored = toxicity.with_score(rows, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") < 0.5).select(*unpacked(docs.columns, text=F.col("text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,39 +31,42 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     that repeat id and text are copies too, and one of them stays.
     """
     # no field is null, and rows without an id come last
-    row = F.struct(
+    told = F.struct(
         F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"),
     )
-    known = docs.withColumn("_row", row)
-    judged = minhash.near_duplicates(known.select("_row", "text"), n=5, percent=80, key="_row")
+    known = packed(docs, told=told)
+    judged = minhash.near_duplicates(known.select("told", "row.text"), n=5, percent=80, key="told")
     judged = cut(judged, "pipeline-near")
-    gone = cut(judged.where(~F.col("kept")).select("_row").distinct(), "pipeline-gone")
-    kept = join_small(known, gone, ["_row"], "left_anti")
+    gone = cut(judged.where(~F.col("kept")).select("told").distinct(), "pipeline-gone")
+    kept = join_small(known, gone, ["told"], "left_anti")
     again = cut(
-        judged.where("kept AND n_shingles > 0").groupBy("_row").agg(F.count("*").alias("n"))
-        .where("n > 1").select("_row"),
+        judged.where("kept AND n_shingles > 0").groupBy("told").agg(F.count("*").alias("n"))
+        .where("n > 1").select("told"),
         "pipeline-again",
     )
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = join_small(kept, again, ["_row"], "left_anti")
-    repeated = join_small(kept, again, ["_row"], "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["_row"])).select(*docs.columns)
+        return kept.select(*unpacked(docs.columns))
+    once = join_small(kept, again, ["told"], "left_anti")
+    repeated = join_small(kept, again, ["told"], "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["told"])).select(*unpacked(docs.columns))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates; all rows stay."""
-    replaced = surrogates.replace_entities(docs, secret="veilwork-corpus-1", count="_entities")
-    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = packed(docs, but=("text",), doc_id=F.col("doc_id"), text=F.col("text"))
+    replaced = surrogates.replace_entities(rows, secret="veilwork-corpus-1")
+    size = F.length("text").cast("long")
+    return replaced.select(*unpacked(docs.columns, text=F.col("text"), n_chars=size))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its leaf's budget takes it."""
-    rows = with_domain(docs).withColumn("_words", mixing.count_words(F.col("text")))
-    mixed = mixing.mix_to_weights(rows, LEVELS, WEIGHTS, budget_share=0.9, seed=17, tokens="_words")
+    rows = packed(docs, doc_id=F.col("doc_id"), lang=F.col("lang"), source=F.col("source"),
+                  n_words=mixing.count_words(F.col("text")))
+    mixed = mixing.mix_to_weights(with_domain(rows), LEVELS, WEIGHTS, budget_share=0.9, seed=17, tokens="n_words")
     taken = mixed.where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*unpacked(docs.columns))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
