@@ -69,6 +69,32 @@ def test_both_ways_in_one_step(spark, texts, with_ids):
         assert rows[i]["decoded_sha256"] == hashlib.sha256(back).hexdigest()
 
 
+def test_side_by_side_as_one_by_one():
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b" aeinrst\xc3\xa9\xf0", k=rng.randint(0, 60))) for _ in range(4000)]
+    words += [b"a" * k for k in range(50)] + [b" the", b"the", b""]
+    for path in (BYTE, WORD):
+        merges = Merges(path)
+        one = [np.array(merges.encode(w), "<u4").tobytes() for w in words]
+        assert merges.encode_many(words) == one
+        assert merges.encode_many([]) == []
+
+
+def test_small_memo(monkeypatch):
+    library = Tokenizer.from_file(BYTE)
+    merges = Merges(BYTE)
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "GROUP", 50)
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "words")
+        with open(path, "wb") as file:
+            file.write(lexicon.compile_words({w: merges.encode(w) for w in (b" the", b"a", b" of")}))
+        encoder = bpe.Encoder(merges, lexicon.Lexicon(path))
+        texts = [" the cat of a cat " * (i % 4) + f"w{i % 7}" for i in range(60)]
+        got = [np.frombuffer(d, "<u4").tolist() for d in encoder.encode_many(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_decode_cut_and_unknown_ids(spark):
     library = Tokenizer.from_file(BYTE)
     ids = library.encode("日本 😀", add_special_tokens=False).ids

@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilwork.llm.lexicon import Lexicon, compile_words
 from veilwork.llm.merges import (
-    BYTE_PATTERN, LONG_TEXT, Memo, Merges, PreTokens, newer_letters, split_specials,
+    BYTE_PATTERN, LONG_TEXT, Merges, PreTokens, newer_letters, split_specials,
 )
 
 BUCKETS = 16
 #: Characters of the short texts that are taken together.
 GROUP = 1 << 18
+#: Words whose ids a worker keeps, in each of two halves: speed only.
+MEMO = 150_000
 _shipped: dict[tuple[str, str], str] = {}
 
 
@@ -64,17 +66,19 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon, newer: str | None = None):
         self.merges, self.lexicon = merges, lexicon
         self.pre = PreTokens(BYTE_PATTERN, newer)
-        self.memo = Memo()
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8") for w in words]
-        flat: list[int] = []
-        ends = [0]
-        for data, number in zip(raw, self.lexicon.find(raw).tolist()):
-            flat += self.lexicon.output(number) if number >= 0 else self.merges.encode(data)
-            ends.append(4 * len(flat))
-        packed = np.array(flat, "<u4").tobytes()
-        self.memo.update((w, packed[a:b]) for w, a, b in zip(words, ends, ends[1:]))
+        unseen = []
+        for i, number in enumerate(self.lexicon.find(raw).tolist()):
+            if number >= 0:
+                self.memo[words[i]] = np.array(self.lexicon.output(number), "<u4").tobytes()
+            else:
+                unseen.append(i)
+        merged = self.merges.encode_many([raw[i] for i in unseen])
+        self.memo.update((words[i], data) for i, data in zip(unseen, merged))
 
     def _parts(self, text: str):
         """Lists of pre-tokens, and special ids as bytes."""
@@ -85,13 +89,14 @@ class Encoder:
                 yield from self.pre.pieces(part)
 
     def _known(self, parts: list) -> None:
-        words = {t for p in parts if not isinstance(p, bytes) for t in p}
-        new = [t for t in words if t not in self.memo]
-        if self.memo.full(len(new)):
-            self.memo.clear()
-            new = list(words)
-        if new:
-            self.learn(new)
+        """Answers for all words of the parts; what was asked for long ago is forgotten."""
+        words = set().union(*(p for p in parts if not isinstance(p, bytes)))
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        new = words.difference(self.memo)
+        self.memo.update((t, self.older[t]) for t in new if t in self.older)
+        if unknown := [t for t in new if t not in self.memo]:
+            self.learn(unknown)
 
     def _joined(self, parts: list) -> bytes:
         find = self.memo.__getitem__

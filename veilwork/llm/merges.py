@@ -8,6 +8,7 @@ import unicodedata
 from functools import cache
 from itertools import islice
 
+import numpy as np
 import regex
 
 NONE = 1 << 62
@@ -19,6 +20,10 @@ PIECE = 1 << 16
 #: Symbols from which merges go through a heap.
 LONG_WORD = 96
 
+#: Words of like size are merged side by side up to the last of these sizes.
+_WIDTHS = (0, 6, 9, 13, 20, 40)
+_FILL = _MASK
+
 #: Fixed patterns of the two tokenizer files.
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -95,6 +100,74 @@ class Merges:
                 ranks[i] = find(new << _BITS | ids[i + 1], NONE)
         return ids
 
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers: many words are merged side by side.
+
+        Words of like size lie in the rows of one table, filled up with a symbol
+        that merges with nothing.  In each step every row merges its best pair
+        and so loses one symbol; rows without a pair are done.
+        """
+        out = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in zip(_WIDTHS, _WIDTHS[1:]):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(rows):
+                for i, data in self._side_by_side(rows, [words[i] for i in rows.tolist()], sizes[rows]):
+                    out[i] = data
+        for i in np.flatnonzero(sizes > _WIDTHS[-1]).tolist():
+            out[i] = np.array(self.encode(words[i]), "<u4").tobytes()
+        return out
+
+    def _tables(self) -> tuple:
+        """Sorted pairs with their ranks and results, and the symbols of bytes, as arrays."""
+        if not hasattr(self, "tables"):
+            keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+            values = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+            order = np.argsort(keys)
+            self.tables = keys[order], values[order], np.array(self.first, np.int64), np.array(self.last, np.int64)
+        return self.tables
+
+    def _side_by_side(self, rows: np.ndarray, words: list[bytes], sizes: np.ndarray):
+        keys, values, first, last = self._tables()
+
+        def ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            wanted = left << _BITS | right
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, values[at], NONE)
+
+        width = int(sizes.max())
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < sizes[:, None], first[letters], _FILL)
+        end = np.arange(len(words)), sizes - 1
+        ids[end] = last[letters[end]]
+        ranks = ranked(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            best = ranks.min(axis=1) if ranks.shape[1] else np.full(len(rows), NONE)
+            done = best == NONE
+            if done.any():
+                packed = ids[done].astype("<u4")
+                for i, row, n in zip(rows[done].tolist(), packed, sizes[done].tolist()):
+                    yield i, row[:n].tobytes()
+                live = ~done
+                rows, ids, ranks, sizes, best = rows[live], ids[live], ranks[live], sizes[live], best[live]
+                if not len(rows):
+                    return
+            at = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            ids[each, at] = best & _MASK
+            keep = np.ones(ids.shape, bool)
+            keep[each, at + 1] = False
+            ids = ids[keep].reshape(len(rows), -1)
+            keep = np.ones(ranks.shape, bool)
+            keep[each, at] = False
+            ranks = ranks[keep].reshape(len(rows), -1)
+            sizes = sizes - 1
+            for shift in (-1, 0):
+                place = at + shift
+                ok = (place >= 0) & (place < ranks.shape[1])
+                r, c = each[ok], place[ok]
+                ranks[r, c] = ranked(ids[r, c], ids[r, c + 1])
+
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: n log n steps."""
         n = len(ids)
