@@ -304,6 +304,18 @@ SELECT conv_id, turn, classification, round(confidence, 6) AS confidence, 'ok' A
     out["assign_variant"] = f"""SELECT doc_id,
     CASE WHEN {bucket('doc_id', 'variant')} < 5000 THEN 'PIIMasking' ELSE 'PromptInjection' END AS variant,
     CASE WHEN {bucket('doc_id', 'variant')} < 9000 THEN 'stable' ELSE 'canary' END AS rollout FROM documents"""
+    out["assign_rollout"] = """WITH weights(since, until, variant, weight) AS (VALUES
+    (TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-08 12:00:00', 'stable', 95.0::DOUBLE),
+    (TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-08 12:00:00', 'canary', 5.0::DOUBLE),
+    (TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-15 06:30:00', 'stable', 50.0::DOUBLE),
+    (TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-15 06:30:00', 'canary', 30.0::DOUBLE),
+    (TIMESTAMP '2024-01-08 12:00:00', TIMESTAMP '2024-01-15 06:30:00', 'new', 20.0::DOUBLE),
+    (TIMESTAMP '2024-01-15 06:30:00', TIMESTAMP '9999-01-01 00:00:00', 'canary', 1.0::DOUBLE),
+    (TIMESTAMP '2024-01-15 06:30:00', TIMESTAMP '9999-01-01 00:00:00', 'new', 1.0::DOUBLE)),
+drawn AS (SELECT event_id, variant,
+    -ln((('0x' || substr(md5('rollout' || variant || event_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE) / weight AS d
+    FROM events JOIN weights ON ts >= since AND ts < until)
+SELECT event_id, arg_min(drawn.variant, d) AS variant FROM events LEFT JOIN drawn USING (event_id) GROUP BY event_id"""
     out["score_by_variant"] = f"""WITH split AS (SELECT *, {bucket('conv_id', 'variant')} AS b, {score()} AS sc
     FROM ({PROBED_CHATS})),
 named AS (SELECT *, CASE WHEN b < 4000 THEN 'a' WHEN b < 8000 THEN 'b' ELSE 'c' END AS variant FROM split)
@@ -408,6 +420,12 @@ SELECT round(u / (p * n), 9) AS auc, (SELECT round(sum(pos / p * precision), 9)
     round(coalesce(stddev_samp(latency), 0), 6) AS std_latency FROM ({LOG}) GROUP BY variant"""
     out["latency_percentiles"] = f"""SELECT variant, count(latency) AS n_samples, true AS p50_fits,
     true AS p90_fits, true AS p99_fits FROM ({LOG}) GROUP BY variant"""
+    out["latency_sketches"] = f"""WITH log AS ({LOG}),
+spans AS (SELECT *, strftime(ts, '%Y-%m-%d') AS span FROM log UNION ALL SELECT *, 'all' FROM log)
+SELECT span, variant, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors, count(latency) AS n_samples,
+    round(avg(is_error::INT), 6) AS error_rate, round(avg(latency), 6) AS mean_latency,
+    quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.9) AS p90, quantile_disc(latency, 0.99) AS p99,
+    0::DOUBLE AS rank_error FROM spans GROUP BY span, variant"""
     out["error_rate"] = f"""SELECT variant, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors,
     round(avg(is_error::INT), 6) AS error_rate,
     count(*) FILTER (is_error AND event_id % 3 = 0) AS n_throttled,
@@ -447,6 +465,8 @@ decided AS (SELECT masked.*, src.conv_id, src.turn, {score('masked.text')} > 0.5
 SELECT conv_id, turn, CASE WHEN bad THEN 'blocked' WHEN masked_text <> text THEN 'masked' ELSE 'clean' END AS decision,
     CASE WHEN NOT bad THEN masked_text END AS masked_text, CASE WHEN bad THEN text END AS blocked_text,
     CASE WHEN NOT bad THEN types END AS types FROM decided"""
+    out["stream_tables"] = f"""WITH routed AS ({out['stream_filter']})
+SELECT conv_id, turn, decision, masked_text, blocked_text FROM routed"""
     out["stream_moderate"] = f"""WITH {judged(PROBED_CHATS)}
 SELECT conv_id, turn, classification, CASE WHEN is_injection THEN 'blocked and logged' ELSE 'delivered' END AS action
 FROM judged"""
@@ -457,4 +477,13 @@ SELECT w AS window_start, variant, count(*) AS n_calls, count(*) FILTER (is_erro
     quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.9) AS p90, quantile_disc(latency, 0.99) AS p99
 FROM windowed GROUP BY w, variant
 HAVING w + 21600 <= (SELECT epoch(max(ts)) - 3600 FROM events)"""
+    out["stream_accounts"] = f"""WITH log AS ({LOG}),
+windowed AS (SELECT *, floor(epoch(ts) / 21600)::BIGINT * 21600 AS w FROM log),
+marks AS (SELECT epoch(max(ts)) - 3600 AS second, max(epoch(ts)) FILTER (event_id % 10 > 0) - 3600 AS first FROM log),
+told AS (SELECT windowed.*, CASE WHEN event_id % 10 = 0 AND w + 21600 <= first THEN 'late'
+    WHEN w + 21600 <= second THEN 'closed' ELSE 'open' END AS state FROM windowed, marks)
+SELECT w AS window_start, variant, state, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors,
+    round(avg(latency), 6) AS mean_latency, CASE WHEN state <> 'late' THEN quantile_disc(latency, 0.5) END AS p50,
+    CASE WHEN state <> 'late' THEN quantile_disc(latency, 0.99) END AS p99
+FROM told GROUP BY w, variant, state"""
     return out

@@ -20,13 +20,13 @@ from veilwork.functions import injection as inj, rules, spans
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.sqltext import any_of, lit
 from veilwork.operators import (
-    answers, batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rows, span_eval,
-    thresholds, tokens, variants,
+    answers, batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rollout, rows, sketches,
+    span_eval, thresholds, tokens, variants,
 )
 from veilwork.plans import compliance
 from veilwork.session import run_dir
 from veilwork.sources import responses, sinks, texts
-from veilwork.streaming import filters as stream_filters, metrics as live_metrics
+from veilwork.streaming import accounts, filters as stream_filters, metrics as live_metrics, sinks as stream_sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -450,6 +450,24 @@ def assign_variant(spark, sf_dir):
     return out.select("doc_id", "variant", "rollout")
 
 
+#: Two variants at first, a third from the second week on; the weights of a day hold until the next one named.
+ROLLOUT = [
+    ("2024-01-03 00:00:00", "stable", 95.0), ("2024-01-03 00:00:00", "canary", 5.0),
+    ("2024-01-08 12:00:00", "stable", 50.0), ("2024-01-08 12:00:00", "canary", 30.0), ("2024-01-08 12:00:00", "new", 20.0),
+    ("2024-01-15 06:30:00", "stable", 0.0), ("2024-01-15 06:30:00", "canary", 1.0), ("2024-01-15 06:30:00", "new", 1.0),
+]
+
+
+@query
+def assign_rollout(spark, sf_dir):
+    weights = spark.createDataFrame(ROLLOUT, "valid_from string, variant string, weight double")
+    calls = call_log(spark, sf_dir).withColumn(
+        "ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))")
+    )
+    out = rollout.assign_rollout(calls, weights.withColumn("valid_from", F.to_timestamp("valid_from")), "event_id")
+    return out.select("event_id", "variant")
+
+
 @query
 def score_by_variant(spark, sf_dir):
     """Two variants with rules of their own threshold, and an unknown one."""
@@ -658,6 +676,18 @@ def latency_percentiles(spark, sf_dir):
     return ranks.select("variant", "n_samples", "p50_fits", "p90_fits", "p99_fits")
 
 
+@query
+def latency_sketches(spark, sf_dir):
+    """Hours are sketched and stored, then merged to days and to the whole."""
+    path = run_dir(spark, "sketches")
+    sketches.latency_sketches(call_log(spark, sf_dir)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    day = sketches.merge_sketches(stored, [F.to_date("span_start").cast("string").alias("span"), "variant"])
+    whole = sketches.merge_sketches(stored, [F.lit("all").alias("span"), "variant"])
+    out = day.unionByName(whole)
+    return out.withColumns({c: _r(c) for c in ("error_rate", "mean_latency")})
+
+
 @query
 def error_rate(spark, sf_dir):
     """One error in three stands for a throttled call."""
@@ -778,3 +808,48 @@ def stream_metrics(spark, sf_dir):
         F.unix_seconds("window_start").alias("window_start"), "variant", "n_calls", "n_errors",
         _r("error_rate").alias("error_rate"), _r("mean_latency").alias("mean_latency"), "p50", "p90", "p99",
     )
+
+
+@query
+def stream_accounts(spark, sf_dir):
+    """Two runs: a tenth of the events comes with the second, and part of it too late."""
+    base = run_dir(spark, "stream-accounts")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)) AS ts",
+        "concat('v', user_id % 2) AS variant", "value AS latency", "event_type = 'error' AS is_error", "event_id",
+    )
+    for part in ("event_id % 10 > 0", "event_id % 10 = 0"):
+        events.where(part).drop("event_id").write.mode("append").parquet(f"{base}/in")
+        calls = spark.readStream.schema(events.drop("event_id").schema).parquet(f"{base}/in")
+        accounts.write_accounts(
+            calls, f"{base}/out", f"{base}/state", "6 hours", "1 hour", by=("variant",), available_now=True
+        ).awaitTermination()
+    kept = accounts.read_accounts(spark, f"{base}/out").select(
+        F.unix_seconds("window_start").alias("window_start"), "variant",
+        F.expr("IF(provisional, 'open', 'closed')").alias("state"), "n_calls", "n_errors",
+        _r("mean_latency").alias("mean_latency"), "p50", "p99",
+    )
+    late = accounts.read_late(spark, f"{base}/out").groupBy(
+        F.unix_seconds(F.window("ts", "6 hours")["start"]).alias("window_start"), "variant", F.lit("late").alias("state")
+    ).agg(
+        F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), _r(F.avg("latency")).alias("mean_latency"),
+        F.lit(None).cast("double").alias("p50"), F.lit(None).cast("double").alias("p99"),
+    )
+    return kept.unionByName(late)
+
+
+@query
+def stream_tables(spark, sf_dir):
+    """Each message is in one table, whose rows say which."""
+    base = run_dir(spark, "stream-tables")
+    stream_sinks.route_tables(
+        _probed_stream(spark, sf_dir), f"{base}/out", f"{base}/state", available_now=True
+    ).awaitTermination()
+    table = lambda name: stream_sinks.read_table(spark, f"{base}/out", name)
+    shown = {"blocked": ("NULL", "text"), "masked": ("masked_text", "NULL"), "clean": ("text", "NULL")}
+    parts = [
+        table(name).selectExpr("conv_id", "turn", f"'{name}' AS decision", f"CAST({masked} AS string) AS masked_text",
+                               f"CAST({blocked} AS string) AS blocked_text")
+        for name, (masked, blocked) in shown.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
