@@ -292,6 +292,8 @@ FROM numbered GROUP BY p // 10"""
     out["assign_batches"] = """WITH numbered AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS position,
     count(*) OVER () AS n FROM events)
 SELECT event_id, position, position // 7 + 1 AS batch_no, (n - 1) // 7 + 1 AS n_batches FROM numbered"""
+    out["number_rows"] = """SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS position,
+    (row_number() OVER (ORDER BY user_id, event_id) - 1) // 16 + 1 AS batch_no FROM events"""
     out["adaptive_batch"] = """WITH every AS (SELECT role AS part, text FROM conversations
     UNION ALL SELECT lang AS part, text FROM documents)
 SELECT part, count(*) AS n_texts, round(avg(length(text)), 6) AS mean_chars,

@@ -420,6 +420,12 @@ def assign_batches(spark, sf_dir):
     return out.select("event_id", "position", "batch_no", "n_batches")
 
 
+@query
+def number_rows(spark, sf_dir):
+    """Rows in the order of their users, of which some have many."""
+    return batch.number_rows(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_id", size=16)
+
+
 @query
 def adaptive_batch(spark, sf_dir):
     by_role = batch.adaptive_batch_size(

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from veilwork import functions as vf
 from veilwork.functions import rules
-from veilwork.operators.injection import detect_prompt_injection
+from veilwork.operators.injection import DECISION_FIELDS, detect_prompt_injection
 from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.pii import mask_pii
-from veilwork.operators.rows import quoted
+from veilwork.operators.ranges import dealt_by_range, with_totals_before
+from veilwork.operators.rows import fresh, quoted
 from veilwork.operators.skew import PEEK_ROWS, peek
 from veilwork.sources import responses
 
 MAX_SLOTS = 20_000
+#: What the batch job adds; columns of these names give way.
+STATE_FIELDS = ("latency_seconds", "error", "status")
+RESULT_FIELDS = {"mask_pii": ("masked_text", "entities"), "detect_injection": DECISION_FIELDS}
+NUMBERS = ("position", "batch_no", "n_batches")
 
 
 def assign_batches(
@@ -30,7 +35,7 @@ def assign_batches(
 
     Adds ``position`` (from 0), ``batch_no`` (from 1) and ``n_batches``.  The
     key is numeric, a date or a timestamp; key and ``tie`` together identify a
-    row.  There is no global sort: quantiles of the key cut the table into
+    row; columns of the names added give way.  There is no global sort: quantiles of the key cut the table into
     slots, rows are numbered inside their slot, and the row counts of the
     slots before it are added.  A key value so frequent that it fills several
     slots is spread over that many by the hash of ``tie``, or of the whole row
@@ -59,35 +64,37 @@ def assign_batches(
     null_parts = max(1, n_null * n_slots // max(n, 1))
 
     # rows of one content may stand for each other, so the hash of the row will do as a tie
-    told_by = [tie] if tie else [
-        f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+    told_by = quoted([tie]) if tie else [
+        q for f, q in zip(df.schema.fields, quoted(df.columns)) if "map<" not in f.dataType.simpleString()
     ]
-    spread = F.shiftrightunsigned(F.xxhash64(*told_by), 33)
-    slotted = df.withColumn("_k", order).withColumn("_spread", spread.cast("bigint"))
-    slotted = slotted.withColumn("_at", F.expr(_slot("_k", bounds, null_parts, key_type)))
-    slotted = slotted.withColumn("_slot", F.col("_at.slot")).withColumn(
-        "_part", F.expr("CAST(_spread * _at.parts DIV 2147483648 AS int)")
+    # the row travels as one struct, so that no column of it meets one of these
+    slotted = df.select(
+        F.struct(*quoted(df.columns, but=NUMBERS)).alias("row"), order.alias("k"),
+        F.shiftrightunsigned(F.xxhash64(*told_by), 33).cast("bigint").alias("spread"),
+        *([F.col(quoted([tie])[0]).alias("tie")] if tie else []),
     )
-
-    here = Window.partitionBy("_slot", "_part").orderBy(
-        "_k", "_spread", *([tie] if tie else [])
+    slotted = slotted.withColumn("at", F.expr(_slot("k", bounds, null_parts, key_type)))
+    slotted = slotted.withColumn("slot", F.col("at.slot")).withColumn(
+        "part", F.expr("CAST(spread * at.parts DIV 2147483648 AS int)")
     )
+
+    here = Window.partitionBy("slot", "part").orderBy("k", "spread", *(["tie"] if tie else []))
     # at most three rows per slot
-    before = Window.orderBy("_slot", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        slotted.groupBy("_slot", "_part")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        slotted.groupBy("slot", "part")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .drop("n")
     )
     # a left join: for an inner one Spark puts a null test of the slot in front,
     # which would work it out twice
     return (
-        slotted.withColumn("_row", F.row_number().over(here))
-        .join(F.broadcast(counts), ["_slot", "_part"], "left")
-        .withColumn("position", F.col("_before") + F.col("_row") - 1)
+        slotted.withColumn("no", F.row_number().over(here))
+        .join(F.broadcast(counts), ["slot", "part"], "left")
+        .withColumn("position", F.col("before") + F.col("no") - 1)
         .select(
-            *quoted(df.columns),
+            *[f"row.{c}" for c in quoted(df.columns, but=NUMBERS)],
             "position",
             F.expr(f"position DIV {size} + 1").alias("batch_no"),
             F.lit(-(-n // size)).cast("bigint").alias("n_batches"),
@@ -95,6 +102,24 @@ def assign_batches(
     )
 
 
+def number_rows(df: DataFrame, key: str, tie: str, size: int = rules.DEFAULT_BATCH_SIZE) -> DataFrame:
+    """(key, tie, position, batch_no) of every row: the numbers of ``assign_batches`` without the rows.
+
+    Only the two columns are shuffled, into ranges that Spark draws: as many as
+    the session has partitions, with nothing of them in the plan.  The key may be
+    of any type that sorts; NULL comes first.  Join the numbers to the texts, by
+    key and tie, where texts are needed.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    narrow = df.select(F.col(quoted([key])[0]).alias("k"), F.col(quoted([tie])[0]).alias("t"))
+    order = [F.asc_nulls_first("k"), F.asc_nulls_first("t")]
+    numbered = with_totals_before(dealt_by_range(narrow, order, "numbers"), order, {"position": F.lit(1)})
+    return numbered.select(
+        F.col("k").alias(key), F.col("t").alias(tie), "position", F.expr(f"position DIV {size} + 1").alias("batch_no")
+    )
+
+
 def _number(value) -> str:
     """A number as SQL; NaN and infinity have no literals."""
     return f"double('{value}')" if isinstance(value, float) and not math.isfinite(value) else str(value)
@@ -165,7 +190,7 @@ def batch_process(
     operation = {"detect_prompt_injection": "detect_injection"}.get(operation, operation)
     if operation not in rules.OPERATIONS:
         raise ValueError(f"operation must be one of {', '.join(rules.OPERATIONS)}")
-    keep = quoted(df.columns)
+    keep = quoted(df.columns, but=RESULT_FIELDS[operation] + STATE_FIELDS)
     if make_model is None:
         if operation == "mask_pii":
             out = mask_pii(df, text_col, return_entities)
@@ -180,21 +205,22 @@ def batch_process(
         )
 
     scored = score_with_model(df, text_col, make_model, batch_size, retry or RetryPolicy(), token_budget)
-    state = ["latency_seconds", "error", "status"]
+    state = list(STATE_FIELDS)
     if operation == "mask_pii":
-        parsed = _checked(responses.parse_entities(scored, "response", "_found"), text_col, "_found")
+        at = fresh("_found", scored)
+        parsed = _checked(responses.parse_entities(scored, "response", at), text_col, at)
         if merge_tags:
-            parsed = parsed.withColumn("_found", vf.merge_bio(text_col, "_found"))
+            parsed = parsed.withColumn(at, vf.merge_bio(text_col, at))
         done = F.col("status") == rules.STATUS_OK
-        result = [F.when(done, vf.apply_mask(text_col, "_found")).alias("masked_text")]
+        result = [F.when(done, vf.apply_mask(text_col, at)).alias("masked_text")]
         if return_entities:
-            result.append(F.when(done, vf.extract_entities("_found")).alias("entities"))
+            result.append(F.when(done, vf.extract_entities(at)).alias("entities"))
         return parsed.select(*keep, *result, *state)
-    parsed = _checked(responses.parse_labels(scored, "response", "_labels"), text_col, "_labels")
-    judged = detect_prompt_injection(parsed, text_col, threshold, labels_col="_labels")
+    at = fresh("_labels", scored)
+    parsed = _checked(responses.parse_labels(scored, "response", at), text_col, at)
+    judged = detect_prompt_injection(parsed, text_col, threshold, labels_col=at)
     done = F.col("status") == rules.STATUS_OK
-    added = [c for c in judged.columns if c not in parsed.columns]
-    return judged.select(*keep, *[F.when(done, F.col(c)).alias(c) for c in added], *state)
+    return judged.select(*keep, *[F.when(done, F.col(c)).alias(c) for c in DECISION_FIELDS], *state)
 
 
 def _checked(parsed: DataFrame, text_col: str, col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from veilwork import schemas
 from veilwork.functions import spans
 from veilwork.functions.sqltext import blocks, cut_out, let
 from veilwork.operators.pii import mask_pii
-from veilwork.operators.rows import quoted, unroll
+from veilwork.operators.rows import fresh, quoted, unroll
 
 
 def chunk_text(
@@ -66,9 +66,10 @@ def mask_in_chunks(
         f"filter(entities, e -> (e.start > 0 OR chunk_start = 0 OR e.end >= {overlap}) AND "
         f"(e.end < length(chunk) OR chunk_start + length(chunk) >= _length OR e.start <= {max_chars - overlap}))"
     )
-    found = finder(pieces).select(key, "chunk_start", inside.alias("_found"))
-    lifted = lift_spans(found, key, "_found", priority)
-    return mask_pii(df.join(lifted, key, "left"), text_col, entities_col="_found").drop("_found")
+    at = fresh("_found", df)
+    found = finder(pieces).select(key, "chunk_start", inside.alias(at))
+    lifted = lift_spans(found, key, at, priority)
+    return mask_pii(df.join(lifted, key, "left"), text_col, entities_col=at).drop(at)
 
 
 def lift_spans(

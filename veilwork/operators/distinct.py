@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from veilwork.operators.rows import fresh, quoted
 from veilwork.operators.skew import salted_join
 
 
@@ -23,7 +24,11 @@ def score_distinct(
     shuffle, and the answers come back to the rows by the digest, those of a
     text with many copies spread over parts of about ``rows_per_part`` rows.
     """
-    told = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
-    one = told.where(F.col(text_col).isNotNull()).groupBy("_digest").agg(F.first(text_col).alias(text_col))
-    answers = scorer(one.select(text_col)).withColumn("_digest", F.sha2(F.col(text_col), 256)).drop(text_col)
-    return salted_join(told, answers, "_digest", spread_by=key, rows_per_part=rows_per_part).drop("_digest")
+    digest = fresh("_digest", df)
+    told = df.withColumn(digest, F.sha2(F.col(text_col), 256))
+    one = told.where(F.col(text_col).isNotNull()).groupBy(digest).agg(F.first(text_col).alias(text_col))
+    scored = scorer(one.select(text_col))
+    answers = scored.withColumn(digest, F.sha2(F.col(text_col), 256)).drop(text_col)
+    # columns that the scorer adds take the place of the table's
+    told = told.select(*quoted(told.columns, but=set(scored.columns) - {text_col}))
+    return salted_join(told, answers, digest, spread_by=key, rows_per_part=rows_per_part).drop(digest)

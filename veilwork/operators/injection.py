@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import functions as vf
 from veilwork.functions import injection as inj, rules, spans
-from veilwork.operators.rows import add_once, quoted
+from veilwork.operators.rows import add_once, fresh, quoted
 
 DECISION_FIELDS = ("is_injection", "injection_score", "safe_score", "confidence", "classification")
 
@@ -29,9 +29,10 @@ def detect_prompt_injection(
         judged = inj.judge_text(text_col, threshold, top_k, mitigation)
     else:
         judged = inj.decide(inj.fold_label_scores(labels_col), threshold)
-    return add_once(df, "_judged", judged).select(
+    at = fresh("_judged", df)
+    return add_once(df, at, judged).select(
         *quoted(df.columns, but=DECISION_FIELDS),
-        *[F.col(f"_judged.{f}").alias(f) for f in DECISION_FIELDS],
+        *[F.col(f"{at}.{f}").alias(f) for f in DECISION_FIELDS],
     )
 
 
@@ -72,14 +73,15 @@ def dual_filter(
     """
     judged = detect_prompt_injection(df, text_col, threshold)
     found = f"IF(is_injection, NULL, {spans.detect_entities(text_col, pii_rules)})"
-    searched = add_once(judged, "_found", found)
+    at = fresh("_found", judged)
+    searched = add_once(judged, at, found)
     masked = searched.withColumn(
-        "masked_text", F.when(~F.col("is_injection"), vf.apply_mask(text_col, "_found"))
+        "masked_text", F.when(~F.col("is_injection"), vf.apply_mask(text_col, at))
     )
     return masked.select(
         *quoted(judged.columns, but=["masked_text", "entities", "decision"]),
         "masked_text",
-        F.when(~F.col("is_injection"), vf.extract_entities("_found")).alias("entities"),
+        F.when(~F.col("is_injection"), vf.extract_entities(at)).alias("entities"),
         F.when(F.col("is_injection"), "blocked")
         .when(F.col("masked_text") != F.col(text_col), "masked")
         .otherwise("clean")

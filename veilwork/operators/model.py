@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilwork import schemas
 from veilwork.functions import rules
+from veilwork.operators.rows import quoted
 
 # What runs in the workers travels with the job: they need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,9 +93,11 @@ def score_with_model(
     back in the order of the rows.
 
     All columns of ``df`` make the trip to Python and back: select before.
+    Columns of the names added give way.
     """
     policy = retry or RetryPolicy()
     added = T.StructType.fromDDL(schemas.MODEL_FIELDS)
+    df = df.select(*quoted(df.columns, but=added.names))
     out_schema = T.StructType([*df.schema.fields, *added.fields])
     ok, failed = rules.STATUS_OK, rules.STATUS_FAILED
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import functions as vf
 from veilwork.functions import rules, spans
-from veilwork.operators.rows import add_once, quoted, unroll
+from veilwork.operators.rows import add_once, fresh, quoted, unroll
 
 
 def add_entities(
@@ -34,7 +34,7 @@ def mask_pii(
     added = ["masked_text", "entities"] if return_entities else ["masked_text"]
     keep = quoted(df.columns, but=added)
     if entities_col is None:
-        entities_col = "_found"
+        entities_col = fresh("_found", df)
         df = add_entities(df, text_col, entities_col, pii_rules)
     columns = {
         "masked_text": vf.apply_mask(text_col, entities_col),

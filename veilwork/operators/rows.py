@@ -20,6 +20,14 @@ def quoted(names: Iterable[str], but: Iterable[str] = ()) -> list[str]:
     return ["`" + n.replace("`", "``") + "`" for n in names if n not in left_out]
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A name like this one that no column of the tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_once(df: DataFrame, out: str, sql: str) -> DataFrame:
     """Add a column whose dear expression is worked out once per row."""
     return df.selectExpr(*quoted(df.columns, but=[out]), f"explode(array({sql})) AS {out}")

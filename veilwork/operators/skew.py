@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veilwork.operators.rows import fresh
+
 BROADCAST_BYTES = 32 << 20
 PEEK_ROWS = 2_000_000
 
@@ -44,13 +46,14 @@ def salted_join(
     The salt hangs on row content alone, so a task that is run again puts
     every row where it was before.
     """
-    hot = F.broadcast(hot_keys(left, F.xxhash64(key), rows_per_part).withColumnRenamed("h", "_h"))
-    parts = F.coalesce("parts", F.lit(1))
-    marked = lambda df: df.withColumn("_h", F.xxhash64(key)).join(hot, "_h", "left")
+    h, n, at = (fresh(name, left, right) for name in ("_h", "_parts", "_salt"))
+    hot = F.broadcast(hot_keys(left, F.xxhash64(key), rows_per_part).toDF(h, n))
+    parts = F.coalesce(n, F.lit(1))
+    marked = lambda df: df.withColumn(h, F.xxhash64(key)).join(hot, h, "left")
     salt = F.pmod(F.xxhash64(spread_by, F.lit(7)), parts).cast("int")
-    salted = marked(left).withColumn("_salt", salt).drop("_h", "parts")
-    repeated = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_h", "parts")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    salted = marked(left).withColumn(at, salt).drop(h, n)
+    repeated = marked(right).withColumn(at, F.explode(F.sequence(F.lit(0), parts - 1))).drop(h, n)
+    return salted.join(repeated, [key, at], how).drop(at)
 
 
 def lookup_join(

@@ -18,6 +18,9 @@ _WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space behind it, and with that at the beginning of the text.
 _PIECE = r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
+#: What ``token_batches`` adds; columns of these names give way.
+BATCH_FIELDS = ("n_tokens", "batch_id", "batch_rows", "batch_longest", "batch_cost")
+
 
 def count_words(text_col: str = "text") -> Column:
     """Words of a text; 0 for NULL."""
@@ -64,7 +67,7 @@ def token_batches(
         F.count("*").over(batch).alias("batch_rows"), F.max("n").over(batch).alias("batch_longest"),
     )
     return packed.select(
-        "row.*", "n_tokens", "batch_id", "batch_rows", "batch_longest",
+        *[f"row.{c}" for c in quoted(df.columns, but=BATCH_FIELDS)], *BATCH_FIELDS[:-1],
         (F.col("batch_rows") * F.col("batch_longest")).alias("batch_cost"),
     )
 
