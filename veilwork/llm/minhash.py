@@ -44,7 +44,7 @@ SKETCH = 48
 FEW = 32
 #: Pivots of a list that one of them has not joined, and how often others are tried.
 PIVOTS = 8
-TURNS = 3
+TURNS = 1
 #: Sketch values in a row that classes of warm content are listed under, from this many shingles on.
 RUN = 3
 SMALL = 24
@@ -187,11 +187,12 @@ class _Search:
         return F.array_distinct(F.concat(large, small))
 
     def pivoted(self, entries: DataFrame, pivots: int, turn: int) -> DataFrame:
-        """(a, b): each class of a list beside the list's pivots of other roots.
+        """(a, b): each class outside a list's top root beside the list's pivots of other roots.
 
         Pivots stand for the ``pivots`` roots that most classes of the list have.
         They come as one array for each list, so a list entry is one row, and a
-        class that meets a pivot in many lists takes it once.
+        class that meets a pivot in many lists takes it once.  A class of the top
+        root need not look for the others: they look for it.
         """
         stands = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "root")).alias("p")
         first = entries.groupBy("g", "root").agg(F.count("*").alias("k"), stands)
@@ -200,7 +201,7 @@ class _Search:
         arrays = first.groupBy("g").agg(F.collect_list(F.struct("p.c", "p.n", "p.root")).alias("ps"))
         fits = lambda p: (p["root"] != F.col("root")) & (
             100 * F.least("n", p["n"]) >= self.percent * F.greatest("n", p["n"]))
-        met = entries.join(arrays, "g").select("c", F.filter("ps", fits)["c"].alias("ps"))
+        met = entries.where("root != top").join(arrays, "g").select("c", F.filter("ps", fits)["c"].alias("ps"))
         met = met.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
         return met.select(F.col("c").alias("c1"), F.explode("ps").alias("c2")).select(*_ordered())
 
