@@ -469,6 +469,10 @@ SELECT conv_id, turn, CASE WHEN bad THEN 'blocked' WHEN masked_text <> text THEN
     CASE WHEN NOT bad THEN types END AS types FROM decided"""
     out["stream_tables"] = f"""WITH routed AS ({out['stream_filter']})
 SELECT conv_id, turn, decision, masked_text, blocked_text FROM routed"""
+    out["stream_retry"] = """SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN 3 ELSE 1 END AS tries,
+    CASE WHEN length(text) % 5 > 1 THEN 'ok' ELSE 'failed' END AS status,
+    CASE length(text) % 5 WHEN 0 THEN 'busy' WHEN 1 THEN 'refused' END AS error,
+    CASE WHEN length(text) % 5 > 1 THEN length(text)::INT END AS answer FROM conversations"""
     out["stream_moderate"] = f"""WITH {judged(PROBED_CHATS)}
 SELECT conv_id, turn, classification, CASE WHEN is_injection THEN 'blocked and logged' ELSE 'delivered' END AS action
 FROM judged"""

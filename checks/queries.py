@@ -26,7 +26,9 @@ from veilwork.operators import (
 from veilwork.plans import compliance
 from veilwork.session import run_dir
 from veilwork.sources import responses, sinks, texts
-from veilwork.streaming import accounts, filters as stream_filters, metrics as live_metrics, sinks as stream_sinks
+from veilwork.streaming import (
+    accounts, filters as stream_filters, metrics as live_metrics, retries as stream_retries, sinks as stream_sinks,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -859,3 +861,27 @@ def stream_tables(spark, sf_dir):
         for name, (masked, blocked) in shown.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def stream_retry(spark, sf_dir):
+    """The model is busy for some texts, whenever it is asked, and refuses others."""
+
+    def make_model():
+        def score(batch_texts: list[str]) -> list:
+            kinds = {len(t) % 5 for t in batch_texts}
+            if 0 in kinds:
+                raise model.ServiceError("ThrottlingException", "busy")
+            if 1 in kinds:
+                raise model.ServiceError("ValidationException", "refused")
+            return [len(t) for t in batch_texts]
+
+        return score
+
+    base = run_dir(spark, "stream-retries")
+    retries = stream_retries.Retries(f"{base}/out", "text", make_model, batch_size=1, retry=model.RetryPolicy(2, 0.0))
+    retries.write(_stream_of(spark, sf_dir, "conversations"), f"{base}/state", available_now=True).awaitTermination()
+    retries.drain(spark)
+    shown = ["conv_id", "turn", "tries", "status", "error", "answer"]
+    ok = retries.answered(spark).selectExpr(*shown[:3], "'ok' AS status", "CAST(NULL AS string) AS error", "CAST(response AS int) AS answer")
+    return ok.unionByName(retries.dead(spark).selectExpr(*shown[:3], "'failed' AS status", "error", "CAST(NULL AS int) AS answer"))

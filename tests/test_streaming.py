@@ -8,8 +8,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.operators import rollout, sketches
-from veilwork.streaming import accounts, sinks
+from veilwork.operators import model, rollout, sketches
+from veilwork.streaming import accounts, retries, sinks
 
 UTC = timezone.utc
 START = datetime(2024, 1, 1, tzinfo=UTC)
@@ -153,3 +153,60 @@ def test_rollout_of_nothing(spark, rows):
     assert rollout.assign_rollout(calls(spark, []), weights, "i").collect() == []
     some = rollout.assign_rollout(calls(spark, [(1, 86_400 * 2, 1.0, False, "x")]), weights, "i").collect()
     assert [r["variant"] for r in some] == (["a"] if rows else [None])
+
+
+def test_retries_across_batches(spark, tmp_path):
+    path, state, source, seen = (tmp_path / n for n in ("out", "state", "in", "seen"))
+    seen.mkdir()
+    kind = "id int, text string, tries string, label string"
+
+    def make_model():
+        import os
+
+        def score(texts):
+            out = []
+            for t in texts:
+                at = f"{seen}/{t.replace(' ', '-')}"
+                with open(at, "a") as file:
+                    file.write("x")
+                if os.path.getsize(at) <= int(t.split()[-1]):
+                    raise RuntimeError(f"not yet {t}")
+                out.append(t)
+            return out
+
+        return score
+
+    waited = []
+    policy = model.RetryPolicy(max_retries=3, delay=30.0, backoff=2.0)
+    run = retries.Retries(str(path), "text", make_model, batch_size=1, retry=policy)
+    rows = [(i, f"r{i} fails {i % 6}", "mine", "mine") for i in range(18)] + [(99, None, "mine", "mine")]
+    for part in (rows[:9], rows[9:]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(kind).parquet(str(source))
+        run.write(stream, str(state), available_now=True).awaitTermination()
+    assert run.answered(spark).count() == 4  # those that fail never, and the one without a text
+    monkey = iter([40, 110, 400] + [4000] * 9)
+    real = retries.time.time
+    try:
+        shift = [0.0]
+        retries.time.time = lambda: real() + shift[0]
+
+        def sleep(seconds):
+            waited.append(seconds)
+            shift[0] += max(seconds, 0) + next(monkey)
+
+        run.drain(spark, sleep)
+    finally:
+        retries.time.time = real
+    assert waited
+    ok = {r["id"]: r for r in run.answered(spark).collect()}
+    dead = {r["id"]: r for r in run.dead(spark).collect()}
+    assert sorted([*ok, *dead]) == sorted(r[0] for r in rows)
+    assert len(ok) + len(dead) == run.answered(spark).count() + run.dead(spark).count()
+    for i, text, *_ in rows:
+        fails = 0 if text is None else int(text.split()[-1])
+        assert (i in ok) == (fails <= 3), i
+        if i in dead:
+            assert dead[i]["error"] == f"not yet {text}"
+    sizes = {p.name: len(p.read_text()) for p in seen.iterdir()}
+    assert sizes == {t.replace(" ", "-"): min(int(t.split()[-1]), 3) + 1 for _, t, *_ in rows if t}
