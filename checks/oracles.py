@@ -209,6 +209,20 @@ firsts AS (SELECT id, word, st, regexp_extract(after, '^\\p{{L}}+') AS next FROM
     ON word = name WHERE regexp_matches(after, '^\\p{{Lu}}\\p{{L}}') AND substr(text, st + length(word) + 1, 1) = ' ')
 SELECT id AS doc_id, 'PERSON' AS type, word || ' ' || next AS text, st AS "start",
     (st + length(word) + 1 + length(next))::INT AS "end", 0.9::DOUBLE AS confidence FROM firsts"""
+    word = r"\p{L}+(?:['’\-]\p{L}+)*"
+    out["detect_names"] = f"""WITH src AS ({PROBED_DOCS}),
+names AS (SELECT DISTINCT n FROM (SELECT name AS n FROM (VALUES {names}) v(name)
+    UNION ALL SELECT regexp_extract(text, '[A-Z][a-z]+ [a-z]+') FROM src WHERE id % 7 = 0) WHERE n <> ''),
+parts AS (SELECT id, regexp_extract_all(text, {s(word)}) AS w, string_split_regex(text, {s(word)}) AS g FROM src
+    WHERE regexp_matches(text, {s(word)})),
+words AS (SELECT id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word, unnest(g[1:len(w)]) AS gap FROM parts),
+placed AS (SELECT *, (sum(length(gap) + length(word)) OVER (PARTITION BY id ORDER BY i))::INT AS en FROM words),
+pairs AS (SELECT id, word, en - length(word) AS st, en, lead(word) OVER v AS after, lead(gap) OVER v AS between_,
+    lead(en) OVER v AS en2 FROM placed WINDOW v AS (PARTITION BY id ORDER BY i)),
+met AS (SELECT id, word AS name, st, en FROM pairs JOIN names ON word = n
+    UNION ALL SELECT id, word || ' ' || after, st, en2 FROM pairs JOIN names ON word || ' ' || after = n WHERE between_ = ' '),
+whole AS (SELECT *, max(en) OVER (PARTITION BY id ORDER BY st, en DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM met)
+SELECT id AS doc_id, name AS text, st::INT AS "start", en::INT AS "end" FROM whole WHERE reach IS NULL OR en > reach"""
     out["merge_bio"] = f"""WITH {resolved(PROBED_DOCS)},
 sized AS (SELECT *, len(string_split(word, ' ')) AS n FROM spans)
 SELECT id AS doc_id, label, st AS "start", en AS "end", word,

@@ -20,7 +20,7 @@ from veilwork.functions import injection as inj, rules, spans
 from veilwork.functions.rules import PiiRule
 from veilwork.functions.sqltext import any_of, lit
 from veilwork.operators import (
-    answers, batch, chunks, distinct, evaluation, injection, metrics, model, persons, pii, rollout, rows, sketches,
+    answers, batch, chunks, distinct, evaluation, gazetteer, injection, metrics, model, persons, pii, rollout, rows, sketches,
     span_eval, thresholds, tokens, variants,
 )
 from veilwork.plans import compliance
@@ -169,6 +169,15 @@ def detect_persons(spark, sf_dir):
     return persons.detect_persons(probed_documents(spark, sf_dir), names, "doc_id")
 
 
+@query
+def detect_names(spark, sf_dir):
+    """Names of one and two words; those of two are the first such words of some texts."""
+    docs = probed_documents(spark, sf_dir).select("doc_id", "text")
+    single = spark.sql(f"SELECT explode(array({any_of(probes.GIVEN_NAMES_TABLE)})) AS name")
+    double = docs.where("doc_id % 7 = 0").selectExpr("regexp_extract(text, '[A-Z][a-z]+ [a-z]+', 0) AS name").where("name <> ''")
+    return gazetteer.detect_names(docs, single.unionByName(double), "doc_id")
+
+
 @query
 def merge_bio(spark, sf_dir):
     """Spans cut into word tokens with B- and I- tags, and merged again."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilwork import schemas
 from veilwork.functions import spans
-from veilwork.functions.sqltext import blocks, cut_out, let
+from veilwork.functions.sqltext import BLOCK, blocks, cut_out, let
 from veilwork.operators.pii import mask_pii
 from veilwork.operators.rows import fresh, quoted, unroll
 
@@ -28,10 +28,13 @@ def chunk_text(
     last = f"greatest(CAST(ceil((length({text_col}) - {max_chars}) / {step}) AS int), 0)"
 
     end = f"least(i * {step} + {max_chars}, length({text_col}))"
-    pieces = let("bl", blocks(text_col), (
-        f"transform(sequence(0, {last}), i -> named_struct('chunk_start', i * {step}, "
-        f"'chunk', {cut_out('bl', f'i * {step}', end)}))"
-    ))
+    def piece(cut: str) -> str:
+        return f"transform(sequence(0, {last}), i -> named_struct('chunk_start', i * {step}, 'chunk', {cut}))"
+
+    # a text of one block needs no blocks: the cuts are the same
+    short = piece(f"substring({text_col}, i * {step} + 1, {max_chars})")
+    long = let("bl", blocks(text_col), piece(cut_out("bl", f"i * {step}", end)))
+    pieces = f"IF(length({text_col}) <= {BLOCK}, {short}, {long})"
     keep = quoted(df.columns, but=[text_col])
     cut = f"IF({text_col} IS NULL, NULL, {pieces})"
     return unroll(df, cut, "chunk_no", *keep).select(

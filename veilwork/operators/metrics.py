@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veilwork.functions import rules
 from veilwork.operators.model import RetryPolicy, score_with_model
 from veilwork.operators.variants import score_by_variant
+from veilwork.session import run_dir
 
 # ---- fixed value: the text a health check sends --------------------------
 PROBE_TEXT = "Test health check"
 # --------------------------------------------------------------------------
+#: Groups whose figures are broadcast, of some 100 bytes each.
+FEW_GROUPS = 100_000
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -48,9 +51,15 @@ def percentile_ranks(
     """The percentiles, and for each whether its true rank lies within the stated error.
 
     A second pass counts the values below and up to each percentile.  The
-    figures of the groups are joined to the calls; they are one row per group.
+    figures of the groups, a row each, are written and then joined to the calls:
+    broadcast if the rows, which are counted, are few, so that calls of a few
+    groups are not dealt out by group.
     """
-    figures = latency_percentiles(df, by, latency, accuracy)
+    path = run_dir(df.sparkSession, "percentiles")
+    latency_percentiles(df, by, latency, accuracy).write.parquet(path)
+    figures = df.sparkSession.read.parquet(path)
+    if figures.count() <= FEW_GROUPS:
+        figures = F.broadcast(figures)
     calls = df.select(F.col(by).alias("_by"), F.col(latency).alias("_value"))
     met = calls.join(figures, F.col("_by").eqNullSafe(F.col(by))).where(F.col("_value").isNotNull())
     counts = [
