@@ -5,8 +5,6 @@ import re
 import zlib
 from collections import Counter
 
-import pytest
-
 from veilwork.llm import spelling
 
 KINDS = "doc_id long, text string, word string, k long"
@@ -71,9 +69,8 @@ def corpus(seed, n=300, letters="abéÿ"):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_as_brute_force(spark, seed):
-    docs = corpus(seed)
+def test_as_brute_force(spark):
+    docs = corpus(1)
     assert run(spark, docs) == brute(docs)
 
 
@@ -104,7 +101,7 @@ def test_ties_repeats_nulls(spark):
 
 
 def test_long_words(spark):
-    long = "ab" * 40_000
+    long = "ab" * 4_000
     docs = [(i, f"{long} {long}c {long[:-2]}ba") for i in range(6)]
     got = run(spark, docs)
     assert got == brute(docs)
