@@ -774,10 +774,10 @@ def failure_report(spark, sf_dir):
 
 
 def _stream_of(spark, sf_dir, table: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of part files; only as a pattern may the path be a file."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     return texts.stream_texts(
-        spark, sf_dir, "parquet", schema.simpleString()[7:-1].replace(":", " "),
-        pathGlobFilter=f"{table}.parquet",
+        spark, f"{sf_dir}/{table}.parque[t]", "parquet", schema.simpleString()[7:-1].replace(":", " "),
     )
 
 

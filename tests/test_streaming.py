@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from veilwork.operators import model, rollout, sketches
 from veilwork.streaming import accounts, retries, sinks
 
@@ -210,3 +211,18 @@ def test_retries_across_batches(spark, tmp_path):
             assert dead[i]["error"] == f"not yet {text}"
     sizes = {p.name: len(p.read_text()) for p in seen.iterdir()}
     assert sizes == {t.replace(" ", "-"): min(int(t.split()[-1]), 3) + 1 for _, t, *_ in rows if t}
+
+
+@pytest.mark.parametrize("name, shown", [
+    ("stream_filter", ["conv_id", "turn", "decision"]),
+])
+def test_tables_of_one_file_or_of_many(spark, tmp_path, name, shown):
+    rows = [(c, t, "user", "word " * (c + t) + ("mail a@b.com" if c % 3 else "")) for c in range(6) for t in range(2)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    got = [sorted(map(tuple, QUERIES[name](spark, str(tmp_path / kind)).select(*shown).collect())) for kind in ("file", "folder")]
+    assert got[0] == got[1]
+    assert [r[:2] for r in got[0]] == [r[:2] for r in sorted(rows)]
