@@ -122,3 +122,26 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash._Search, "links", counted)
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
     assert sum(met) < 60 * len(rows)  # 16 pivots a list made 650 a row
+
+
+def test_edits_beyond_the_limit_meet_nothing(spark, monkeypatch):
+    # near copies of one text with so many edits of their own that no two of them are linked
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+
+    def apart(i, edits):
+        at = set(rng.sample(range(3, 147), edits))
+        return " ".join(f"x{i}y{k}" if k in at else w for k, w in enumerate(words))
+
+    rows = [(i, apart(i, 14)) for i in range(300)] + [(1000 + i, apart(1000 + i, 1 + i % 3)) for i in range(60)]
+    met, cut = [], minhash.cut
+
+    def kept(df, name):
+        out = cut(df, name)
+        if "g" in out.columns:
+            met.append(out.select("c").distinct().count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", kept)
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+    assert met and max(met) <= 60  # all 360 were listed
