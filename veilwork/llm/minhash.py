@@ -18,11 +18,10 @@ has to be enough for the sizes of the two.  A near copy with more edits than the
 limit allows is told by its own words so, and is compared with nothing.  In a list
 each class first meets one pivot, that of the list with the least share of values of
 its own, as one order of all classes has it; where the links found so join all classes of the list, nothing more is to
-be found there.  From then on only values that another component has too count as
-shared.  In the other lists the classes meet pivots that stand for the largest
-components there, in turns, each after the links of the turn before.  Of what is
-still apart then, the classes outside the largest component meet all others of the
-list, once for each pair (in the smallest of the lists that both are in), and only
+be found there.  In the other lists the classes meet pivots that stand for the
+largest components there, in turns, each after the links of the turn before.  Of
+what is still apart then, the classes outside the largest component meet all others
+of the list, once for each pair (in the smallest of the lists that both are in), and only
 pairs that the estimate passes leave the join.  So no pair is left out by a
 limit, and copies by the thousand cost a few comparisons each.
 
@@ -137,6 +136,11 @@ def _may_any(percent: int, n: Column, w: Column, low: Column) -> Column:
     return ((n <= WIDE) & small) | large
 
 
+def _high(x: Column) -> Column:
+    """The upper halves of hashes."""
+    return F.transform(x, lambda v: F.shiftright(v, 32).cast("int"))
+
+
 def _numbered(df: DataFrame, x: int, **more: str) -> DataFrame:
     names = {"c": "c", "n": "n", **more}
     return df.select("g", *[F.col(c).alias(f"{short}{x}") for c, short in names.items()])
@@ -208,43 +212,46 @@ class _Search:
         return F.array_distinct(F.concat(large, small))
 
     def wide(self, warm: DataFrame) -> DataFrame:
-        """(c, s, same, listed): upper halves of the smallest hashes, how many of them come again, and upper
-        halves of what the class is listed under."""
+        """(c, n, s, same, w, listed): upper halves of the smallest hashes, how many of them come again, how
+        many others have too, so that no link shares more, and what the class is listed under."""
         wanted = cut(warm.select("c").join(self.classes.select("c", "id"), "c"), "near-warm-ids")
-        high = lambda x: F.transform(x, lambda v: F.shiftright(v, 32).cast("int"))
-        wide = self.sets(wanted).select("c", high(F.slice("h", 1, WIDE)).alias("s"))
-        wide = wide.join(warm.select("c", high(F.col("listed")).alias("listed")), "c")
-        return cut(wide.withColumn("same", F.size("s") - F.size(F.array_distinct("s"))), "near-wide")
-
-    def lists(self, warm: DataFrame, wide: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        """(g, c, n, root, w, top, pivot): the entries of lists of several roots, of the classes that may
-        have a link there to another root.
-
-        ``w`` values of the class are in classes of other roots too, so no link shares more.
-        ``top`` is the root that most entries of the list have, ``pivot`` the class with the least
-        share of other values; the order is one for all lists, so that lists agree on it.
+        wide = self.sets(wanted).select("c", _high(F.slice("h", 1, WIDE)).alias("s"), F.xxhash64("c").alias("o"))
+        wide = cut(wide, "near-halves")
+        values = wide.select("o", F.explode("s").alias("v")).groupBy("v").agg(F.min("o").alias("o"), F.count("*").alias("k"))
+        own = cut(values.where("k = 1").groupBy("o").agg(F.count("*").alias("own")), "near-own")
+        wide = wide.join(own, "o", "left").join(warm, "c")
+        again = F.size("s") - F.size(F.array_distinct("s"))
+        shared = F.size("s") - F.coalesce("own", F.lit(0))
+        return cut(wide.select("c", "n", "s", again.alias("same"), shared.alias("w"), "listed"), "near-wide")
+
+    def lists(self, wide: DataFrame) -> DataFrame:
+        """(g, c, n, w, pivot): the entries of lists, of the classes that may have a link there.
+
+        ``pivot`` is the class of the list with the least share of values of its own;
+        the order is one for all lists, so that lists agree on it.
         """
-        if roots is None:
-            rooted = warm.withColumn("root", F.col("c"))
-        else:
-            rooted = warm.join(roots, warm["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
-        rooted = cut(rooted.select("c", "n", "listed", "root"), "near-rooted")
-        values = wide.select("c", "s").join(rooted.select("c", F.xxhash64("root").alias("o")), "c")
-        values = values.select("o", F.explode("s").alias("v")).groupBy("v").agg(F.min("o").alias("a"), F.max("o").alias("z"))
-        both = cut(values.where("a != z").select("v"), "near-both")
-        shares = join_small(wide.select("c", F.explode("s").alias("v")), both, ["v"], "left_semi")
-        shares = shares.groupBy("c").agg(F.count("*").alias("w"))
         n, w = F.col("n"), F.col("w")
-        placed = rooted.join(shares, "c").where(_may_any(self.percent, n, w, F.lit(0)))
-        placed = cut(placed.select("c", "n", "root", "w", F.explode("listed").alias("g")), "near-placed")
+        placed = wide.where(_may_any(self.percent, n, w, F.lit(0))).select("c", "n", "w", F.explode("listed").alias("g"))
+        placed = cut(placed, "near-listed")
         order = F.struct((-w / F.least(n, F.lit(WIDE))).alias("o"), F.xxhash64("c").alias("h"), "c", "n", "w")
-        parts = placed.groupBy("g", "root").agg(
-            F.count("*").alias("k"), F.min("n").alias("low"), F.min(order).alias("pivot"))
-        parts = parts.groupBy("g").agg(
-            F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"), F.min("low").alias("low"),
-            F.min("pivot").alias("pivot"))
-        met = placed.join(parts.where("k > 1").drop("k"), "g").where(_may_any(self.percent, n, w, F.col("low")))
-        return cut(met.select("g", "c", "n", "root", "w", "top", "pivot"), "near-lists")
+        lists = placed.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.min(order).alias("pivot"))
+        met = placed.join(lists.where("k > 1").drop("k"), "g").where(_may_any(self.percent, n, w, F.col("low")))
+        return cut(met.select("g", "c", "n", "w", "pivot"), "near-warm-lists")
+
+    def unsettled(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The entries, with root, of the lists that hold several roots, and each list's top root."""
+        placed = lists.join(roots, lists["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
+        placed = cut(placed.select("g", "c", "n", "w", "root"), "near-placed")
+        parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
+        parts = parts.groupBy("g").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("k"))
+        return cut(placed.join(parts.where("k > 1").select("g", "top"), "g"), "near-unsettled")
+
+    def renamed(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
+        """The same entries, with what their roots and the lists' top roots have become."""
+        for at in ("root", "top"):
+            now = roots.select(F.col("node").alias(at), F.col("root").alias("now"))
+            entries = entries.join(now, at, "left").withColumn(at, F.coalesce("now", at)).drop("now")
+        return cut(entries, "near-unsettled")
 
     def pivoted(self, entries: DataFrame, pivots: int, turn: int) -> DataFrame:
         """(a, b): each class outside a list's top root beside the list's pivots of other roots.
@@ -281,7 +288,7 @@ class _Search:
         if warm.isEmpty():
             return components(self.links(cut(found.distinct(), "near-pairs")))
         wide = self.wide(warm)
-        lists = self.lists(warm, wide)
+        lists = self.lists(wide)
         may = _may(self.percent, F.col("n1"), F.col("n2"), F.least("w1", "w2"))
         # first one pivot a list
         starred = lists.select(*[F.col(c).alias(f"{c}1") for c in "cnw"], *[F.col(f"pivot.{c}").alias(f"{c}2") for c in "cnw"])
@@ -291,17 +298,17 @@ class _Search:
         roots = components(links)
         if lists.isEmpty():
             return roots
-        open_ = self.lists(warm, wide, roots)
+        open_ = self.unsettled(lists, roots)
         for turn in range(1, TURNS + 1):
             new = self.links(cut(self.pivoted(open_, PIVOTS, turn).distinct(), "near-pairs"))
             if new.isEmpty():
                 break
             links = links.unionByName(new)
             roots = components(links)
-            open_ = self.lists(warm, wide, roots)
+            open_ = self.renamed(open_, roots)
         if open_.isEmpty():
             return roots
-        open_ = open_.join(wide, "c")
+        open_ = open_.join(wide.select("c", "s", "same", _high(F.col("listed")).alias("listed")), "c")
         more = {"s": "s", "listed": "l", "root": "r", "w": "w", "same": "x"}
         outside = _numbered(open_.where("root != top"), 1, **more)
         # both may be outside; then the pair is met from either side, and one is enough
