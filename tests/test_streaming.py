@@ -215,7 +215,7 @@ def test_retries_across_batches(spark, tmp_path):
 
 @pytest.mark.parametrize("name, shown", [
     ("stream_filter", ["conv_id", "turn", "decision"]), ("stream_moderate", ["conv_id", "turn", "action"]),
-    ("stream_retry", ["conv_id", "turn", "tries", "status"]),
+    ("stream_retry", ["conv_id", "turn", "tries", "status"]), ("stream_tables", ["conv_id", "turn", "decision"]),
 ])
 def test_tables_of_one_file_or_of_many(spark, tmp_path, name, shown):
     rows = [(c, t, "user", "word " * (c + t) + ("mail a@b.com" if c % 3 else "")) for c in range(6) for t in range(2)]
